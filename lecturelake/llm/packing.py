@@ -118,7 +118,7 @@ def best_fit(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray
     return bins, offsets
 
 
-def pack(pieces: DataFrame, cap: Capacity | None = None, length: str = "length", group_rows: int = 50_000) -> DataFrame:
+def pack(pieces: DataFrame, cap: Capacity | None = None, length: str = "length", group_rows: int = 20_000) -> DataFrame:
     """Add sequence_id and offset to pieces.
 
     Pieces are dealt at random into groups of about group_rows (their number follows the input), and each group is

@@ -230,14 +230,16 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, removed array<struct<s, e>> and kept (binary) added.
+    """docs with n_bytes, n_removed, n_spans, removed array<struct<s, e>>, kept (binary) and kept_text added.
+
+    kept_text is kept as text, without the bytes of characters that a cut has split.
 
     Every byte covered by a `length`-byte string that also starts anywhere else in the table, the same document
     included, is removed; judged on the input, so all copies go. Documents are UTF-8 bytes, a null text is empty, and
     texts shorter than length keep everything. Rows that repeat key and text are copies of each other. Other columns
     stay as they are (columns with the names added are replaced).
     """
-    added = ["n_bytes", "n_removed", "n_spans", "removed", "kept"]
+    added = ["n_bytes", "n_removed", "n_spans", "removed", "kept", "kept_text"]
     docs = docs.select(*[c for c in docs.columns if c not in added])
     names = docs.columns
     at = names.index(text)
@@ -261,16 +263,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", key:
                 kept.append(b"".join(parts))
             size = np.diff(offsets)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(names)], pa.array(size), pa.array(size - np.fromiter(map(len, kept), np.int64, len(kept))), pa.array(list(map(len, spans)), pa.int64()), pa.array([[{"s": s, "e": e} for s, e in x] for x in spans], runs), pa.array(kept, pa.binary())],
+                [*batch.columns[: len(names)], pa.array(size), pa.array(size - np.fromiter(map(len, kept), np.int64, len(kept))), pa.array(list(map(len, spans)), pa.int64()), pa.array([[{"s": s, "e": e} for s, e in x] for x in spans], runs), pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept])],
                 [*batch.schema.names[: len(names)], *added],
             )
 
     fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
-    return met.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, n_spans long, removed array<struct<s: bigint, e: bigint>>, kept binary").toDF(*names, *added)
-
-
-def sha256_hex(column: str):
-    return F.sha2(F.col(column), 256)
+    return met.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, n_spans long, removed array<struct<s: bigint, e: bigint>>, kept binary, kept_text string").toDF(*names, *added)
 
 
 def brute_force(texts: list[str | None], length: int) -> list[bytes]:
