@@ -23,8 +23,8 @@ N, THRESHOLD = 5, 80  # words in an n-gram; per cent
 SKETCH_BITS, RANGES = 20, 16
 #: An n-gram counted more often is dealt out by document too, in parts of about so many.
 PART = 2048
-#: Cross pairs that a round may leave to be verified, as a multiple of the postings.
-ROUNDS, CROSS = 4, 8
+#: Rounds against pivots at most, and pairs of postings that make another round worth it, as a multiple of all postings.
+ROUNDS, CROSS = 4, 1
 
 _rng = np.random.default_rng(20240)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -207,14 +207,15 @@ def _postings(docs: DataFrame, counts: np.ndarray, n: int, threshold: int, text:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g[keep].view(np.int64), v[keep], z[keep], o[keep])], ["gram", "node", "size", "pos"])
 
     dealt = docs.select(F.col(text).alias("t")).mapInArrow(run, "block int, g binary, v binary, z binary, o binary, hot binary")
-    return dealt.groupBy("block").applyInArrow(shared, "gram long, node long, size int, pos int").distinct()
+    return dealt.groupBy("block").applyInArrow(shared, "gram long, node long, size int, pos int")
 
 
 def _fits(threshold: int) -> Column:
-    """The length and positional filters on a pair of postings x and y."""
+    """The length and positional filters on a pair of postings x and y; the smaller set needs a shorter prefix."""
     need = least_overlap(F.col("x.size"), F.col("y.size"), threshold)
     low, high = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
-    return (low * 100 >= high * threshold) & (F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos")) >= need)
+    short = F.when(F.col("x.size") <= F.col("y.size"), F.col("x.pos")).otherwise(F.col("y.pos"))
+    return (low * 100 >= high * threshold) & (short <= low - least_overlap(low, low, threshold)) & (F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos")) >= need)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -280,29 +281,33 @@ def _links(docs: DataFrame, profiles: DataFrame, nodes: DataFrame, n: int, thres
     made = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("d"), F.col(text).alias("t")).mapInArrow(run, "d long, node long, grams binary")
     sets = stored(made.join(members.select(F.coalesce("d", F.lit(-1)).alias("d"), "node"), ["d", "node"]).groupBy("node").agg(F.first("grams").alias("grams")), "sets")
 
-    links, comps = None, None
-    active = postings
+    # The order in which nodes are tried as the middle of a group: a copy's own edits are n-grams that nobody shares,
+    # and being rare they come first in its prefix; an original has few of them, and its copies are nearest to it.
+    prefix = F.col("size") - F.ceil(F.col("size") * threshold / F.lit(100)) + 1
+    shares = postings.groupBy("node").agg(F.count(F.lit(1)).alias("shared"), F.first("size").alias("size"))
+    shares = stored(shares.select("node", (prefix - F.col("shared")).cast("int").alias("alone")), "shares")
+    postings = stored(postings.join(shares, "node"), "postings")
+
+    links, active = None, postings
     for turn in range(ROUNDS):
-        # every member of an n-gram's list against one of them: linear, and enough for groups of copies
-        pivots = active.groupBy("gram").agg(F.min(F.struct((F.col("node") if turn % 2 == 0 else -F.col("node")).alias("k"), "node", "size", "pos")).alias("p"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "p.node", "p.size", "p.pos")
+        # in each n-gram's list one node is the pivot, and each node is verified against the best of its pivots
+        rank = F.struct("alone", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("alone"), "node")
+        pivots = active.groupBy("gram").agg(F.min(F.struct(rank.alias("rank"), "node", "size", "pos")).alias("p")).select("gram", "p.rank", "p.node", "p.size", "p.pos")
         pairs = active.alias("x").join(pivots.alias("y"), "gram").filter(F.col("x.node") != F.col("y.node")).filter(_fits(threshold))
-        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        best = pairs.groupBy(F.col("x.node").alias("node")).agg(F.min(F.struct("y.rank", "y.node")).alias("best"))
+        pairs = best.select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b")).distinct()
         found = stored(_verified(pairs, members, sets, threshold), "links")
-        links = found if links is None else stored(links.union(found).distinct(), "links")
+        links = found if links is None else links.union(found)
         comps = components(links)
         # what is left: lists whose members are not all in one component yet
         placed = postings.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        groups = placed.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi"))
-        totals = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"), F.sum("n").alias("n")).filter("k > 1")
-        totals = stored(totals, "totals")
-        left = totals.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
+        totals = placed.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own")).filter("k > 1")
         active = stored(placed.join(totals.select("gram"), "gram"), "active")
-        if left <= CROSS * max(1, postings.count()):
+        totals = active.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        left = totals.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
+        if left <= CROSS * postings.count():
             break
-        active = active.drop("comp")
     if left:
-        if "comp" not in active.columns:
-            active = active.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         # pairs of components in a list, then the members of either: members of one component never meet
         groups = active.groupBy("gram", "comp").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
         g, h = groups.alias("g"), groups.alias("h")
