@@ -1,12 +1,15 @@
-"""Queries over the given tables, with the SQL that gives the same rows."""
+"""All queries of the library without the llm subpackage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import graph_queries, stream_queries, table_queries, text_queries, time_queries  # noqa: F401  they register themselves
+from .tables import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """BM25 and vector candidates fused by rank."""
+    return QUERIES["fuse_rrf"](spark, sf_dir)
