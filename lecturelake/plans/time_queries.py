@@ -10,7 +10,9 @@ from ..operators.intervals import overlap_join, window_join
 from .tables import Tables, query
 
 AT = "date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 1e6"
-USER = Window.partitionBy("user_id").orderBy("ts", "event_id")
+def by_user():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
 
 
 def timed(t: Tables):
@@ -29,7 +31,7 @@ def gap_sessions(t: Tables):
 @query("win_lead_range_end", f"SELECT event_id, user_id, round({AT}, 3) AS start_sec, round(coalesce(lead({AT}) OVER (PARTITION BY user_id ORDER BY ts, event_id), 2592000), 3) AS end_sec FROM events")
 def _(t: Tables):
     x = timed(t)
-    return x.select("event_id", "user_id", F.round("at", 3).alias("start_sec"), F.round(F.coalesce(F.lead("at").over(USER), F.lit(2592000.0)), 3).alias("end_sec"))
+    return x.select("event_id", "user_id", F.round("at", 3).alias("start_sec"), F.round(F.coalesce(F.lead("at").over(by_user()), F.lit(2592000.0)), 3).alias("end_sec"))
 
 
 @query("win_run_batches", """
@@ -52,7 +54,7 @@ def _(t: Tables):
 
 @query("win_cumulative_index", "SELECT event_id, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS n_before FROM events")
 def _(t: Tables):
-    w = USER.rowsBetween(Window.unboundedPreceding, 0)
+    w = by_user().rowsBetween(Window.unboundedPreceding, 0)
     return t.events.select("event_id", F.sum((F.col("event_type") == "click").cast("long")).over(w).alias("n_before"))
 
 
@@ -210,7 +212,7 @@ WITH n AS (SELECT user_id, row_number() OVER w AS o, lag(event_id) OVER w AS p,
 b AS (SELECT *, (o - 1) // 8 AS batch, max(o) OVER (PARTITION BY user_id, (o - 1) // 8) AS hi FROM n)
 SELECT user_id, CAST(batch AS BIGINT) AS batch, count(*) AS n, max(CASE WHEN o % 8 = 1 THEN p END) AS before, max(CASE WHEN o = hi THEN x END) AS after FROM b GROUP BY user_id, batch""")
 def _(t: Tables):
-    n = F.row_number().over(USER)
-    x = t.events.select("user_id", n.alias("o"), F.lag("event_id").over(USER).alias("p"), F.lead("event_id").over(USER).alias("x"))
+    n = F.row_number().over(by_user())
+    x = t.events.select("user_id", n.alias("o"), F.lag("event_id").over(by_user()).alias("p"), F.lead("event_id").over(by_user()).alias("x"))
     x = x.groupBy("user_id", F.floor((F.col("o") - 1) / 8).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("o", "p")).alias("a"), F.max(F.struct("o", "x")).alias("b"))
     return x.select("user_id", "batch", "n", F.col("a.p").alias("before"), F.col("b.x").alias("after"))
