@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import ScanBPE, encoder
 from .common import stored
 
 
@@ -45,7 +45,7 @@ def token_pieces(docs: DataFrame, path: str, size: int, end_id: int = 1, text: s
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(path, ScanBPE)
         for batch in batches:
             rows, piece, start, ids = [], [], [], []
             for i, t in enumerate(batch.column(1)):
