@@ -309,9 +309,11 @@ def _links(docs: DataFrame, profiles: DataFrame, nodes: DataFrame, n: int, thres
             break
     if left:
         # pairs of components in a list, then the members of either: members of one component never meet
-        groups = active.groupBy("gram", "comp").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+        groups = active.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi"))
         g, h = groups.alias("g"), groups.alias("h")
-        met = g.join(h, (F.col("g.gram") == F.col("h.gram")) & (F.col("g.comp") < F.col("h.comp")) & (F.col("g.hi") * 100 >= F.col("h.lo") * threshold) & (F.col("h.hi") * 100 >= F.col("g.lo") * threshold))
+        # the smaller component's members come first, so that the larger one's are only met under the filters
+        smaller = F.struct("g.n", "g.comp") < F.struct("h.n", "h.comp")
+        met = g.join(h, (F.col("g.gram") == F.col("h.gram")) & smaller & (F.col("g.hi") * 100 >= F.col("h.lo") * threshold) & (F.col("h.hi") * 100 >= F.col("g.lo") * threshold))
         met = met.select(F.col("g.gram").alias("gram"), F.col("g.comp").alias("ca"), F.col("h.comp").alias("cb"))
         x = active.select("gram", F.col("comp").alias("ca"), F.struct("node", "size", "pos").alias("x"))
         y = active.select("gram", F.col("comp").alias("cb"), F.struct("node", "size", "pos").alias("y"))
