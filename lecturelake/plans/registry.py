@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, scene_queries, stream_queries, table_queries, term_queries, text_queries, time_queries  # noqa: F401  they register themselves
+from . import file_queries, graph_queries, scene_queries, score_queries, stream_queries, table_queries, term_queries, text_queries, time_queries  # noqa: F401  they register themselves
 from .tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

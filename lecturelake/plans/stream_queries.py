@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming.sessions import drained, event_stream, sessions, tumbling
+from ..operators import folds
+from ..streaming.sessions import distinct_chunks, drained, drained_rows, event_stream, sessions, tumbling, usage
+from ..streaming.states import machine
 from .tables import Tables, query
 
 
@@ -20,3 +22,35 @@ def _(t: Tables):
 @query("stream_session_gap")
 def _(t: Tables):
     return drained(sessions(_events(t), "at", "user_id", "6 hours"))
+
+
+@query("stream_usage_events", "SELECT event_type, count(*) AS calls, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def _(t: Tables):
+    return drained(usage(_events(t), "event_type", "value")).withColumn("total", F.round("total", 2))
+
+
+@query("stream_chunk_dedupe", "SELECT event_id, user_id, event_type FROM events")
+def _(t: Tables):
+    """Every event arrives in two overlapping chunks and leaves once."""
+    events = event_stream(t.spark, f"{t.sf_dir}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    twice = events.withColumn("chunk", F.explode(F.array(F.lit(0), F.lit(1))))
+    return drained_rows(distinct_chunks(twice, ["event_id"], "at", "1 hour").select("event_id", "user_id", "event_type"))
+
+
+#: Ink by which writing differs from the base, by which a frame is active, and quiet frames that end it.
+WRITING = (40.0, 15.0, 2)
+
+
+@query("stream_annotation_stability")
+def _(t: Tables):
+    """Captures of a user's writing, value standing for ink."""
+    events = event_stream(t.spark, f"{t.sf_dir}/events.parquet")
+    state = "base double, before double, writing boolean, still long, frames long, held long"
+    return drained_rows(machine(events, "user_id", ["ts", "event_id"], ["event_id", "value"], folds.annotation_step(*WRITING), state, "user_id long, event_id long, frames long"))
+
+
+@query("win_annotation_stability")
+def _(t: Tables):
+    """The same over the table as it is, in one pass of sorted partitions."""
+    step = folds.annotation_step(*WRITING)
+    return folds.fold(t.events, "user_id", ["ts", "event_id"], ["event_id", "value", "ts"], lambda state, row: step(state, row[:2]), lambda state: [], "user_id long, event_id long, frames long")

@@ -38,3 +38,21 @@ def sessions(events: DataFrame, time: str, key: str, gap: str) -> DataFrame:
     """Session windows by key: start, end (last event plus gap), n."""
     w = events.withWatermark(time, "1 hour").groupBy(F.session_window(time, gap).alias("w"), key)
     return w.agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
+
+
+def drained_rows(stream: DataFrame) -> DataFrame:
+    """Like drained, for streams that append: the rows of all batches."""
+    spark = stream.sparkSession
+    at = _folder(spark)
+    stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+def usage(events: DataFrame, kind: str, amount: str) -> DataFrame:
+    """Running totals of an append-only log by kind."""
+    return events.groupBy(kind).agg(F.count(F.lit(1)).alias("calls"), F.sum(amount).alias("total"))
+
+
+def distinct_chunks(events: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
+    """Rows of overlapping chunks once each: later copies within the watermark are dropped."""
+    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
