@@ -11,8 +11,6 @@ from ..operators import ranking
 from ..operators.windows import runs, seconds
 from .tables import Tables, query
 
-N = F.count(F.lit(1))
-
 
 @query("proj_flatten_scene", r"""
 WITH l AS (SELECT doc_id, lang, string_split(text, chr(10)) AS lines FROM documents),
@@ -22,7 +20,7 @@ def _(t: Tables):
     """A document's lines are contexts and their sentences segments; both inherit the document's fields."""
     lines = t.documents.select("doc_id", "lang", F.posexplode_outer(F.split("text", "\n")).alias("context", "line"))
     parts = lines.select("doc_id", "lang", F.col("context").cast("long").alias("context"), F.explode_outer(F.split("line", r"\. ")).alias("s"))
-    return parts.groupBy("doc_id", "lang", "context").agg(N.alias("segments"), F.sum(F.coalesce(F.length("s"), F.lit(0))).cast("long").alias("chars"))
+    return parts.groupBy("doc_id", "lang", "context").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.coalesce(F.length("s"), F.lit(0))).cast("long").alias("chars"))
 
 
 @query("agg_listenability", """
@@ -41,7 +39,7 @@ SELECT conv_id, sum(len(regexp_extract_all(text, '[aeiou]+'))) AS syllables, rou
 FROM conversations WHERE trim(text) <> '' GROUP BY 1""")
 def _(t: Tables):
     """Syllables (runs of vowels) a minute, at half a minute a turn; empty turns don't count."""
-    x = t.conversations.filter("trim(text) <> ''").groupBy("conv_id").agg(F.sum(F.regexp_count("text", F.lit("[aeiou]+"))).cast("long").alias("syllables"), N.alias("n"))
+    x = t.conversations.filter("trim(text) <> ''").groupBy("conv_id").agg(F.sum(F.regexp_count("text", F.lit("[aeiou]+"))).cast("long").alias("syllables"), F.count(F.lit(1)).alias("n"))
     return x.select("conv_id", "syllables", F.round(F.col("syllables") / (F.col("n") * 0.5), 6).alias("per_minute"))
 
 
@@ -66,7 +64,7 @@ r AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS
 SELECT user_id, CAST(run AS BIGINT) AS run, min(event_type) AS kind, count(*) AS n, round(avg(value), 6) AS mean, min(event_id) AS first_id, max(event_id) AS last_id FROM r GROUP BY 1, 2""")
 def _(t: Tables):
     x = runs(t.events, ["user_id"], ["ts", "event_id"], "event_type")
-    return x.groupBy("user_id", F.col("run").cast("long").alias("run")).agg(F.min("event_type").alias("kind"), N.alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    return x.groupBy("user_id", F.col("run").cast("long").alias("run")).agg(F.min("event_type").alias("kind"), F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 
 @query("win_scene_intervals", """
@@ -195,7 +193,7 @@ def _(t: Tables):
 
 @query("arr_unwind", "SELECT doc_id, w AS word, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2")
 def _(t: Tables):
-    return t.documents.select("doc_id", F.explode(F.split("text", " ")).alias("word")).filter("word <> ''").groupBy("doc_id", "word").agg(N.alias("n"))
+    return t.documents.select("doc_id", F.explode(F.split("text", " ")).alias("word")).filter("word <> ''").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("map_lookup_default", "SELECT event_id, coalesce(CAST(props ->> '$.k' AS BIGINT), -1) AS k, coalesce(props ->> '$.missing', 'none') AS missing FROM events")
