@@ -7,6 +7,8 @@ drawn again until none does.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ _titles = "|".join(t for x in TITLES.values() for t in x)
 #: Types in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"[\p{L}\p{N}](?:[\p{L}\p{N}._%+-]*[\p{L}\p{N}_%+-])?@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
-    "secret": r"(?<=(?i:token|secret|api[_-]?key|passw(?:or)?d)\s{0,3}[=:]\s{0,3}[\x22']?)[A-Za-z0-9_/+-]{8,}|(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])",
+    "secret": r"(?<=(?i:token|secret|api[_-]?key|passw(?:or)?d)\s{0,3}[=:]\s{0,3}[\x22']?)(?=[_/+-]*[A-Za-z0-9])[A-Za-z0-9_/+-]{8,}|(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![\p{N}+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![\p{N}+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -40,6 +42,31 @@ CLASSES = [
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèìòùâêîôûäëïöü", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ",
     "абвгдежзийклмнопрстуфхцчшщэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 ]
+
+
+def _members(first: int, last: int, category: str) -> str:
+    """Letters of a category in a range of code points."""
+    return "".join(c for c in map(chr, range(first, last + 1)) if unicodedata.category(c) == category)
+
+
+#: Other letters and digits by pattern, first match first: members of their script and case, or, for scripts without a
+#: line of their own, Latin letters and digits, so that no letter or digit is without a replacement.
+SCRIPTS = {
+    r"[\p{IsLatin}&&\p{Ll}]": _members(0xDF, 0x17F, "Ll"), r"[\p{IsLatin}&&\p{Lu}]": _members(0xC0, 0x17F, "Lu"),
+    r"[\p{IsCyrillic}&&\p{Ll}]": _members(0x430, 0x45F, "Ll"), r"[\p{IsCyrillic}&&\p{Lu}]": _members(0x400, 0x42F, "Lu"),
+    r"[\p{IsGreek}&&\p{Ll}]": _members(0x3AC, 0x3CE, "Ll"), r"[\p{IsGreek}&&\p{Lu}]": _members(0x386, 0x3AB, "Lu"),
+    r"[\p{IsArmenian}&&\p{Ll}]": _members(0x561, 0x586, "Ll"), r"[\p{IsArmenian}&&\p{Lu}]": _members(0x531, 0x556, "Lu"),
+    r"\p{IsGeorgian}": _members(0x10D0, 0x10F0, "Lo") or _members(0x10D0, 0x10F0, "Ll"),
+    r"\p{IsHangul}": _members(0xAC00, 0xD7A3, "Lo")[::7], r"\p{IsHan}": _members(0x4E00, 0x9FA5, "Lo")[::8],
+    r"\p{IsHiragana}": _members(0x3042, 0x3093, "Lo"), r"\p{IsKatakana}": _members(0x30A2, 0x30F3, "Lo"),
+    r"[\p{IsHebrew}&&\p{L}]": _members(0x5D0, 0x5EA, "Lo"), r"[\p{IsArabic}&&\p{L}]": _members(0x627, 0x64A, "Lo"),
+    r"[\p{IsDevanagari}&&\p{L}]": _members(0x905, 0x939, "Lo"), r"[\p{IsBengali}&&\p{L}]": _members(0x985, 0x9B9, "Lo"),
+    r"[\p{IsTamil}&&\p{L}]": _members(0xB85, 0xBB9, "Lo"), r"[\p{IsTelugu}&&\p{L}]": _members(0xC05, 0xC39, "Lo"),
+    r"[\p{IsThai}&&\p{L}]": _members(0xE01, 0xE2E, "Lo"), r"[\p{IsEthiopic}&&\p{L}]": _members(0x1208, 0x1357, "Lo"),
+    r"\p{N}": CLASSES[0], r"\p{Lu}": CLASSES[4], r"\p{L}": CLASSES[2],
+}
+#: Attempts at each length; then a surrogate gets one more character, as its space may be exhausted.
+ATTEMPTS = 4
 HEX = ["0123456789", "abcdef", "ABCDEF"]
 DIGITS = ("phone", "ssn", "card")
 
@@ -63,12 +90,21 @@ def draw(seed: Column, n: Column) -> Column:
 
 
 def shifted(c: Column, seed: Column, classes: list[str]) -> Column:
-    """Another member of the class that a character is in; others stay."""
-    out = c
+    """Another member of the class, or else of the script, that a letter or digit is in; other characters stay."""
+    found = F.lit(None).cast("string")
+    for pattern in reversed(SCRIPTS):
+        found = F.when(c.rlike(f"^{pattern}$"), F.lit(SCRIPTS[pattern])).otherwise(found)
+    found = F.when(c.rlike(r"^[\p{L}\p{N}]$"), found)
     for members in classes:
-        at = F.instr(F.lit(members), c)
-        out = F.when(at > 0, F.substring(F.lit(members), (draw(seed, F.lit(len(members))) + 1).cast("int"), F.lit(1))).otherwise(out)
-    return out
+        found = F.when(F.instr(F.lit(members), c) > 0, F.lit(members)).otherwise(found)
+    drawn = F.transform(F.array(found), lambda m: F.substring(m, (draw(seed, F.length(m)) + 1).cast("int"), F.lit(1)))
+    return F.coalesce(F.get(drawn, F.lit(0)), c)
+
+
+def longer(text: Column, n: Column) -> Column:
+    """A text with its last letter or digit (without any: a 0) n times more at its end."""
+    last = F.regexp_extract(text, r"([\p{L}\p{N}])[^\p{L}\p{N}]*$", 1)
+    return F.concat(text, F.repeat(F.when(last == "", "0").otherwise(last), n))
 
 
 def respelled(text: Column, seed: Column, classes: list[str] = CLASSES) -> Column:
@@ -77,18 +113,19 @@ def respelled(text: Column, seed: Column, classes: list[str] = CLASSES) -> Colum
 
 
 def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
-    """A keyed surrogate of a canonical entity."""
+    """A keyed surrogate of a canonical entity, a character longer after every ATTEMPTS attempts."""
+    more = F.floor(attempt / ATTEMPTS).cast("int")
     seed = F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string"))
     tail = F.regexp_extract(canon, r"((?:\.[\p{L}\p{N}-]+)?\.\p{L}+)$", 1)  # the last two labels of a domain with three
     head = F.substring(canon, F.lit(1), F.length(canon) - F.length(tail))
     tail = F.when(F.instr(head, "@") > 0, tail).otherwise(F.regexp_extract(canon, r"(\.\p{L}+)$", 1))
     head = F.substring(canon, F.lit(1), F.length(canon) - F.length(tail))
-    email = F.concat(respelled(head, seed), tail)
-    octets = F.array_join(F.transform(F.split(canon, r"\."), lambda o, i: (draw(F.concat_ws("|", seed, i.cast("string")), F.when(i == 0, 223).otherwise(255)) + 1).cast("string")), ".")
+    email = F.concat(respelled(longer(head, more), seed), tail)
+    octets = F.array_join(F.transform(F.split(F.concat(canon, F.repeat(F.lit(".0"), more)), r"\."), lambda o, i: (draw(F.concat_ws("|", seed, i.cast("string")), F.when(i == 0, 223).otherwise(255)) + 1).cast("string")), ".")
     country = F.when(kind == "phone", F.substring(canon, F.lit(1), F.greatest(F.lit(0), F.length(canon) - 10))).otherwise(F.substring(canon, 1, 1))
-    digits = F.concat(country, respelled(F.substring(canon, F.length(country) + 1, F.length(canon)), seed))
-    secret = F.when(canon.rlike("^[0-9A-Fa-f]+$"), respelled(canon, seed, HEX)).otherwise(respelled(canon, seed))
-    iban = F.concat(F.substring(canon, 1, 2), respelled(F.substring(canon, 3, 64), seed))
+    digits = F.concat(country, respelled(longer(F.substring(canon, F.length(country) + 1, F.length(canon)), more), seed))
+    secret = F.when(canon.rlike("^[0-9A-Fa-f]+$"), respelled(longer(canon, more), seed, HEX)).otherwise(respelled(longer(canon, more), seed))
+    iban = F.concat(F.substring(canon, 1, 2), respelled(longer(F.substring(canon, 3, 64), more), seed))
     title = F.regexp_extract(canon, rf"^((?:{_titles})\.? )", 1)
     rest = F.substring(canon, F.length(title) + 1, F.length(canon))
     given = F.regexp_extract(rest, r"^(\p{L}+)(?=[ -])", 1)
@@ -98,16 +135,17 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
     woman = F.when(given.isin(*GIVEN["female"]), True).when(given.isin(*GIVEN["male"]), False).when(bare.isin(*TITLES["female"]), True).when(bare.isin(*TITLES["male"]), False)
     first = F.when(given == "", "").when(woman, pick(GIVEN["female"])).when(~woman, pick(GIVEN["male"])).otherwise(respelled(given, seed))
     # a family name is drawn by itself, so that "Mr. X" and "Mr. Y X" keep their name in common
-    last = respelled(family, F.concat_ws("|", F.lit(key), F.lit("family"), F.lower(F.trim(family)), attempt.cast("string")))
+    last = respelled(longer(family, more), F.concat_ws("|", F.lit(key), F.lit("family"), F.lower(F.trim(family)), attempt.cast("string")))
     name = F.concat(title, first, last)
     return F.when(kind == "email", email).when(kind == "ip", octets).when(kind.isin(*DIGITS), digits).when(kind == "iban", iban).when(kind == "name", name).otherwise(secret)
 
 
 def rendered(kind: Column, entity: Column, drawn: Column) -> Column:
-    """A canonical surrogate in the format of one mention."""
+    """A canonical surrogate in the format of one mention; digits beyond the format stand at its end."""
     chars = F.filter(F.split(entity, ""), lambda c: c != "")
     before = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i), "[^0-9]", ""))
     filled = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(drawn, (before(i) + 1).cast("int"), F.lit(1))).otherwise(c)), "")
+    filled = F.concat(filled, F.substring(drawn, before(F.length(entity)) + 1, F.length(drawn)))
     loud = (entity == F.upper(entity)) & (entity != F.lower(entity))
     return F.when(kind.isin(*DIGITS), filled).when((kind == "email") & loud, F.upper(drawn)).otherwise(drawn)
 
@@ -116,7 +154,8 @@ def mapping(entities: DataFrame, key: str) -> DataFrame:
     """kind, canon, drawn: distinct surrogates for distinct entities (kind, canon), none of which is itself an entity.
 
     Of several entities that draw the same, the least keeps it; the others, and those that draw a real entity, draw
-    again with the next attempt, round by round, until no collision is left.
+    again with the next attempt, round by round, until no collision is left. That comes to an end, since surrogates
+    that keep colliding get longer.
     """
     real = stored(entities.select("kind", "canon").distinct(), "entities")
     now = real.withColumn("attempt", F.lit(0))

@@ -210,3 +210,28 @@ def test_surrogates_stay_distinct_in_a_crowded_space(spark):
     m = pii.mapping(e, "k").collect()
     real = {r.canon for r in m}
     assert len({r.drawn for r in m}) == 300 and not real & {r.drawn for r in m}
+
+
+def test_surrogates_of_every_script_come_to_an_end(spark, monkeypatch):
+    rounds = []
+
+    def stored(df, name, keep=pii.stored):
+        rounds.append(name)
+        assert len(rounds) < 40, "surrogates are drawn for ever"
+        return keep(df, name)
+
+    monkeypatch.setattr(pii, "stored", stored)
+    mails = ["홍길동@회사.한국", "王小明@公司.cn", "łżź@ęąść.pl", "ğış@şğ.com.tr", "आमर@कखग.in", "ᚠᚢᚦ@ᚱᚲ.org", "𠀀𠀁@𠀂𠀃.cn", "١٢٣@عرب.com"]
+    small = [f"{a}@{b}.com" for a in "aeiou" for b in "aeiou"]  # as many as there are surrogates of this form
+    texts = ["Password: __________ x", "Secret:\n\n-------- y", "Dr. Արամ came", *(f"mail {m} now" for m in mails + small)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r for r in sorted(pii.pseudonymize(df, "k").collect())]
+    assert [r.text for r in got[:2]] == texts[:2] and got[0].n_entities == got[1].n_entities == 0
+    name = re.fullmatch(r"Dr\. ([Ա-Ֆ][ա-ֆ]{3}) came", got[2].text)
+    assert name and name[1] != "Արամ"
+    shown = [re.fullmatch(r"mail (\S+@\S+) now", r.text)[1] for r in got[3:]]
+    assert all(r.n_entities == 1 for r in got[2:]) and len(set(shown)) == len(shown) and not set(shown) & {*mails, *small}
+    for old, new in zip(mails, shown, strict=False):
+        # drawn letters can hit the old ones by chance, yet not most of a name's
+        assert len(new) >= len(old) and sum(a == b for a, b in zip(old.split(".")[0], new, strict=False) if a != "@") <= 2
+    assert re.fullmatch(r"[가-힣]{3}@[가-힣]{2}\.한국", shown[0]) and re.fullmatch(r"[一-龥]{3}@[一-龥]{2}\.cn", shown[1])
