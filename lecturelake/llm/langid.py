@@ -34,10 +34,8 @@ def learn(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "l
     out: dict[str, list[str]] = {}
     for r in picked:
         out.setdefault(r.lang, []).append(r.t)
-    # the end of a dictionary is the cheapest to refer to; all have the same number of bytes, so that none has an edge
-    raw = {k: "\n".join(v).encode() for k, v in out.items()}
-    size = min(map(len, raw.values()), default=0)
-    return {k: v[-size:] for k, v in raw.items()}
+    # each keeps its whole sample: cut to the size of the smallest, a rare or mistyped label would empty all the others
+    return {k: "\n".join(v).encode() for k, v in out.items()}
 
 
 class Compressors:

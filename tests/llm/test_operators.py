@@ -137,6 +137,17 @@ def test_language_id_is_accurate_and_defined_for_odd_texts(spark):
     assert langid.identify(odd.limit(0), dictionaries).count() == 0 and langid.identify(odd, {}).filter("lang_pred = 'und'").count() == 4
 
 
+def test_a_rare_label_leaves_the_other_languages_as_they_are(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang is not null").select("doc_id", "text", "lang")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    rare = spark.createDataFrame([(-1, "zq a mistyped label zq.", "zz")], docs.schema)
+    dictionaries = langid.learn(docs.union(rare), ~held | (F.col("lang") == "zz"))
+    assert min(len(v) for k, v in dictionaries.items() if k != "zz") > 1000 and dictionaries["zz"] == b"zq a mistyped label zq."
+    rows = langid.identify(docs.filter(held & (F.col("lang") != "zz")), dictionaries).collect()
+    assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.9
+    assert sum(r.rejected for r in rows) / len(rows) < 0.05
+
+
 def test_toxicity_learns_words_and_misspellings(spark):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
