@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +17,13 @@ from pyspark.sql import functions as F
 SAMPLE_DOCUMENTS, SAMPLE_CHARS, LANGUAGES = 120, 1200, 200
 #: A text whose two smallest sizes differ by less than this share of the second is rejected.
 LEAST_MARGIN = 0.003
+#: Texts are compressed in blocks of so many bytes: what a dictionary saves is bounded, so in one piece the margin of a
+#: long text would shrink with its length.
+BLOCK_BYTES = 8192
+#: Texts of fewer bytes whose sizes, in whole bytes, are too close are told by trigrams of the dictionaries.
+SHORT_BYTES = 512
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER, WORD = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]+")
 
 
 def learn(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "lang", documents: int = SAMPLE_DOCUMENTS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
@@ -42,20 +49,52 @@ class Compressors:
     """Sizes of texts under each language's dictionary."""
 
     def __init__(self, dictionaries: dict[str, bytes], level: int = 6):
-        self.langs = sorted(dictionaries)
+        self.langs, self.dictionaries = sorted(dictionaries), dictionaries
+        self.trigrams: list[tuple[Counter, Counter]] = []
         self.by = []
         for k in self.langs:
             data = zstandard.ZstdCompressionDict(dictionaries[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.by.append(zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def sizes(self, raw: bytes) -> list[int]:
-        return [len(c.compress(raw)) for c in self.by]
+        """The sums over the blocks of the whole text."""
+        blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)] or [raw]
+        return [sum(len(c.compress(b)) for b in blocks) for c in self.by]
+
+    def bits(self, text: str) -> list[float]:
+        """Code lengths of a text under each dictionary's character trigrams: sizes that seldom tie."""
+        if not self.trigrams:
+            for k in self.langs:
+                t = _spaced(self.dictionaries[k].decode(errors="ignore"))
+                self.trigrams.append((Counter(zip(t, t[1:], t[2:], strict=False)), Counter(zip(t, t[1:], strict=False))))
+        t = _spaced(text)
+        out = []
+        for three, two in self.trigrams:
+            out.append(-sum(math.log2((three[x] + 0.1) / (two[x[:2]] + 10)) for x in zip(t, t[1:], t[2:], strict=False)))
+        return out
+
+    def judge(self, text: str, least_margin: float) -> tuple[int, float]:
+        """The place in langs of a text's language, and its margin to the second-best as a share of the second's size."""
+        raw = text.lower().encode()
+        best, margin = _least(self.sizes(raw))
+        return _least(self.bits(text)) if margin < least_margin and len(raw) < SHORT_BYTES else (best, margin)
+
+
+def _spaced(text: str) -> str:
+    """Lower-case words of letters, a space around each."""
+    return f" {' '.join(WORD.findall(text.lower()))} "
+
+
+def _least(sizes: list[float]) -> tuple[int, float]:
+    best = int(np.argmin(sizes))
+    rest = min(sizes[:best] + sizes[best + 1 :], default=None)
+    return best, 1.0 if rest is None else float((rest - sizes[best]) / rest)
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", least_margin: float = LEAST_MARGIN) -> DataFrame:
     """docs with lang_pred, score and rejected added (columns of these names are replaced).
 
-    Every whole text is compressed once per language; the smallest size wins, ties going to the language first in the
+    Every whole text is compressed once per language, block by block; the smallest sum wins, ties going to the language first in the
     alphabet. score is 0.5 to 1 and rises with the margin to the second-best size. A text that is null or has no
     letter gets `und`, score 0, and is rejected; so is a text whose margin is under least_margin. With a single
     language there is no margin and nothing else is rejected; without any, all is `und`. Repeated rows stay.
@@ -75,10 +114,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
                     score.append(0.0)
                     out.append(True)
                     continue
-                sizes = np.array(by.sizes(t.lower().encode()))
-                best = int(sizes.argmin())
-                rest = np.delete(sizes, best)
-                margin = (rest.min() - sizes[best]) / rest.min() if len(rest) else 1.0
+                best, margin = by.judge(t, least_margin)
                 pred.append(by.langs[best])
                 score.append(float(1 - 0.5 * np.exp(-40 * margin)))
                 out.append(bool(margin < least_margin))

@@ -148,6 +148,18 @@ def test_a_rare_label_leaves_the_other_languages_as_they_are(spark):
     assert sum(r.rejected for r in rows) / len(rows) < 0.05
 
 
+def test_clean_texts_are_kept_at_any_length(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").filter("lang is not null and text is not null").select("doc_id", "text", "lang")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    dictionaries = langid.learn(docs, ~held)
+    english = " ".join(r.text for r in docs.filter(held & (F.col("lang") == "en")).orderBy("doc_id").collect())
+    long = (english * (6_000_000 // len(english) + 1))[:6_000_000]
+    short = ["The shor.", "Thre er. And erhe.", "Hahere ananing re.", "Ente erkeitung chst."]
+    rows = spark.createDataFrame(list(enumerate([long, *short])), "doc_id long, text string")
+    got = sorted((r.doc_id, r.lang_pred, r.rejected) for r in langid.identify(rows, dictionaries).select("doc_id", "lang_pred", "rejected").collect())
+    assert got == [(i, "de" if i == 4 else "en", False) for i in range(5)]
+
+
 def test_toxicity_learns_words_and_misspellings(spark):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
