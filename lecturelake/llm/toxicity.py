@@ -16,6 +16,9 @@ WINDOW = 24
 #: Labelled documents per label that a model is fitted on, characters of each and
 #: windows of each. These bound the fit alone; scoring takes whole texts.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS, SAMPLE_WINDOWS = 1200, 20_000, 16
+#: Longer runs without white space are scored and learned in pieces of so many characters; pieces overlap by so many,
+#: so that no n-gram falls between two of them.
+PIECE, OVERLAP = 40, 4
 #: Distinct words whose logit a Python process remembers.
 CACHE_WORDS = 400_000
 
@@ -23,14 +26,15 @@ EDGE = " \t\r\n.,;:!?#*$%&|<>()[]{}\"'-_=+~"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case words without punctuation at their ends; of a word that follows itself, one stays."""
+    """Lower-case words without punctuation at their ends, in pieces where long; of a word that follows itself, one stays."""
     words = [w for x in (text or "").lower().split() if (w := x.strip(EDGE))]
-    return [w for w, before in zip(words, [None, *words], strict=False) if w != before]
+    once = [w for w, before in zip(words, [None, *words], strict=False) if w != before]
+    return [w[i : i + PIECE] for w in once for i in range(0, max(1, len(w) - OVERLAP), PIECE - OVERLAP)]
 
 
 def grams(word: str, buckets: int) -> list[int]:
     """Buckets of the word itself and of its character n-grams of 3 to 5, its ends marked."""
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     found = {w, *(w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1))}
     return sorted({zlib.crc32(g.encode()) % buckets for g in found})
 

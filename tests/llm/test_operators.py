@@ -174,6 +174,18 @@ def test_toxicity_learns_words_and_misspellings(spark):
     assert {r.predicted for r in toxicity.score(odd, neutral).collect()} <= {0, 1}
 
 
+def test_toxicity_reads_runs_without_white_space_whole():
+    texts = [f"{a} {b} day" for a in ("moron", "idiot") for b in ("moron", "idiot", "stupid")] * 4 + ["nice day", "good morning day", "nice good day"] * 8
+    model = toxicity.fit(texts, [1] * 24 + [0] * 24, buckets=1 << 10)
+    scorer = toxicity.Scorer(model.gram_logits(), float(model.bias[1] - model.bias[0]))
+    head = "nice,day," * 6
+    clean, toxic = scorer.score(head + "good,day," * 50), scorer.score(head + "moron,idiot," * 50)
+    assert clean < 0.5 < toxic
+    run = "".join(chr(0x4E00 + 7 * i) for i in range(500))
+    pieces = toxicity.words_of(run)
+    assert {run[i : i + 5] for i in range(496)} == {p[i : i + 5] for p in pieces for i in range(len(p) - 4)} and max(map(len, pieces)) <= 40
+
+
 def base(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
