@@ -2,8 +2,8 @@
 
 Documents with equal n-gram sets are one node. The n-grams of a node are ordered rare first, and only a prefix is
 indexed: two sets of the similarity asked for share an n-gram in their prefixes. Candidates pass a length filter, a
-positional filter and a suffix filter (a bound on the overlap from counts by ranges of the n-grams' hashes), and each
-pair is verified once on the whole sets.
+positional filter and a suffix filter (a bound on the overlap from counts by ranges of the n-grams' hashes), and pairs are
+verified on the whole sets; one that failed in a round can be verified again in a later one.
 """
 
 from __future__ import annotations
@@ -377,7 +377,7 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, tex
 def keep_one(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without those whose component has a smaller key; all columns stay. Documents without words are kept.
 
-    Rows with a null key are kept unless they link with a keyed document. Rows that repeat a kept key all stay.
+    Rows with a null key are all kept, also where they link with other rows. Rows that repeat a kept key all stay.
     """
     groups = near_duplicates(docs, n, threshold, text, key)
     kept = groups.filter(F.col("component_id") == F.col(key)).select(F.col(key).alias("kept_key")).distinct()
