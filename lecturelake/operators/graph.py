@@ -2,35 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def written(df: DataFrame) -> DataFrame:
-    """df by way of the shared folder, so that loops keep short lineage and survive lost executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/spark-lecturelake"
-    path = f"{folder.rstrip('/')}/graph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import discard, stored
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component: the least node that undirected edges (src, dst) reach. Labels spread to neighbours and jump
-    to their label's label, so the rounds grow with the logarithm of a chain."""
-    both = written(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct())
-    now = written(nodes.select("node", F.col("node").alias("component")).distinct())
+    to their label's label, so the rounds grow with the logarithm of a chain. Nodes that only edges name count too."""
+    both = stored(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct(), "edges")
+    every = nodes.select("node").union(both.select("src")).distinct()
+    now = stored(every.select("node", F.col("node").alias("component")), "labels")
     while True:
         near = both.join(now, both.dst == now.node).groupBy("src").agg(F.min("component").alias("near"))
         to = now.join(near, now.node == near.src, "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("to"))
         jump = now.select(F.col("node").alias("to"), F.col("component").alias("far"))
-        new = written(to.join(jump, "to").select("node", "far", (F.col("far") != F.col("component")).alias("moved"), "component"))
-        now = new.select("node", F.col("far").alias("component"))
+        new = stored(to.join(jump, "to").select("node", F.col("far").alias("component"), (F.col("far") != F.col("component")).alias("moved")), "labels")
+        discard(now)
+        now = new
         if new.filter("moved").limit(1).count() == 0:
-            return now
+            discard(both)
+            return now.select("node", "component")
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
@@ -40,6 +33,6 @@ def bfs(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     last = seen
     for d in range(1, hops + 1):
         new = last.join(both, last.node == both.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        last = written(new.withColumn("depth", F.lit(d).cast("long")))
+        last = stored(new.withColumn("depth", F.lit(d).cast("long")), "depth")
         seen = seen.unionByName(last)
     return seen

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import new_path
+
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path not yet used, in the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/spark-lecturelake"
-    return f"{shared.rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
+    return new_path(spark, f"files/{name}")
 
 
 def read_optional(spark: SparkSession, paths: list[str], schema: str, fmt: str = "json") -> DataFrame:

@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/spark-lecturelake"
-    return f"{shared.rstrip('/')}/stream/{uuid.uuid4().hex}"
+from ..storage import new_path
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -22,7 +16,7 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
 def drained(stream: DataFrame) -> DataFrame:
     """Run a stream over what is there now and return what it wrote."""
     spark = stream.sparkSession
-    at = _folder(spark)
+    at = new_path(spark, "stream/run")
     save = lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out")  # noqa: E731  complete mode: each batch is the whole result
     stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{at}/checkpoint").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
@@ -43,7 +37,7 @@ def sessions(events: DataFrame, time: str, key: str, gap: str) -> DataFrame:
 def drained_rows(stream: DataFrame) -> DataFrame:
     """Like drained, for streams that append: the rows of all batches."""
     spark = stream.sparkSession
-    at = _folder(spark)
+    at = new_path(spark, "stream/run")
     stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
