@@ -15,21 +15,19 @@ REQUESTS = ("추천해줘", "추천해 주세요", "추천해주세요", "추천
 
 #: The shortest stem of two characters or more that a particle follows, so the longest particle goes.
 LAST_PARTICLE = f"^(.{{2,}}?)(?:{'|'.join(PARTICLES)})$"
+#: The same for all particles that stand at the end; a request phrase, the longest that fits.
+ALL_PARTICLES = f"^(.{{2,}}?)(?:\\s*(?:{'|'.join(PARTICLES)}))+$"
+REQUEST = "|".join(sorted(REQUESTS, key=lambda x: -len(x)))
 
 
 def strip_particles(c: Column) -> Column:
-    """Take particles off the end, the longest first, while two characters remain; null stays null."""
-    once = lambda x, _: F.trim(F.regexp_replace(x, LAST_PARTICLE, "$1"))
-    term = normalize_term(c)
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(term), F.lit(1))), term, once)
+    """Take particles off the end while two characters remain; null stays null."""
+    return F.trim(F.regexp_replace(normalize_term(c), ALL_PARTICLES, "$1"))
 
 
 def strip_requests(c: Column) -> Column:
-    """Take request phrases out, longer ones first."""
-    out = normalize_term(c)
-    for phrase in sorted(REQUESTS, key=lambda x: -len(x)):
-        out = F.replace(out, F.lit(phrase), F.lit(" "))
-    return normalize_term(out)
+    """Take request phrases out; where several begin at one place, the longest goes."""
+    return normalize_term(F.regexp_replace(normalize_term(c), REQUEST, " "))
 
 
 def base(c: Column) -> Column:
@@ -51,6 +49,28 @@ def concept_match(a: Column, b: Column) -> Column:
     return F.coalesce(full & same, F.lit(False))
 
 
+def forms(terms: Column) -> Column:
+    """An array's terms as array<struct<term, tight, keys>>, empty and null ones left out, so that each is worked out once."""
+    some = F.filter(F.transform(terms, normalize_term), lambda x: F.length(x) > 0)
+    return F.transform(some, lambda x: F.struct(x.alias("term"), compact(x).alias("tight"), lookup_keys(x).alias("keys")))
+
+
+def alike(a: Column, b: Column) -> Column:
+    """concept_match of two forms."""
+    return (a["tight"] == b["tight"]) | F.arrays_overlap(a["keys"], b["keys"]) | F.contains(a["term"], b["term"]) | F.contains(b["term"], a["term"])
+
+
+def names_subject(a: Column, b: Column) -> Column:
+    """Whether form a names the subject b: as alike, except that a must not be a part of b only."""
+    return (a["tight"] == b["tight"]) | F.arrays_overlap(a["keys"], b["keys"]) | F.contains(a["term"], b["term"])
+
+
+def expanded(terms: Column) -> Column:
+    """Distinct normalized terms of an array and their lookup keys."""
+    some = F.filter(F.transform(terms, normalize_term), lambda x: F.length(x) > 0)
+    return F.array_distinct(F.flatten(F.transform(some, lambda x: F.concat(F.array(x), lookup_keys(x)))))
+
+
 def without_alias(c: Column) -> Column:
     """Of `head (alias)` or `head [alias]`, the side written in Hangul, the head first; otherwise the title as it is."""
     parts = re.compile(r"^(.*\S)\s*[(\[]([^()\[\]]+)[)\]]$").pattern

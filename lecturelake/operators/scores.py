@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 from .ranking import clamp01
 
 # Match levels from weakest to strongest, each with its cap where all terms match and where some do.
-LEVELS = ("none", "summary", "mention", "community", "relation", "keyword_low", "introduced", "keyword_high", "core")
-CAPS_ALL = (0.30, 0.42, 0.45, 0.48, 0.52, 0.62, 0.68, 1.00, 1.00)
-CAPS_SOME = (0.30, 0.35, 0.40, 0.40, 0.42, 0.52, 0.58, 1.00, 1.00)
+TOPIC_CAPS = {
+    "none": (0.30, 0.30),
+    "summary": (0.42, 0.35),
+    "mention": (0.45, 0.40),
+    "community": (0.48, 0.40),
+    "relation": (0.52, 0.42),
+    "keyword_low": (0.62, 0.52),
+    "introduced": (0.68, 0.58),
+    "keyword_high": (1.00, 1.00),
+    "core": (1.00, 1.00),
+}
+LEVELS = tuple(TOPIC_CAPS)
 #: A summary alone earns its full cap from this centrality on.
 SUMMARY_FLOOR = 0.20
 #: A component counts in full from this ratio on; conditions take this share of the displayed score.
@@ -38,9 +47,9 @@ def match_level(role: Column, keyword: Column, text: Column, relation: Column, c
 
 def topic_cap(level: Column, central: Column, all_matched: Column) -> Column:
     """The highest score a lecture may get; level is a place in LEVELS."""
-    at = lambda caps: F.get(F.array(*[F.lit(x) for x in caps]), level)
+    at = lambda which: F.get(F.array(*[F.lit(caps[which]) for caps in TOPIC_CAPS.values()]), level)
     full = all_matched & ((level != LEVELS.index("summary")) | (central >= SUMMARY_FLOOR))
-    return F.when(full, at(CAPS_ALL)).otherwise(at(CAPS_SOME))
+    return F.when(full, at(0)).otherwise(at(1))
 
 
 def visual_score(density: Column, concept: Column, preferred: Column) -> Column:

@@ -39,23 +39,21 @@ def document_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, key: str, title: str, summary: str, query: dict[str, float]) -> DataFrame:
-    """key, score > 0 for documents that hold a weighted query term.
+    """key, score > 0 for documents that hold a weighted query term; keys are unique.
 
-    One scan counts every document's weighted length and its query terms in place, so only matches are shuffled.
+    A scan tokenizes each text once, leaves a row for each occurrence of a query term and sums those up before they are
+    shuffled; a second scan takes the number and mean length of documents.
     """
-    t, s = tokens(F.col(title)), tokens(F.col(summary))
-    sized = docs.select(key, t.alias("t"), s.alias("s"))
-    sized = sized.withColumn("dl", F.size("t") * TITLE_WEIGHT + F.size("s") * SUMMARY_WEIGHT)
-    count = lambda a, term: F.size(F.filter(a, lambda x: x == term))
-    tf = [F.struct(F.lit(q).alias("term"), F.lit(float(w)).alias("qw"), (count(F.col("t"), F.lit(q)) * TITLE_WEIGHT + count(F.col("s"), F.lit(q)) * SUMMARY_WEIGHT).alias("tf")) for q, w in query.items()]
-    sized = sized.select(key, "dl", F.array(*tf).alias("hit"))
-    totals = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.get(F.col("hit"), F.lit(i)).tf > 0).cast("long")).alias(f"df{i}") for i in range(len(query))])
-    totals = totals.select("n", "avgdl", F.array(*[f"df{i}" for i in range(len(query))]).alias("df"))
-    total = totals.select(F.struct("n", "avgdl", "df")).scalar()
-    rows = sized.filter(F.exists("hit", lambda h: h.tf > 0)).withColumn("c", total)
-    gain = F.aggregate(
-        F.transform("hit", lambda h, i: h.qw * F.log(1 + (F.col("c.n") - F.get(F.col("c.df"), i) + 0.5) / (F.get(F.col("c.df"), i) + 0.5)) * h.tf * (K1 + 1) / (h.tf + K1 * (1 - B + B * F.col("dl") / F.col("c.avgdl")))),
-        F.lit(0.0),
-        lambda a, x: a + x,
-    )
-    return rows.select(key, gain.alias("score")).filter("score > 0")
+    sized = docs.select(key, tokens(F.col(title)).alias("t"), tokens(F.col(summary)).alias("s"))
+    length = (F.coalesce(F.size("t"), F.lit(0)) * TITLE_WEIGHT + F.coalesce(F.size("s"), F.lit(0)) * SUMMARY_WEIGHT).alias("dl")
+    wanted = lambda a, w: F.transform(F.filter(F.coalesce(a, F.array().cast("array<string>")), lambda x: x.isin(*query)), lambda x: F.struct(x.alias("term"), F.lit(w).alias("w")))
+    # the outer form, since for the inner one the optimizer would tokenize once more to see whether there is a hit
+    hits = sized.select(key, length, F.explode_outer(F.concat(wanted(F.col("t"), TITLE_WEIGHT), wanted(F.col("s"), SUMMARY_WEIGHT))).alias("m"))
+    tf = hits.filter("m is not null").groupBy(key, "dl", F.col("m.term").alias("term")).agg(F.sum("m.w").alias("tf"))
+    totals = sized.select(length).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).select(F.struct("n", "avgdl")).scalar()
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("c", totals)
+    weight = F.element_at(F.create_map(*[x for q, w in query.items() for x in (F.lit(q), F.lit(float(w)))]), F.col("term"))
+    rows = tf.join(F.broadcast(df), "term")  # a row for each query term at most
+    idf = F.log(1 + (F.col("c.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    gain = weight * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("c.avgdl")))
+    return rows.groupBy(key).agg(F.sum(gain).alias("score")).filter("score > 0")

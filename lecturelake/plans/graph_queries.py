@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
 from ..operators.windows import latest
 from .tables import Tables, query
 
@@ -68,34 +67,6 @@ def _(t: Tables):
     return x.select(F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("dst"))
 
 
-_COMPONENTS = "c AS (SELECT node AS a, node AS b FROM nodes UNION SELECT c.a, e.y FROM c JOIN (SELECT src AS x, dst AS y FROM k UNION SELECT dst, src FROM k) e ON c.b = e.x)"
-
-
-@query("graph_components", f"WITH RECURSIVE nodes AS (SELECT 'nation/' || n_nationkey AS node FROM nation UNION ALL SELECT 'region/' || r_regionkey FROM region), {_EDGES}, k AS (SELECT * FROM edges WHERE rel = 'IN_REGION'), {_COMPONENTS} SELECT a AS node, min(b) AS component FROM c GROUP BY 1")
-def _(t: Tables):
-    return graph.components(nodes(t).filter("label in ('Nation', 'Region')"), edges(t).filter("rel = 'IN_REGION'"))
-
-
-@query("graph_components_constrained", f"WITH RECURSIVE nodes AS (SELECT 'nation/' || n_nationkey AS node FROM nation UNION ALL SELECT 'region/' || r_regionkey FROM region), {_EDGES}, k AS (SELECT * FROM edges WHERE rel = 'IN_REGION' AND src NOT IN ('nation/3', 'nation/7')), {_COMPONENTS} SELECT a AS node, min(b) AS component FROM c GROUP BY 1")
-def _(t: Tables):
-    vetoed = t.nation.filter("n_nationkey in (3, 7)").select(_id("nation", "n_nationkey").alias("src"), _id("region", "n_regionkey").alias("dst"))
-    approved = edges(t).filter("rel = 'IN_REGION'").join(vetoed, ["src", "dst"], "left_anti")
-    return graph.components(nodes(t).filter("label in ('Nation', 'Region')"), approved)
-
-
-@query("graph_bfs_depth", f"""WITH RECURSIVE {_EDGES}, b AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges),
-r AS (SELECT 'nation/7' AS node, 0 AS d UNION SELECT b.y, d + 1 FROM r JOIN b ON b.x = r.node WHERE d < 3)
-SELECT node, CAST(min(d) AS BIGINT) AS depth FROM r GROUP BY 1""")
-def _(t: Tables):
-    return graph.bfs(edges(t), nodes(t).filter("node = 'nation/7'").select("node"), 3)
-
-
-@query("graph_weighted_neighbors", "SELECT l_partkey, round(sum(CASE WHEN l_returnflag = 'N' THEN l_quantity * 0.3 ELSE l_quantity END) / sum(l_quantity), 6) AS ratio FROM lineitem GROUP BY 1")
-def _(t: Tables):
-    w = F.when(F.col("l_returnflag") == "N", F.col("l_quantity") * 0.3).otherwise(F.col("l_quantity"))
-    return t.lineitem.groupBy("l_partkey").agg(F.round(F.sum(w) / F.sum("l_quantity"), 6).alias("ratio"))
-
-
 @query("graph_contrast_ratio", "SELECT l_suppkey, round(count(*) FILTER (l_returnflag = 'R') / count(*), 6) AS ratio FROM lineitem GROUP BY 1")
 def _(t: Tables):
     return t.lineitem.groupBy("l_suppkey").agg(F.round(F.count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1)), 6).alias("ratio"))

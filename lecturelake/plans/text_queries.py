@@ -183,19 +183,3 @@ def _(t: Tables):
 @query("str_color", "SELECT s_suppkey, '#' || substr(md5(s_name), 1, 6) AS color FROM supplier")
 def _(t: Tables):
     return t.supplier.select("s_suppkey", F.concat(F.lit("#"), F.substring(F.md5("s_name"), 1, 6)).alias("color"))
-
-
-@query("str_ngram_cosine", """
-WITH g AS (SELECT item_id, g, count(*) AS n FROM (SELECT item_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) AS g FROM (SELECT item_id, lower(substr(text, 1, 120)) AS text FROM benchmark)) GROUP BY 1, 2),
-m AS (SELECT item_id, sqrt(sum(n * n)) AS norm FROM g GROUP BY 1)
-SELECT a.item_id AS a, b.item_id AS b, round(sum(a.n * b.n) / (ma.norm * mb.norm), 4) AS cosine
-FROM g a JOIN g b ON a.g = b.g AND a.item_id < b.item_id JOIN m ma ON ma.item_id = a.item_id JOIN m mb ON mb.item_id = b.item_id GROUP BY a.item_id, b.item_id, ma.norm, mb.norm""")
-def _(t: Tables):
-    low = F.lower(F.substring("text", 1, 120))
-    n = F.length(low) - 2
-    grams = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(low, i, F.lit(3)))
-    g = t.benchmark.select("item_id", F.explode(grams).alias("g")).groupBy("item_id", "g").agg(F.count(F.lit(1)).alias("n"))
-    m = g.groupBy("item_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    a, b = g.join(m, "item_id").alias("a"), g.join(m, "item_id").alias("b")
-    met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.item_id") < F.col("b.item_id")))
-    return met.groupBy(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b")).agg(F.round(F.sum(F.col("a.n") * F.col("b.n")) / (F.first("a.norm") * F.first("b.norm")), 4).alias("cosine"))
