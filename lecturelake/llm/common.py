@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import discard, new_path, stored
+
+__all__ = ["CHUNK_BYTES", "blocks", "crc_mod", "discard", "mix", "new_path", "read", "schema_of", "stored", "text_chunks", "utf8"]
+
 #: Bytes of text that the numpy passes take at once; one longer document is still taken whole.
 CHUNK_BYTES = 1 << 20
 
@@ -21,26 +23,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every machine of the cluster sees (spark.checkpoint.dir); only where that is unset, a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(shared_dir, "local", None) or tempfile.mkdtemp(prefix="spark-lecturelake-")
-        shared_dir.local = folder
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    This cuts lineage: a lost executor costs only the tasks under way, since everything before lies in shared storage.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lecturelake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def blocks(spark: SparkSession, at_least: int = 1) -> int:
     """The number of partitions that work is dealt out to."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
