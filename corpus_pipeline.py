@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lecturelake.llm import langid, ngram_join, packing, pii, suffix
-from lecturelake.llm.common import crc_mod, read, shared_dir
+from lecturelake.llm.common import crc_mod, read, stored
 from lecturelake.llm.queries import SURROGATE_KEY, TOKENIZER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -55,7 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/lecturelake/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
