@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.text import compact, normalize_term
 
@@ -82,7 +83,7 @@ def sentences(c: Column) -> Column:
     """Sentences by end marks or Korean final endings; what is left at the end is one too."""
     x = F.trim(F.regexp_replace(c, r"\s+", " "))
     found = F.regexp_extract_all(x, F.lit(r".+?(?:[.!?。！？]+|(?:다|요|죠|니다|습니다|어요|예요|에요)(?=\s|$)|$)"), F.lit(0))
-    return F.filter(F.transform(found, F.trim), lambda s: s != "")
+    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda s: s != "")
 
 
 def trimmed(c: Column, most: int) -> Column:
@@ -108,13 +109,13 @@ def excerpt(c: Column, least: int = 35, most: int = 120, n: int = 3) -> Column:
 def without_boilerplate(c: Column, words, most: int = 360) -> Column:
     """Sentences without any of the words, or the whole where none is left, cut to most characters."""
     parts = F.split(F.trim(c), r"(?<=[.!?。！？])\s+|(?<=다\.)\s*")
-    kept = F.filter(F.transform(parts, F.trim), lambda s: (s != "") & ~s.rlike(any_of(words)))
+    kept = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda s: (s != "") & ~s.rlike(any_of(words)))
     return F.trim(F.substring(F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(F.trim(c)), 1, most))
 
 
 def is_contents(c: Column) -> Column:
     """Whether a slide lists numbered chapters: five numbers or more, none twice, from 1 on, the first five rising by 2 at most."""
-    numbers = F.transform(F.filter(F.transform(F.split(c, r"\n"), F.trim), lambda x: x.rlike(r"^\d{1,9}\s*[.)]?\s+\S+")), lambda x: F.regexp_extract(x, r"^(\d+)", 1).cast("int"))
+    numbers = F.transform(F.filter(F.transform(F.split(c, r"\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^\d{1,9}\s*[.)]?\s+\S+")), lambda x: F.regexp_extract(x, r"^(\d+)", 1).cast("int"))
     first = F.slice(numbers, 1, 5)
     steps = F.zip_with(F.slice(first, 2, 4), F.slice(first, 1, 4), lambda b, a: b - a <= 2)
     return F.coalesce((F.size(numbers) >= 5) & (F.size(F.array_distinct(numbers)) == F.size(numbers)) & (F.get(numbers, F.lit(0)) == 1) & F.forall(steps, lambda x: x), F.lit(False))
@@ -128,7 +129,7 @@ def question_class(c: Column) -> Column:
 
 def question_keywords(c: Column, stopwords) -> Column:
     """Quoted phrases, then words without a particle and stop-words, each once; 표 and 그림 may be short."""
-    quoted = F.transform(F.regexp_extract_all(c, F.lit("['‘’“”「」]([^'‘’“”「」]+)['‘’“”「」]"), F.lit(1)), F.trim)
+    quoted = F.transform(F.regexp_extract_all(c, F.lit("['‘’“”「」]([^'‘’“”「」]+)['‘’“”「」]"), F.lit(1)), lambda x: F.trim(x))
     words = F.split(F.trim(F.regexp_replace(c, r"['‘’“”「」?？!！.,，。·\s]+", " ")), " ")
     bare = F.transform(words, lambda w: F.regexp_replace(w, f"(?:{'|'.join(QUESTION_PARTICLES)})$", ""))
     bare = F.transform(bare, lambda w: F.when(w.isin("중요한", "중요하게", "중요도"), "중요").when(w.isin("핵심적인", "핵심적"), "핵심").when(w.startswith("비교"), "비교").when(w.startswith("강조"), "강조").otherwise(w))
@@ -188,7 +189,7 @@ def edited(c: Column, edits: Column) -> Column:
     return F.aggregate(F.reverse(clear), c, lambda t, e: F.concat(F.substring(t, F.lit(1), e["start"]), e["new"], F.substring(t, e["stop"] + 1, F.length(t))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks (not an edit distance); 0 where one is null or empty."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])

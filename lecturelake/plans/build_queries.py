@@ -253,11 +253,11 @@ def _(t: Tables):
     return bridge.groupBy("p_partkey").agg(F.count_distinct("id").alias("slides"))
 
 
-@query("join_report", "SELECT n_nationkey, coalesce(nullif(r_name, 'ASIA'), n_name) AS title FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey < 4")
+@query("join_report", "SELECT c_custkey, coalesce(s_name, c_name) AS title FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey AND s_acctbal > 0")
 def _(t: Tables):
     """A community with its report, whose title wins where it has one."""
-    r = t.region.filter("r_regionkey < 4").select(F.col("r_regionkey").alias("n_regionkey"), F.nullif("r_name", F.lit("ASIA")).alias("report"))
-    return t.nation.join(r, "n_regionkey", "left").select("n_nationkey", F.coalesce("report", "n_name").alias("title"))
+    r = t.supplier.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("report"))
+    return t.customer.join(r, "c_custkey", "left").select("c_custkey", F.coalesce("report", "c_name").alias("title"))
 
 
 @query("join_any_edge", """WITH n AS (SELECT 'c' || c_custkey AS id, lower(c_mktsegment) AS txt FROM customer UNION ALL SELECT 'o' || o_orderkey, lower(o_orderpriority) FROM orders), e AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders)

@@ -103,11 +103,11 @@ def _(t: Tables):
 
 @query("math_grounding_override", """
 WITH v AS (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 GROUP BY 1), s AS (SELECT o_orderkey, least(1.0, o_totalprice / 500000) AS score, v.l_orderkey IS NOT NULL AS refuted FROM orders LEFT JOIN v ON l_orderkey = o_orderkey)
-SELECT o_orderkey, round(score, 6) AS before, refuted, round(CASE WHEN refuted THEN least(score, 0.299) ELSE score END, 6) AS score FROM s""")
+SELECT o_orderkey, round(score, 8) AS before, refuted, round(CASE WHEN refuted THEN least(score, 0.299) ELSE score END, 8) AS score FROM s""")
 def _(t: Tables):
     v = t.lineitem.filter("l_returnflag = 'R' AND l_quantity > 40").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.lit(True).alias("refuted"))
     x = t.orders.join(v, "o_orderkey", "left").withColumn("refuted", F.coalesce("refuted", F.lit(False))).withColumn("score", F.expr("least(1.0D, o_totalprice / 500000)"))
-    return x.select("o_orderkey", F.round("score", 6).alias("before"), "refuted", F.round(scores.grounded(F.col("score"), F.col("refuted"), 0.3), 6).alias("score"))
+    return x.select("o_orderkey", F.round("score", 8).alias("before"), "refuted", F.round(scores.grounded(F.col("score"), F.col("refuted"), 0.3), 8).alias("score"))
 
 
 @query("vf_normalize_verdict", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import folds
+from ..operators import folds, timeline
 from ..streaming.sessions import distinct_chunks, drained, drained_rows, event_stream, sessions, tumbling, usage
 from ..streaming.states import machine
 from .tables import Tables, query
@@ -14,14 +14,50 @@ def _events(t: Tables):
     return event_stream(t.spark, f"{t.sf_dir}/events.parquet").select("user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("at"))
 
 
-@query("stream_tumbling")
+@query("stream_tumbling", "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def _(t: Tables):
-    return drained(tumbling(_events(t), "at", "6 hours"))
+    x = drained(tumbling(_events(t), "at", "6 hours"))
+    return x.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
-@query("stream_session_gap")
+_SESSIONS = """WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '{0}' THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM o), g AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '{0}' AS stop, count(*) AS n FROM s GROUP BY user_id, s)"""
+
+
+@query("stream_session_gap", _SESSIONS.format("6 hours") + " SELECT user_id, start, stop, n FROM g")
+def _(t: Tables):
+    x = drained(sessions(_events(t), "at", "user_id", "6 hours"))
+    return x.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
+
+
+@query("stream_session_ttl", _SESSIONS.format("180 minutes") + " SELECT user_id, count(*) AS sessions, count(*) FILTER (stop > TIMESTAMP '2024-01-20') AS live FROM g WHERE start < TIMESTAMP '2024-01-20' GROUP BY 1")
+def _(t: Tables):
+    """Heartbeats keep a session for 180 minutes; at a given time it is live or has expired."""
+    x = drained(sessions(_events(t), "at", "user_id", "180 minutes")).withColumn("now", F.lit("2024-01-20").cast("timestamp"))
+    return x.filter("start < now").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.count_if(F.col("stop") > F.col("now")).alias("live"))
+
+
+def scene_metrics(events):
+    """Distances that frames would have, made of an event's id and value."""
+    k, v = F.col("event_id"), F.col("value")
+    return events.select("user_id", "ts", "event_id", (v * 12).alias("mse"), (k % 17).alias("hash"), (v * 9).alias("base_mse"), (k % 13).alias("base_hash"), (v / 200).alias("changed"), (v * 10).alias("fade_mse"), (k % 11).alias("fade_hash"))
+
+
+SCENE = ("event_id", "mse", "hash", "base_mse", "base_hash", "changed", "fade_mse", "fade_hash")
+
+
+@query("stream_slide_change")
+def _(t: Tables):
+    """Scene changes of each user's frames; win_slide_change is the same over the table, with what is pending at the end."""
+    frames = scene_metrics(event_stream(t.spark, f"{t.sf_dir}/events.parquet"))
+    state = "first long, steady long, total long, seen long"
+    return drained_rows(machine(frames, "user_id", ["ts", "event_id"], list(SCENE), timeline.scene_step(2, 4, 3), state, "user_id long, event_id long, reason string"))
+
+
+@query("win_slide_change")
 def _(t: Tables):
-    return drained(sessions(_events(t), "at", "user_id", "6 hours"))
+    step = timeline.scene_step(2, 4, 3)
+    return folds.fold(scene_metrics(t.events), "user_id", ["ts", "event_id"], [*SCENE, "ts"], lambda state, row: step(state, row[:8]), timeline.scene_flush, "user_id long, event_id long, reason string")
 
 
 @query("stream_usage_events", "SELECT event_type, count(*) AS calls, round(sum(value), 2) AS total FROM events GROUP BY 1")

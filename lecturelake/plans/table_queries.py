@@ -196,11 +196,6 @@ def _(t: Tables):
     return t.customer.join(t.orders.filter("o_orderstatus = 'P'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
 
 
-@query("join_anti_orphans", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def _(t: Tables):
-    return t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
-
-
 @query("join_full_key_union", """
 WITH k AS (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT n_nationkey FROM nation)
 SELECT k AS nationkey, n_name, coalesce(c, 0) AS customers, coalesce(s, 0) AS suppliers FROM k LEFT JOIN nation ON n_nationkey = k
@@ -220,12 +215,6 @@ def _(t: Tables):
     return ranking.ranked(ranking.top(x, 20, *order), *order).select("p_partkey", "p_name", F.col("rank").alias("hit"))
 
 
-@query("join_in_list", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7) AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000) ORDER BY l_quantity DESC, l_orderkey, l_linenumber LIMIT 48")
-def _(t: Tables):
-    x = t.lineitem.join(t.part.filter("p_size = 7"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").join(t.supplier.filter("s_acctbal > 5000"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
-    return ranking.top(x.select("l_orderkey", "l_linenumber", "l_quantity"), 48, F.desc("l_quantity"), F.col("l_orderkey"), F.col("l_linenumber"))
-
-
 @query("join_optional_collect", "SELECT n_name, array_to_string(list_sort(list_distinct(list(c_mktsegment))), ',') AS segments, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name")
 def _(t: Tables):
     c = t.customer.groupBy("c_nationkey").agg(F.array_join(F.sort_array(F.collect_set("c_mktsegment")), ",").alias("segments"))
@@ -252,12 +241,6 @@ def _(t: Tables):
     return part("A").intersect(part("R"))
 
 
-@query("set_except", "SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
-def _(t: Tables):
-    part = lambda f: t.lineitem.filter(F.col("l_returnflag") == f).select("l_partkey")
-    return part("A").subtract(part("R"))
-
-
 @query("set_dedupe_order", "SELECT o_custkey, o_orderstatus, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY k) AS BIGINT) AS place FROM (SELECT o_custkey, o_orderstatus, min(o_orderkey) AS k FROM orders GROUP BY 1, 2)")
 def _(t: Tables):
     firsts = t.orders.groupBy("o_custkey", "o_orderstatus").agg(F.min("o_orderkey").alias("k"))
@@ -281,27 +264,6 @@ def _(t: Tables):
 _SLICES = "WITH old AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0), new AS (SELECT * REPLACE (o_totalprice + 1 AS o_totalprice) FROM orders WHERE o_orderkey % 2 = 0)"
 
 
-@query("sink_upsert_row", _SLICES + " SELECT coalesce(new.o_orderkey, old.o_orderkey) AS o_orderkey, round(coalesce(new.o_totalprice, old.o_totalprice), 2) AS price, old.o_orderkey IS NOT NULL AS existed FROM old FULL JOIN new ON old.o_orderkey = new.o_orderkey")
-def _(t: Tables):
-    old = t.orders.filter("o_orderkey % 3 <> 0").select("o_orderkey", F.col("o_totalprice").alias("old"))
-    new = t.orders.filter("o_orderkey % 2 = 0").select("o_orderkey", (F.col("o_totalprice") + 1).alias("new"))
-    x = old.join(new, "o_orderkey", "full")
-    return x.select("o_orderkey", F.round(F.coalesce("new", "old"), 2).alias("price"), F.col("old").isNotNull().alias("existed"))
-
-
-@query("sink_replace_partition", _SLICES + " SELECT o_orderkey FROM old WHERE o_orderstatus NOT IN (SELECT o_orderstatus FROM new WHERE o_orderstatus = 'F') UNION ALL SELECT o_orderkey FROM new WHERE o_orderstatus = 'F'")
-def _(t: Tables):
-    old, new = t.orders.filter("o_orderkey % 3 <> 0"), t.orders.filter("o_orderkey % 2 = 0 and o_orderstatus = 'F'")
-    kept = old.join(new.select("o_orderstatus").distinct(), "o_orderstatus", "left_anti")
-    return kept.select("o_orderkey").unionByName(new.select("o_orderkey"))
-
-
-@query("sink_if_changed", "SELECT c_nationkey, sha256(string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey)) AS fingerprint FROM customer GROUP BY 1")
-def _(t: Tables):
-    ids = F.array_join(F.sort_array(F.collect_list("c_custkey")).cast("array<string>"), ",")
-    return t.customer.groupBy("c_nationkey").agg(F.sha2(ids, 256).alias("fingerprint"))
-
-
 # --- scalars ----------------------------------------------------------------------------------------------------
 
 @query("math_clamp01", "SELECT event_id, round(greatest(0, least(1, value / 50)), 6) AS v FROM events")

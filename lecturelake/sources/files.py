@@ -78,3 +78,45 @@ def write_manifest(spark: SparkSession, bundle: dict[str, str], path: str) -> st
 def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not in gone: a table after a cascading delete."""
     return df.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def read_status(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """name, n (rows), status: ok, or missing where there is no such table."""
+    out = []
+    for name, path in paths.items():
+        try:
+            n, status = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n")).select("n"), "ok"
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            n, status = spark.range(1).select(F.lit(0).cast("long").alias("n")), "missing"
+        out.append(n.select(F.lit(name).alias("name"), "n", F.lit(status).alias("status")))
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    return every
+
+
+def replace_partitions(new: DataFrame, path: str, key: str) -> None:
+    """Write new over those partitions of the table at path that it has rows of; the others stay."""
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str, created: str) -> DataFrame:
+    """old with the rows of new by key: values of new win, but what `created` was stays where a row was there."""
+    rest = [c for c in old.columns if c not in (key, created)]
+    x = old.withColumn("there", F.lit(True)).alias("o").join(new.withColumn("there", F.lit(True)).alias("n"), key, "full")
+    pick = [F.when(F.col("n.there"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in rest]
+    return x.select(key, *pick, F.when(F.col("o.there"), F.col(f"o.{created}")).otherwise(F.col(f"n.{created}")).alias(created))
+
+
+def fingerprints(df: DataFrame, part: str, key: str) -> DataFrame:
+    """part, fingerprint: SHA-256 over a partition's rows as JSON in the order of their keys, whose hashes are joined."""
+    row = F.struct(F.col(key).alias("k"), F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("h"))
+    return df.groupBy(part).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row))["h"], ""), 256).alias("fingerprint"))
+
+
+def changed(old: DataFrame, new: DataFrame, part: str, key: str) -> DataFrame:
+    """part, changed: whether a partition's rows differ between two tables, or it is in one alone."""
+    a, b = fingerprints(old, part, key), fingerprints(new, part, key).withColumnRenamed("fingerprint", "other")
+    return a.join(b, part, "full").select(part, (~F.col("fingerprint").eqNullSafe(F.col("other"))).alias("changed"))
