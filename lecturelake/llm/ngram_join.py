@@ -1,9 +1,11 @@
 """Exact self-join of documents by the Jaccard similarity of their word n-grams, and the groups that its links form.
 
-Documents with equal n-gram sets are one node. The n-grams of a node are ordered rare first, and only a prefix is
-indexed: two sets of the similarity asked for share an n-gram in their prefixes. Candidates pass a length filter, a
-positional filter and a suffix filter (a bound on the overlap from counts by ranges of the n-grams' hashes), and pairs are
-verified on the whole sets; one that failed in a round can be verified again in a later one.
+Documents with equal n-gram sets are one node. A partner lacks at most `slack` of a node's n-grams, so a node of which
+more than that occur nowhere else is alone and goes no further; this is told from the n-grams in a range of the hashes.
+The nodes left order their n-grams by exact counts, rare first: two sets of the similarity asked for share an n-gram in
+their prefixes, and n-grams that no other node has, which come first, are never indexed. Candidates pass a length filter,
+a positional filter and two suffix filters (bounds on the overlap from counts of n-grams in parts of their order, before
+and after whole sets are fetched); what is left is verified once per pair on the whole sets.
 """
 
 from __future__ import annotations
@@ -13,18 +15,29 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, stored, text_chunks
+from ..operators.graph import components
+from .common import blocks, discard, mix, stored, text_chunks
 
 N, THRESHOLD = 5, 80  # words in an n-gram; per cent
-#: Size of the table of n-gram counts that orders them (2 ** SKETCH_BITS counters), and ranges of the suffix filter.
+#: Size of the table of n-gram counts that tells very frequent ones (2 ** SKETCH_BITS counters), and ranges of the first
+#: suffix filter.
 SKETCH_BITS, RANGES = 20, 16
-#: An n-gram counted more often is dealt out by document too, in parts of about so many.
+#: An n-gram counted this often beyond twice the mean counter is very frequent: its postings are dealt out by document.
 PART = 2048
-#: Rounds against pivots at most, and pairs of postings that make another round worth it, as a multiple of all postings.
-ROUNDS, CROSS = 4, 1
+#: The range of hashes in which n-grams without a partner are counted, in units of the share that a partner may lack.
+LOOK = 1.5
+#: Postings that a task gathers before it deals them out.
+GATHERED = 1 << 20
+#: Rounds against pivots at most; pairs of postings that make another round worth it, as a multiple of all postings, if
+#: the round before has halved them.
+ROUNDS, CROSS = 4, 4
+#: Bytes of text hashed at once; longer ones are split at white space.
+HASHED = 1 << 21
+#: The low bits of a node's identifier that go with n-grams where they are only counted.
+NODE_BITS = np.uint64((1 << 40) - 1)
 
 _rng = np.random.default_rng(20240)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -54,6 +67,21 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Hashes of the words (A-Z lower-cased, split at white space and document ends) and the offsets of documents in them."""
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    if len(raw) > HASHED and len(at) == 2:  # one long text, hashed from one white space to the next
+        parts, lo = [], 0
+        while lo < len(raw):
+            hi = min(len(raw), lo + HASHED)
+            while hi < len(raw) and not SPACE[raw[hi]]:
+                gap = np.flatnonzero(SPACE[raw[hi : hi + HASHED]])
+                hi = hi + int(gap[0]) if len(gap) else min(len(raw), hi + HASHED)
+            parts.append(_hash_words(raw[lo:hi], np.array([0, hi - lo]))[0])
+            lo = hi
+        words = np.concatenate(parts)
+        return words, np.array([0, len(words)])
+    return _hash_words(raw, at)
+
+
+def _hash_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = ~SPACE[raw]
     before, after = np.empty_like(inside), np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
@@ -96,37 +124,51 @@ def node_id(grams: np.ndarray) -> int:
     return int((mix(grams ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum() ^ np.uint64(len(grams))).astype(np.uint64).view(np.int64))
 
 
+def slack(size: Column | int, threshold: int) -> Column | int:
+    """How many of its n-grams a partner of a set of this size may lack; a prefix is one n-gram longer."""
+    if isinstance(size, int):
+        return size - -(-threshold * size // 100)
+    return size - F.ceil(size * threshold / F.lit(100))
+
+
 def least_overlap(a: Column, b: Column, threshold: int) -> Column:
     """What sets of sizes a and b must share: the least o with 100 o >= threshold (a + b - o)."""
     return F.ceil((a + b) * threshold / F.lit(100 + threshold))
 
 
-def _profiles(docs: DataFrame, n: int, text: str, key: str) -> DataFrame:
-    """Per document: d, size, node, ranges; and per task, in rows of their own, counts of n-grams by bucket."""
-    rows = docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t"))
-    width = 1 << 16
+def _look(threshold: int) -> np.uint64:
+    """The largest hash of the range that is looked at for n-grams without a partner."""
+    return np.uint64(min(2**64 - 1, int(LOOK * (100 - threshold) / 100 * 2.0**64)))
+
+
+def _profiles(docs: DataFrame, n: int, threshold: int, text: str, key: str) -> DataFrame:
+    """Per document: d, h (hash of its text), size, node, looked (n-grams in the range looked at), ranges; and per task,
+    in rows of their own, counts of n-grams by bucket."""
+    rows = docs.select(F.col(key).cast("long").alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    width, limit = 1 << 16, _look(threshold)
+    names = ["d", "h", "size", "node", "looked", "ranges", "chunk", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["d", "size", "node", "ranges", "chunk", "counts"]
         for batch in batches:
-            for lo, hi, raw, at in text_chunks(batch.column(1)):
+            for lo, hi, raw, at in text_chunks(batch.column(2)):
                 sets = gram_sets(raw, at, n)
                 all_grams = np.concatenate(sets)
                 if len(all_grams):
                     counts += np.bincount((all_grams & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
                 size = np.fromiter(map(len, sets), np.int64, len(sets))
+                looked = np.array([np.searchsorted(s, limit, "right") for s in sets], np.int64)
                 spread = [np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=RANGES).tolist() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array([node_id(s) for s in sets]), pa.array(spread, pa.list_(pa.int32())), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(size), pa.array([node_id(s) for s in sets], pa.int64()), pa.array(looked), pa.array(spread, pa.list_(pa.int32())), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names)
         chunks = [(i, c) for i, c in enumerate(counts.reshape(-1, width)) if c.any()]
         none = len(chunks)
-        yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.list_(pa.int32())), pa.array([i for i, _ in chunks], pa.int32()), pa.array([c.tobytes() for _, c in chunks], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(none, pa.int64()) for _ in range(5)), pa.nulls(none, pa.list_(pa.int32())), pa.array([i for i, _ in chunks], pa.int32()), pa.array([c.tobytes() for _, c in chunks], pa.binary())], names)
 
-    return rows.mapInArrow(run, "d long, size long, node long, ranges array<int>, chunk int, counts binary")
+    return rows.mapInArrow(run, "d long, h long, size long, node long, looked long, ranges array<int>, chunk int, counts binary")
 
 
-def _counts(profiles: DataFrame) -> np.ndarray:
-    """The table of counts, summed: a fixed size whatever the input."""
+def _frequent(profiles: DataFrame) -> np.ndarray:
+    """Buckets of very frequent n-grams: the place of each among them, from 1 on by count, else 0 (a table of fixed size)."""
 
     def add(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -136,7 +178,7 @@ def _counts(profiles: DataFrame) -> np.ndarray:
                 total = c if total is None else total + c
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()])], ["chunk", "counts"])
 
-    out = np.zeros(1 << SKETCH_BITS, np.uint32)
+    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     part = profiles.filter("chunk is not null").select("chunk", "counts")
     # partial sums first, so that no task takes the tables of all others
     part = part.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(8)).cast("int"))
@@ -147,67 +189,166 @@ def _counts(profiles: DataFrame) -> np.ndarray:
     once = part.select("chunk", "counts", "salt").groupBy("chunk", "salt").applyInArrow(add_salted, "chunk int, counts binary")
     for r in once.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
         c = np.frombuffer(r.counts, np.uint32)
-        out[r.chunk * len(c) : (r.chunk + 1) * len(c)] = c
-    return out
+        counts[r.chunk * len(c) : (r.chunk + 1) * len(c)] = c
+    hot = np.flatnonzero(counts > int(2 * counts.mean()) + PART)
+    place = np.zeros(len(counts), np.int32)
+    place[hot[np.lexsort((hot, counts[hot]))]] = np.arange(1, len(hot) + 1)
+    return place
+
 
+def _packed(g: np.ndarray, bottom: int, top: int) -> tuple[int, bytes, bytes]:
+    """Sorted numbers from bottom to top in few bytes: low bytes as they are, the rest as a bitmap of ascending places."""
+    g = g - np.uint64(bottom)
+    low = next((k for k in range(1, 8) if (top - bottom) >> 8 * k <= 8 * len(g)), 7)
+    high = (g >> np.uint64(8 * low)).astype(np.int64) + np.arange(len(g))
+    bits = np.zeros(int(high[-1]) + 1 if len(g) else 0, bool)
+    bits[high] = True
+    return low, np.ascontiguousarray(g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low]).tobytes(), np.packbits(bits).tobytes()
 
-def _postings(docs: DataFrame, counts: np.ndarray, n: int, threshold: int, text: str) -> DataFrame:
-    """Shared prefix n-grams: gram, node, size, pos (its place in the node's rare-first order)."""
+
+def _unpacked(low: int, rest: bytes, bitmap: bytes, bottom: int) -> np.ndarray:
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(bitmap, np.uint8)))
+    high = (high - np.arange(len(high))).astype(np.uint64) << np.uint64(8 * low)
+    wide = np.zeros((len(high), 8), np.uint8)
+    wide[:, :low] = np.frombuffer(rest, np.uint8).reshape(-1, low)
+    return high + wide.view("<u8").ravel() + np.uint64(bottom)
+
+
+def _cuts(block: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of one block begin and end."""
+    at = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(block)]
+    return list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if len(block) else []
+
+
+def _shared(docs: DataFrame, frequent: np.ndarray, n: int, threshold: int, text: str) -> DataFrame:
+    """k (low bits of a node), shared: how many of a node's n-grams in the range looked at another node has too."""
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(counts)
-    hot = int(2 * counts.mean()) + PART
-    n_blocks = 4 * blocks(spark)
+    table = spark.sparkContext.broadcast(frequent > 0)
+    n_blocks, limit = 4 * blocks(spark), _look(threshold)
+    span = (int(limit) >> 16) // n_blocks + 1  # n-grams are told apart by 48 bits here: a false meeting only costs time
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = table.value
-        low = np.uint64(len(count) - 1)
+        hot = table.value
+        low = np.uint64(len(hot) - 1)
         seen: set[int] = set()
+        grams, nodes, held = [], [], 0
+
+        def dealt() -> pa.RecordBatch:
+            g, v = np.concatenate(grams), np.concatenate(nodes)
+            known = hot[(g & low).astype(np.int64)]
+            apart = v[known]
+            g, v = g[~known] >> np.uint64(16), v[~known]
+            order = np.argsort(g)
+            g, v = g[order], v[order]
+            block = (g // np.uint64(span)).astype(np.int32)
+            rows = []
+            for a, b in _cuts(block):
+                at = int(block[a]) * span
+                rows.append((int(block[a]), *_packed(g[a:b], at, at + span), np.ascontiguousarray(v[a:b].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes(), b""))
+            # very frequent n-grams are shared without a look; their nodes go to blocks of their own
+            block = (mix(apart) % np.uint64(n_blocks)).astype(np.int32)
+            order = np.argsort(block, kind="stable")
+            apart, block = apart[order], block[order]
+            rows += [(int(block[a]), 1, b"", b"", b"", apart[a:b].tobytes()) for a, b in _cuts(block)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(2, 6))], ["block", "low", "rest", "bitmap", "v", "apart"])
+
         for batch in batches:
-            grams, nodes, sizes, places = [], [], [], []
             for _, _, raw, at in text_chunks(batch.column(0)):
                 for s in gram_sets(raw, at, n):
                     if not len(s) or (node := node_id(s)) in seen:
                         continue
                     if len(seen) < 1 << 20:
                         seen.add(node)
-                    p = len(s) - -(-threshold * len(s) // 100) + 1
-                    c = count[(s & low).astype(np.int64)]
-                    first = np.argpartition(c, p - 1)[:p] if p < len(s) else np.arange(len(s))
-                    if p < len(s):  # all that tie with the last of the prefix, so that the hash decides
-                        first = np.flatnonzero(c <= c[first].max())
-                    first = first[np.lexsort((s[first], c[first]))][:p]
-                    grams.append(s[first])
-                    nodes.append(np.full(p, node, np.int64))
-                    sizes.append(np.full(p, len(s), np.int32))
-                    places.append(np.arange(p, dtype=np.int32))
-            if not grams:
-                continue
-            g, v, z, o = map(np.concatenate, (grams, nodes, sizes, places))
-            c = count[(g & low).astype(np.int64)]
-            salt = np.where(c > hot, v.view(np.uint64) % np.maximum(1, c // PART).astype(np.uint64), 0).astype(np.uint64)
-            block = (mix(g + salt * BASE) % np.uint64(n_blocks)).astype(np.int32)
-            order = np.argsort(block, kind="stable")
-            g, v, z, o, block, c = (x[order] for x in (g, v, z, o, block, c))
-            cut = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(block)]
-            pieces = [(int(block[a]), g[a:b].tobytes(), v[a:b].tobytes(), z[a:b].tobytes(), o[a:b].tobytes(), (c[a:b] > hot).tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in pieces], pa.int32()), *(pa.array([x[i] for x in pieces], pa.binary()) for i in range(1, 6))], ["block", "g", "v", "z", "o", "hot"])
-
-    def shared(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+                    s = s[: np.searchsorted(s, limit, "right")]
+                    grams.append(s)
+                    nodes.append(np.full(len(s), np.uint64(node & int(NODE_BITS))))
+                    held += len(s)
+                if held >= GATHERED:
+                    yield dealt()
+                    grams, nodes, held = [], [], 0
+        if held:
+            yield dealt()
+
+    def met(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = key[0].as_py() * span
+        g, v, apart = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], []
         for batch in batches:
-            for i, kind in enumerate((np.uint64, np.int64, np.int32, np.int32, np.bool_)):
-                parts[i] += [np.frombuffer(x.as_py(), kind) for x in batch.column(i + 1)]
-        g, v, z, o, h = map(np.concatenate, parts)
+            for _, low, rest, bitmap, nodes, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                g.append(_unpacked(low, rest, bitmap, at)[: len(nodes) // 5])
+                wide = np.zeros((len(nodes) // 5, 8), np.uint8)
+                wide[:, :5] = np.frombuffer(nodes, np.uint8).reshape(-1, 5)
+                v.append(wide.view("<u8").ravel())
+                apart.append(np.frombuffer(other, np.uint64))
+        g, v = np.concatenate(g), np.concatenate(v)
         order = np.lexsort((v, g))
-        g, v, z, o, h = (x[order] for x in (g, v, z, o, h))
-        once = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])]  # copies of a node count once
-        g, v, z, o, h = (x[once] for x in (g, v, z, o, h))
+        g, v = g[order], v[order]
+        once = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])][: len(g)]  # a node counts once, whatever its copies
+        g, v = g[once], v[once]
         same = g[1:] == g[:-1]
-        keep = np.r_[same, False] | np.r_[False, same] | h
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g[keep].view(np.int64), v[keep], z[keep], o[keep])], ["gram", "node", "size", "pos"])
+        hit = (np.r_[same, False] | np.r_[False, same])[: len(g)]
+        k, c = np.unique(np.concatenate([v[hit], *apart]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["k", "shared"])
+
+    dealt = docs.select(F.col(text).alias("t")).mapInArrow(run, "block int, low int, rest binary, bitmap binary, v binary, apart binary")
+    return dealt.groupBy("block").applyInArrow(met, "k long, shared long").groupBy("k").agg(F.sum("shared").alias("shared"))
+
 
-    dealt = docs.select(F.col(text).alias("t")).mapInArrow(run, "block int, g binary, v binary, z binary, o binary, hot binary")
-    return dealt.groupBy("block").applyInArrow(shared, "gram long, node long, size int, pos int")
+def _members(nodes: DataFrame, shared: DataFrame, threshold: int) -> DataFrame:
+    """Of nodes, those that are not alone: of their n-grams in the range looked at, at most `slack` occur nowhere else."""
+    met = nodes.join(shared, F.col("node").bitwiseAND(F.lit(int(NODE_BITS))) == F.col("k"), "left")
+    return met.filter(F.col("looked") - F.coalesce("shared", F.lit(0)) <= slack(F.col("size"), threshold)).select("node", "d", "h", "size", "ranges")
+
+
+def _sets(docs: DataFrame, members: DataFrame, n: int, text: str, key: str) -> DataFrame:
+    """node, grams (its sorted n-gram hashes), from the text of one document of each member."""
+    spark = docs.sparkSession
+    mark = spark.sparkContext.broadcast(_bitmap(members))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = mark.value
+        for batch in batches:
+            h = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(on[(h % np.uint64(len(on))).astype(np.int64)]))
+
+    asked = members.select(F.coalesce("d", F.lit(-1)).alias("d"), "h", "node")
+    texts = rows.mapInArrow(marked, "d long, h long, t string").join(asked, ["d", "h"]).dropDuplicates(["d", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, raw, at in text_chunks(batch.column(1)):
+                sets = gram_sets(raw, at, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "grams"])
+
+    return texts.select("node", "t").mapInArrow(run, "node long, grams binary")
+
+
+def _postings(sets: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
+    """Prefix n-grams that another member has too: gram, node, size, pos (its place in the node's rare-first order), alone
+    (how many of the node's n-grams nobody else has).
+
+    N-grams are counted exactly where they meet, and those with company go back to their nodes, where the prefix is
+    taken. Very frequent ones, ordered after all others by a table of counts, need no count and never meet in one place.
+    """
+    table = sets.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = table.value
+        low = np.uint64(len(place) - 1)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                g = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint64)
+                if len(g):
+                    n = pa.array(np.full(len(g), batch.column(0)[i].as_py(), np.int64))
+                    yield pa.RecordBatch.from_arrays([n, pa.array(np.full(len(g), len(g), np.int32)), pa.array(g.view(np.int64)), pa.array(place[(g & low).astype(np.int64)])], ["node", "size", "gram", "place"])
+
+    rows = sets.select("node", "grams").mapInArrow(run, "node long, size int, gram long, place int")
+    met = rows.filter("place = 0").drop("place").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram"))).filter("n > 1")
+    hot = rows.filter("place > 0").select("node", "size", "gram", (F.col("place") + F.lit(1 << 40)).alias("n"))
+    own = Window.partitionBy("node")
+    placed = met.union(hot).withColumn("alone", (F.col("size") - F.count(F.lit(1)).over(own)).cast("int"))
+    placed = placed.withColumn("pos", F.col("alone") + F.row_number().over(own.orderBy("n", "gram")) - 1)
+    return placed.filter(F.col("pos") <= slack(F.col("size"), threshold)).select("gram", "node", "size", "pos", "alone")
 
 
 def _fits(threshold: int) -> Column:
@@ -218,119 +359,137 @@ def _fits(threshold: int) -> Column:
     return (low * 100 >= high * threshold) & (short <= low - least_overlap(low, low, threshold)) & (F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos")) >= need)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Of pairs (a, b), those that pass the suffix filter and whose whole sets are similar enough."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("ranges").alias(f"{x}_ranges"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    most = F.aggregate(F.zip_with("a_ranges", "b_ranges", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    met = met.filter(most >= least_overlap(F.col("a_size"), F.col("b_size"), threshold)).select("a", "b")
-    met = met.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * shared >= threshold * (len(both) - shared))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+def most_shared(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
+    """A bound on what two sorted sets share: both are cut where x's middle lies, part by part, to a depth."""
+    if not depth or not len(x) or not len(y):
+        return min(len(x), len(y))
+    m = len(x) // 2
+    j = int(np.searchsorted(y, x[m]))
+    same = int(j < len(y) and y[j] == x[m])
+    return same + most_shared(x[:m], y[:j], depth - 1) + most_shared(x[m + 1 :], y[j + same :], depth - 1)
 
-    return met.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
 
+def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets are as similar as asked for; the suffix filter goes first."""
+    if most_shared(x, y) < -(-threshold * (len(x) + len(y)) // (100 + threshold)):
+        return False
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= threshold * (len(both) - shared)
 
-def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """node, comp (the least node that links reach) for the nodes of edges (a, b).
 
-    Alternates the least label among neighbours with a jump to that label's own label, so that chains shorten by
-    halves; each round is written to the shared folder.
-    """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    now = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"), "labels")
-    while True:
-        near = both.join(now, both.b == now.node).groupBy("a").agg(F.min("comp").alias("near"))
-        step = now.join(near, now.node == near.a).select("node", "comp", F.least("comp", "near").alias("to"))
-        jump = now.select(F.col("node").alias("to"), F.col("comp").alias("far"))
-        new = stored(step.join(jump, "to", "left").select("node", F.least("to", F.coalesce("far", "to")).alias("comp"), (F.least("to", F.coalesce("far", "to")) != F.col("comp")).alias("changed")), "labels")
-        now = new.select("node", "comp")
-        if new.filter("changed").limit(1).count() == 0:
-            return now
-
-
-def _links(docs: DataFrame, profiles: DataFrame, nodes: DataFrame, n: int, threshold: int, text: str, key: str) -> DataFrame:
-    """Links (a, b) between nodes, enough to reach what all links reach."""
-    spark = docs.sparkSession
-    postings = stored(_postings(docs, _counts(profiles), n, threshold, text), "postings")
-    wanted = postings.select("node").distinct()
-    # the sets of nodes that share a prefix n-gram: made again from the text of one document of each
-    members = stored(nodes.join(wanted, "node").select("node", "d", "size", "ranges"), "nodes")
-    bits = _bitmap(members)
-    mark = spark.sparkContext.broadcast(bits)
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Of pairs (a, b), those that pass the suffix filter and whose whole sets are similar enough."""
+    met = pairs.join(sets, pairs.a == sets.node).select("a", "b", F.col("grams").alias("ga"))
+    met = met.join(sets, met.b == sets.node).select("a", "b", "ga", F.col("grams").alias("gb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = mark.value
         for batch in batches:
-            d = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            part = batch.filter(pa.array(marked[(mix(d.view(np.uint64)) % np.uint64(len(marked))).astype(np.int64)]))
-            if not part.num_rows:
-                continue
-            for lo, hi, raw, at in text_chunks(part.column(1)):
-                sets = gram_sets(raw, at, n)
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo), pa.array([node_id(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], ["d", "node", "grams"])
+            ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), threshold) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    made = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("d"), F.col(text).alias("t")).mapInArrow(run, "d long, node long, grams binary")
-    sets = stored(made.join(members.select(F.coalesce("d", F.lit(-1)).alias("d"), "node"), ["d", "node"]).groupBy("node").agg(F.first("grams").alias("grams")), "sets")
+    return met.mapInArrow(run, "a long, b long")
 
-    # The order in which nodes are tried as the middle of a group: a copy's own edits are n-grams that nobody shares,
-    # and being rare they come first in its prefix; an original has few of them, and its copies are nearest to it.
-    prefix = F.col("size") - F.ceil(F.col("size") * threshold / F.lit(100)) + 1
-    shares = postings.groupBy("node").agg(F.count(F.lit(1)).alias("shared"), F.first("size").alias("size"))
-    shares = stored(shares.select("node", (prefix - F.col("shared")).cast("int").alias("alone")), "shares")
-    postings = stored(postings.join(shares, "node"), "postings")
 
-    links, active = None, postings
+def _possible(pairs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """Of pairs (a, b), those that pass the first suffix filter: what their ranges of hashes can share is enough."""
+    side = lambda x: members.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("ranges").alias(f"{x}_ranges"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    most = F.aggregate(F.zip_with("a_ranges", "b_ranges", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return met.filter(most >= least_overlap(F.col("a_size"), F.col("b_size"), threshold)).select("a", "b")
+
+
+def _reached(links: list[DataFrame]) -> DataFrame:
+    """node, comp: the least node that links (a, b) reach, for all nodes that they name."""
+    every = links[0]
+    for x in links[1:]:
+        every = every.union(x)
+    every = every.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return components(every.select(F.col("src").alias("node")), every).withColumnRenamed("component", "comp")
+
+
+def _hubs(links: DataFrame) -> DataFrame:
+    """node, comp: where a few steps from a node to its pivot (a to b) lead. Nodes of one comp are linked; those of two
+    may be, so that a step too few costs time alone."""
+    own = links.groupBy("a").agg(F.min("b").alias("b"))
+    now = stored(own.select(F.col("a").alias("node"), F.col("b").alias("comp")), "hubs")
+    far = now.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+    once = stored(now.join(far, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp")), "hubs")
+    discard(now)
+    return once
+
+
+def _links(docs: DataFrame, profiles: DataFrame, nodes: DataFrame, n: int, threshold: int, text: str, key: str) -> list[DataFrame]:
+    """Stored tables of links (a, b) between nodes, enough to reach what all links reach."""
+    frequent = _frequent(profiles)
+    members = stored(_members(nodes, _shared(docs, frequent, n, threshold, text), threshold), "members")
+    sets = stored(_sets(docs, members, n, text, key), "sets")
+    postings = stored(_postings(sets, frequent, threshold), "postings")
+    used, links, tried, active, before = [members, sets, postings], [], None, postings, None
+    total = postings.count()
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The links among pairs that have not been tried before, stored."""
+        nonlocal tried
+        if tried is not None:
+            known = tried.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+            pairs = pairs.join(known, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti")
+        pairs = stored(pairs, "pairs")
+        used.append(pairs)
+        tried = pairs if tried is None else tried.union(pairs)
+        links.append(stored(_verified(pairs, sets, threshold), name))
+        return links[-1]
+
     for turn in range(ROUNDS):
-        # in each n-gram's list one node is the pivot, and each node is verified against the best of its pivots
+        # In each n-gram's list one node is the pivot, and each node is verified against the best of its pivots. First
+        # those come that have few n-grams of their own: a copy's edits are n-grams that nobody shares, an original has
+        # few of them, and its copies are nearest to it.
         rank = F.struct("alone", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("alone"), "node")
         pivots = active.groupBy("gram").agg(F.min(F.struct(rank.alias("rank"), "node", "size", "pos")).alias("p")).select("gram", "p.rank", "p.node", "p.size", "p.pos")
         pairs = active.alias("x").join(pivots.alias("y"), "gram").filter(F.col("x.node") != F.col("y.node")).filter(_fits(threshold))
-        best = pairs.groupBy(F.col("x.node").alias("node")).agg(F.min(F.struct("y.rank", "y.node")).alias("best"))
-        pairs = best.select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b")).distinct()
-        found = stored(_verified(pairs, members, sets, threshold), "links")
-        links = found if links is None else links.union(found)
-        comps = components(links)
-        # what is left: lists whose members are not all in one component yet
-        placed = postings.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        totals = placed.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own")).filter("k > 1")
-        active = stored(placed.join(totals.select("gram"), "gram"), "active")
+        best = pairs.groupBy(F.col("x.node").alias("a")).agg(F.min(F.struct("y.rank", "y.node")).alias("best"))
+        found = verified(best.select("a", F.col("best.node").alias("b")), "links")
+        hubs = _hubs(found) if turn == 0 else stored(_reached(links), "hubs")
+        used.append(hubs)
+        # what is left: lists whose members are not all known to be linked
+        placed = postings.join(hubs, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("gram")
+        active = stored(placed.join(mixed, "gram"), "active")
+        used.append(active)
         totals = active.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"))
         left = totals.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
-        if left <= CROSS * postings.count():
+        if left <= CROSS * total or (before is not None and 2 * left > before):
             break
+        before = left
     if left:
         # pairs of components in a list, then the members of either: members of one component never meet
-        groups = active.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi"))
+        # (the filters as far as a whole component can tell: sizes, n-grams from here on, and a prefix short enough)
+        early = F.col("pos") <= F.col("size") - least_overlap(F.col("size"), F.col("size"), threshold)
+        groups = active.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi"), F.max(F.col("size") - F.col("pos")).alias("rest"), F.bool_or(early).alias("early"))
         g, h = groups.alias("g"), groups.alias("h")
         # the smaller component's members come first, so that the larger one's are only met under the filters
         smaller = F.struct("g.n", "g.comp") < F.struct("h.n", "h.comp")
-        met = g.join(h, (F.col("g.gram") == F.col("h.gram")) & smaller & (F.col("g.hi") * 100 >= F.col("h.lo") * threshold) & (F.col("h.hi") * 100 >= F.col("g.lo") * threshold))
+        sizes = (F.col("g.hi") * 100 >= F.col("h.lo") * threshold) & (F.col("h.hi") * 100 >= F.col("g.lo") * threshold)
+        enough = F.least("g.rest", "h.rest") >= least_overlap(F.col("g.lo"), F.col("h.lo"), threshold)
+        short = (F.col("g.early") & (F.col("g.lo") <= F.col("h.hi"))) | (F.col("h.early") & (F.col("h.lo") <= F.col("g.hi")))
+        met = g.join(h, (F.col("g.gram") == F.col("h.gram")) & smaller & sizes & enough & short)
         met = met.select(F.col("g.gram").alias("gram"), F.col("g.comp").alias("ca"), F.col("h.comp").alias("cb"))
         x = active.select("gram", F.col("comp").alias("ca"), F.struct("node", "size", "pos").alias("x"))
         y = active.select("gram", F.col("comp").alias("cb"), F.struct("node", "size", "pos").alias("y"))
         pairs = met.join(x, ["gram", "ca"]).join(y, ["gram", "cb"]).filter(_fits(threshold))
         pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        links = links.union(stored(_verified(pairs, members, sets, threshold), "links"))
+        verified(_possible(pairs, members, threshold), "links")
+    discard(*used)
     return links
 
 
 def _bitmap(members: DataFrame, bits: int = 1 << 23) -> np.ndarray:
-    """A fixed-size set of the documents asked for: one that it names falsely costs time alone."""
+    """A fixed-size set of the texts asked for: one that it names falsely costs time alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.zeros(bits, bool)
         for batch in batches:
-            d = batch.column(0).to_numpy(zero_copy_only=False)
-            on[(mix(d.view(np.uint64)) % np.uint64(bits)).astype(np.int64)] = True
+            on[(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(bits)).astype(np.int64)] = True
         packed = np.packbits(on).reshape(64, -1)
         rows = [(i, x.tobytes()) for i, x in enumerate(packed) if x.any()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["part", "bits"])
@@ -342,8 +501,7 @@ def _bitmap(members: DataFrame, bits: int = 1 << 23) -> np.ndarray:
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "bits": [x.tobytes()]})
 
     out = np.zeros((64, bits // 512), np.uint8)
-    ids = members.select(F.coalesce("d", F.lit(-1)).alias("d"))
-    for r in ids.mapInArrow(run, "part int, bits binary").groupBy("part").applyInPandas(merge, "part int, bits binary").collect():
+    for r in members.select("h").mapInArrow(run, "part int, bits binary").groupBy("part").applyInPandas(merge, "part int, bits binary").collect():
         out[r.part] = np.frombuffer(r.bits, np.uint8)
     return np.unpackbits(out).astype(bool)
 
@@ -354,20 +512,23 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, tex
     A-Z is lower-cased and words are runs without ASCII white space; a document's set holds its distinct n-word
     shingles, with fewer words the whole sequence as one. Two documents link when 100 * intersection >= threshold *
     union, in whole numbers. Documents without words, null texts included, link with nothing and are their own
-    component. Rows that repeat a key are one document as far as components go, and come out as often as they come in.
-    A null key has no part in the smallest key; its component is that of its links, or null. Only key and text are
-    read. Sets are told apart by 64-bit hashes of words and n-grams.
+    component. Keys are whole numbers or what casts to them. Rows that repeat a key are one document as far as
+    components go, and come out as often as they come in. A null key has no part in the smallest key; its component is
+    that of its links, or null. Only key and text are read. Sets are told apart by 64-bit hashes of words and n-grams.
     """
-    profiles = stored(_profiles(docs, n, text, key), "profiles")
+    profiles = stored(_profiles(docs, n, threshold, text, key), "profiles")
     rows = profiles.filter("size is not null")
-    nodes = stored(rows.filter("size > 0").groupBy("node").agg(F.min("d").alias("d"), F.first("size").cast("int").alias("size"), F.first("ranges").alias("ranges")), "nodes")
+    rep = F.min(F.struct(F.coalesce("d", F.lit(-1)).alias("d"), "h"))
+    nodes = rows.filter("size > 0").groupBy("node").agg(F.min("d").alias("least"), rep.alias("rep"), F.first("size").cast("int").alias("size"), F.first("looked").alias("looked"), F.first("ranges").alias("ranges"))
+    nodes = stored(nodes.select("node", "least", "rep.d", "rep.h", "size", "looked", "ranges"), "nodes")
     links = _links(docs, profiles, nodes, n, threshold, text, key)
     # rows of one key with different sets are one document
     twice = rows.filter("size > 0 and d is not null").groupBy("d").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
     spread = rows.filter("size > 0").join(twice.select("d", "a"), "d").filter(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
-    comps = components(links.union(spread))
+    comps = _reached([*links, spread])
+    discard(*links)
     first = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = first.groupBy("comp").agg(F.min("d").alias("component_id"))
+    least = first.groupBy("comp").agg(F.min("least").alias("component_id"))
     first = first.join(least, "comp").select("node", "component_id")
     out = rows.join(first, "node", "left")
     own = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("d"))
