@@ -1,26 +1,61 @@
-"""Joins on time: overlap, containment and nearest neighbours, as equi-joins on time buckets."""
+"""Joins on time: overlap, containment and nearest neighbours, as equi-joins on time buckets.
+
+Intervals of any length meet in few buckets: an interval belongs to the level whose buckets are as wide as it is long
+(each level's are four times as wide as those of the one below), so it touches two of them at most, and it meets shorter
+ones in the buckets of its own level.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: How much wider the buckets of the next level are.
+STEP = 4
+
 
 def buckets(start: Column, end: Column, width: float) -> Column:
-    """Numbers of the buckets that [start, end] touches."""
+    """Numbers of the buckets that [start, end] touches; for intervals of a bounded length."""
     return F.sequence(F.floor(start / width), F.floor(F.greatest(start, end) / width))
 
 
+def level(start: Column, end: Column, width: float) -> Column:
+    """The least level whose buckets are as wide as the interval is long."""
+    length = F.greatest(end - start, F.lit(width)) / width
+    return F.ceil(F.round(F.log(length) / F.log(F.lit(float(STEP))), 9)).cast("int")
+
+
+def _dealt(df: DataFrame, start: str, end: str, top: Column, width: float, own: str) -> DataFrame:
+    """Rows once for each bucket of their level and of those above, up to top: own (their level), level, bucket."""
+    x = df.withColumn(own, level(F.col(start), F.col(end), width)).withColumn("top", top)
+    x = x.withColumn("level", F.explode(F.sequence(F.col(own), F.greatest(F.col(own), F.col("top"))))).drop("top")
+    wide = F.lit(width) * F.pow(F.lit(float(STEP)), F.col("level"))
+    return x.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(start) / wide), F.floor(F.greatest(start, end) / wide))))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
     """Pairs of rows of equal keys whose [start, end) overlap; left has ls, le and right rs, re.
 
-    Each pair meets in the bucket where the later of the two begins, so it comes out once, and a bucket holds what
-    begins or lasts near one moment, not a whole key.
+    Each pair meets at the level of the longer of the two, in the bucket where the later one begins, so it comes out
+    once. width: that of the finest buckets, about a common length. Rows with a null bound meet nothing.
     """
-    a = left.withColumn("bucket", F.explode(buckets(F.col("ls"), F.col("le"), width)))
-    b = right.withColumn("bucket", F.explode(buckets(F.col("rs"), F.col("re"), width)))
-    met = a.join(b, [*keys, "bucket"]).filter((F.col("ls") < F.col("re")) & (F.col("rs") < F.col("le")))
-    return met.filter(F.floor(F.greatest("ls", "rs") / width) == F.col("bucket")).drop("bucket")
+    left, right = left.filter("ls is not null and le is not null"), right.filter("rs is not null and re is not null")
+    most = lambda df, s, e: F.coalesce(df.agg(F.max(level(F.col(s), F.col(e), width))).scalar(), F.lit(0))
+    a = _dealt(left, "ls", "le", most(right, "rs", "re"), width, "l_level")
+    b = _dealt(right, "rs", "re", most(left, "ls", "le"), width, "r_level")
+    met = a.join(b, [*keys, "level", "bucket"]).filter((F.col("ls") < F.col("re")) & (F.col("rs") < F.col("le")) & (F.col("level") == F.greatest("l_level", "r_level")))
+    begins = F.floor(F.greatest("ls", "rs") / (F.lit(width) * F.pow(F.lit(float(STEP)), F.col("level"))))
+    return met.filter(begins == F.col("bucket")).drop("bucket", "level", "l_level", "r_level")
+
+
+def point_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, width: float) -> DataFrame:
+    """Pairs of equal keys with at in the closed [start, end]; nulls meet nothing. A point has one bucket a level."""
+    points, intervals = points.filter(F.col(at).isNotNull()), intervals.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
+    top = F.coalesce(intervals.agg(F.max(level(F.col(start), F.col(end), width))).scalar(), F.lit(0))
+    wide = F.lit(width) * F.pow(F.lit(float(STEP)), F.col("level"))
+    b = intervals.withColumn("level", level(F.col(start), F.col(end), width)).withColumn("bucket", F.explode(F.sequence(F.floor(F.col(start) / wide), F.floor(F.greatest(start, end) / wide))))
+    a = points.withColumn("level", F.explode(F.sequence(F.lit(0), top))).withColumn("bucket", F.floor(F.col(at) / wide))
+    return a.join(b, [*keys, "level", "bucket"]).filter(F.col(at).between(F.col(start), F.col(end))).drop("level", "bucket")
 
 
 def window_join(points: DataFrame, others: DataFrame, keys: list[str], at: str, other_at: str, before: float, after: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes
 from ..operators import folds, timeline, windows
+from ..operators.intervals import point_join
 from ..operators.windows import latest
 from .scene_queries import AT, by_user, timed
 from .tables import Tables, query
@@ -177,13 +178,10 @@ def _(t: Tables):
 @query("join_event_in_scene", f"WITH s AS (SELECT user_id, event_id AS scene, {AT} AS a, coalesce(lead({AT}) OVER (PARTITION BY user_id ORDER BY ts, event_id), 2592000.0) AS b FROM events WHERE event_type = 'view'), m AS (SELECT user_id, event_id, CASE WHEN event_id % 7 <> 0 THEN {AT} END AS sec FROM events WHERE event_type = 'click') SELECT event_id, scene FROM m JOIN s ON s.user_id = m.user_id AND sec BETWEEN a AND b")
 def _(t: Tables):
     """Marks in the closed interval of a scene, by time buckets; marks without a time belong to none here."""
-    from ..operators.intervals import buckets
-
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     s = timed(t).filter("event_type = 'view'").select("user_id", F.col("event_id").alias("scene"), F.col("at").alias("a"), F.coalesce(F.lead("at").over(w), F.lit(2592000.0)).alias("b"))
-    m = timed(t).filter("event_type = 'click' and event_id % 7 <> 0").select("user_id", "event_id", "at", F.floor(F.col("at") / 86400).alias("bucket"))
-    met = m.join(s.withColumn("bucket", F.explode(buckets(F.col("a"), F.col("b"), 86400.0))), ["user_id", "bucket"])
-    return met.filter("at between a and b").select("event_id", "scene")
+    m = timed(t).filter("event_type = 'click' and event_id % 7 <> 0").select("user_id", "event_id", "at")
+    return point_join(m, s, ["user_id"], "at", "a", "b", 3600.0).select("event_id", "scene")
 
 
 @query("join_bbox_dedupe", """WITH b AS (SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS i, l_discount * 5 AS x, l_tax * 5 AS y, l_quantity / 50 AS w FROM lineitem),

@@ -28,3 +28,20 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(n - 1).selectExpr("id + 1 as src", "id as dst")
     got = {r.node: r.component for r in graph.components(nodes, edges).collect()}
     assert got == {i: 0 for i in range(n)} | {n: n, n + 1: n + 1}
+
+
+def test_overlaps_of_short_and_very_long_intervals(spark):
+    import random
+
+    from lecturelake.operators.intervals import overlap_join, point_join
+
+    rng = random.Random(3)
+    spans = [(rng.randint(0, 1), s, s + rng.choice([0.0, 0.5, 10.0, 40.0, 41.0, 1e3, 3e7])) for s in (rng.uniform(-100, 4000) for _ in range(120))]
+    left = spark.createDataFrame([(i, *x) for i, x in enumerate(spans)] + [(900, 0, None, 1.0)], "i int, k int, ls double, le double")
+    right = spark.createDataFrame([(i, *x) for i, x in enumerate(spans[::2])] + [(901, 0, 1.0, None)], "j int, k int, rs double, re double")
+    got = sorted((r.i, r.j) for r in overlap_join(left, right, ["k"], 10.0).collect())
+    assert got == sorted((i, j) for i, (k, a, b) in enumerate(spans) for j, (q, c, d) in enumerate(spans[::2]) if k == q and a < d and c < b)
+    points = spark.createDataFrame([(i, k, a) for i, (k, a, _) in enumerate(spans)] + [(902, 1, None)], "i int, k int, at double")
+    got = sorted((r.i, r.j) for r in point_join(points, right, ["k"], "at", "rs", "re", 10.0).collect())
+    assert got == sorted((i, j) for i, (k, a, _) in enumerate(spans) for j, (q, c, d) in enumerate(spans[::2]) if k == q and c <= a <= d)
+    assert overlap_join(left, right.limit(0), ["k"], 10.0).count() == 0
