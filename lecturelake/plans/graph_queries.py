@@ -76,19 +76,3 @@ def _(t: Tables):
 def _(t: Tables):
     share = lambda c: F.avg(c.cast("double"))
     return t.customer.groupBy("c_nationkey").agg(F.round(share(F.col("c_acctbal") < 0) * (1 - share(F.col("c_acctbal") > 5000)), 6).alias("score"))
-
-
-@query("graph_concept_relations", """WITH e AS (SELECT l_partkey, l_suppkey, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2), d AS (SELECT l_partkey, count(*) AS n FROM e GROUP BY 1)
-SELECT l_partkey, l_suppkey, round(w + ln(1 + n), 6) AS weight FROM e JOIN d USING (l_partkey) ORDER BY 3 DESC, 1, 2 LIMIT 120""")
-def _(t: Tables):
-    e = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("w"))
-    d = e.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    x = e.join(d, "l_partkey").select("l_partkey", "l_suppkey", F.round(F.col("w") + F.log1p("n"), 6).alias("weight"))
-    return x.orderBy(F.desc("weight"), "l_partkey", "l_suppkey").limit(120)
-
-
-@query("rank_core_graph", """WITH e AS (SELECT l_partkey, l_suppkey, max(l_extendedprice) AS w FROM lineitem GROUP BY 1, 2)
-SELECT l_suppkey, l_partkey, w FROM e QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY w DESC, l_partkey) <= 3""")
-def _(t: Tables):
-    e = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(F.max("l_extendedprice").alias("w"))
-    return latest(e, ["l_suppkey"], [F.desc("w"), F.col("l_partkey")], 3).select("l_suppkey", "l_partkey", "w")

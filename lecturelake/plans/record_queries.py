@@ -34,24 +34,6 @@ def _(t: Tables):
     return t.events.select("event_id", F.round(mean, 6).alias("score"))
 
 
-@query("agg_speech_rate", r"""
-SELECT conv_id, sum(len(regexp_extract_all(text, '[aeiou]+'))) AS syllables, round(sum(len(regexp_extract_all(text, '[aeiou]+'))) / (count(*) * CAST(0.5 AS DOUBLE)), 6) AS per_minute
-FROM conversations WHERE trim(text) <> '' GROUP BY 1""")
-def _(t: Tables):
-    """Syllables (runs of vowels) a minute, at half a minute a turn; empty turns don't count."""
-    x = t.conversations.filter("trim(text) <> ''").groupBy("conv_id").agg(F.sum(F.regexp_count("text", F.lit("[aeiou]+"))).cast("long").alias("syllables"), F.count(F.lit(1)).alias("n"))
-    return x.select("conv_id", "syllables", F.round(F.col("syllables") / (F.col("n") * 0.5), 6).alias("per_minute"))
-
-
-@query("agg_application_ratio", """
-SELECT source, round(avg(CASE WHEN contains(lower(text), 'licensed') OR contains(lower(text), 'contact') THEN 1.0 ELSE 0.0 END) / 2 + avg(CASE WHEN contains(lower(split_part(text, chr(10), 1)), 'er') THEN 1.0 ELSE 0.0 END) / 2, 6) AS ratio
-FROM documents WHERE text IS NOT NULL GROUP BY 1""")
-def _(t: Tables):
-    body = F.lower("text").rlike("licensed|contact").cast("double")
-    head = F.contains(F.lower(F.substring_index("text", "\n", 1)), F.lit("er")).cast("double")
-    return t.documents.filter("text IS NOT NULL").groupBy("source").agg(F.round(F.avg(body) / 2 + F.avg(head) / 2, 6).alias("ratio"))
-
-
 @query("agg_token_usage", "SELECT l_suppkey, CAST(sum(l_quantity) AS BIGINT) AS input_tokens, sum(l_linenumber) AS output_tokens, CAST(sum(l_quantity) AS BIGINT) + sum(l_linenumber) AS total_tokens FROM lineitem GROUP BY 1")
 def _(t: Tables):
     x = t.lineitem.groupBy("l_suppkey").agg(F.sum("l_quantity").cast("long").alias("input_tokens"), F.sum("l_linenumber").cast("long").alias("output_tokens"))

@@ -224,12 +224,6 @@ def _(t: Tables):
     return d.select("keyword", F.round(c, 6).alias("coverage"), F.round(F.when(c > 0.4, 0.4 / c).otherwise(1.0), 6).alias("factor"))
 
 
-@query("agg_emphasis_buckets", r"SELECT lower(regexp_replace(p_type, '\s+', '', 'g')) AS term, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS weight, min_by(p_brand, p_partkey) AS first_brand FROM part GROUP BY 1")
-def _(t: Tables):
-    term = F.lower(F.regexp_replace("p_type", r"\s+", ""))
-    return t.part.groupBy(term.alias("term")).agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("weight"), F.min_by("p_brand", "p_partkey").alias("first_brand"))
-
-
 @query("agg_combine_detectors", f"SELECT user_id, CAST(floor({AT} / 3600) AS BIGINT) AS hour, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS methods, count(DISTINCT event_type) AS detections, round(max(value), 6) AS strongest FROM events GROUP BY 1, 2")
 def _(t: Tables):
     x = timed(t).groupBy("user_id", F.floor(F.col("at") / 3600).alias("hour")).agg(F.sort_array(F.collect_set("event_type")).alias("m"), F.round(F.max("value"), 6).alias("strongest"))
@@ -301,11 +295,6 @@ def _(t: Tables):
     return items.join(replies, ["doc_id", "model"], "left").select("doc_id", "model", F.coalesce("status", F.lit("parse_failed")).alias("status"))
 
 
-@query("vf_summary", "SELECT o_orderpriority AS type, count(*) AS n, count(*) FILTER (o_totalprice >= 200000) AS high, count(*) FILTER (o_orderstatus = 'P') AS manual FROM orders GROUP BY 1")
-def _(t: Tables):
-    return t.orders.groupBy(F.col("o_orderpriority").alias("type")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") >= 200000).alias("high"), F.count_if(F.col("o_orderstatus") == "P").alias("manual"))
-
-
 @query("rank_issues", "SELECT o_orderkey, o_orderpriority, CAST(row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderdate, o_orderkey) AS BIGINT) AS place FROM orders")
 def _(t: Tables):
     w = Window.partitionBy("o_custkey", "o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderdate", "o_orderkey")

@@ -202,14 +202,6 @@ def _(t: Tables):
     return t.customer.join(done, "c_custkey", "left").select("c_custkey", (F.coalesce("done", F.lit(False)) | (F.col("c_acctbal") < 0)).alias("published"))
 
 
-@query("op_lecture_detail", """
-WITH j AS (SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
-SELECT c_custkey, c_name, o_orderkey AS job, coalesce(o_orderstatus, 'none') AS status FROM customer LEFT JOIN j ON o_custkey = c_custkey""")
-def _(t: Tables):
-    jobs = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by(F.struct("o_orderkey", "o_orderstatus"), F.struct("o_orderdate", "o_orderkey")).alias("j"))
-    return t.customer.join(jobs, "c_custkey", "left").select("c_custkey", "c_name", F.col("j.o_orderkey").alias("job"), F.coalesce("j.o_orderstatus", F.lit("none")).alias("status"))
-
-
 @query("meta_distinct_pools", "SELECT array_to_string(list_sort(list_distinct(list(p_brand))), ',') AS brands, array_to_string(list_sort(list_distinct(list(p_type))), ',') AS types FROM part")
 def _(t: Tables):
     pool = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")

@@ -67,12 +67,6 @@ def _(t: Tables):
     return t.events.select("user_id", "event_type").distinct().groupBy("user_id").agg(F.round(F.sum(w), 2).alias("score"))
 
 
-@query("agg_emphasis_annotation", "SELECT user_id, round(sum(CAST(CASE WHEN event_type = 'click' THEN 3.0 ELSE 1.0 END AS DOUBLE) * CAST(CASE WHEN value >= 80 THEN 1.0 WHEN value >= 40 THEN 0.7 ELSE 0.4 END AS DOUBLE)), 4) AS score FROM events GROUP BY 1")
-def _(t: Tables):
-    trust = F.when(F.col("value") >= 80, 1.0).when(F.col("value") >= 40, 0.7).otherwise(0.4)
-    return t.events.groupBy("user_id").agg(F.round(F.sum(F.when(F.col("event_type") == "click", 3.0).otherwise(1.0) * trust), 4).alias("score"))
-
-
 @query("agg_weighted_keyword_category", "SELECT conv_id, CAST(max(CASE WHEN contains(lower(text), 'exam') THEN 5 ELSE 0 END) + max(CASE WHEN contains(lower(text), 'th') THEN 3 ELSE 0 END) + max(CASE WHEN contains(lower(text), 'summar') THEN 1 ELSE 0 END) AS BIGINT) AS score FROM conversations GROUP BY 1")
 def _(t: Tables):
     low = F.lower("text")
@@ -85,16 +79,6 @@ def _(t: Tables):
     return t.lineitem.groupBy("l_partkey").agg(F.round(F.count_if(F.col("l_discount") > 0.05) / F.greatest(F.count(F.lit(1)), F.lit(3.0)), 6).alias("ratio"))
 
 
-@query("agg_final_weight", """
-WITH c AS (SELECT l_suppkey, sum(l_quantity) AS a, sum(l_discount) AS b, count(*) AS d FROM lineitem GROUP BY 1), m AS (SELECT max(a) AS a, max(b) AS b, max(d) AS d FROM c)
-SELECT l_suppkey, round((c.a / m.a + c.b / m.b + 1.5 * c.d / m.d) / 3.5, 6) AS weight FROM c, m""")
-def _(t: Tables):
-    c = t.lineitem.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("a"), F.sum("l_discount").alias("b"), F.count(F.lit(1)).alias("d"))
-    m = c.agg(F.struct(F.max("a").alias("a"), F.max("b").alias("b"), F.max("d").alias("d"))).scalar()
-    c = c.withColumn("m", m)
-    return c.select("l_suppkey", F.round((F.col("a") / F.col("m.a") + F.col("b") / F.col("m.b") + 1.5 * F.col("d") / F.col("m.d")) / 3.5, 6).alias("weight"))
-
-
 @query("agg_edge_boost", "SELECT l_orderkey, l_linenumber, round(l_quantity * (1 + 0.7 * greatest(l_discount, l_tax) + 0.3 * least(l_discount, l_tax)), 6) AS weight FROM lineitem")
 def _(t: Tables):
     return t.lineitem.select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") * (1 + 0.7 * F.greatest("l_discount", "l_tax") + 0.3 * F.least("l_discount", "l_tax")), 6).alias("weight"))
@@ -117,14 +101,6 @@ def _(t: Tables):
     return m.select("l_partkey", "l_suppkey", (-F.col("m.o")).alias("l_orderkey"), (-F.col("m.n")).alias("l_linenumber"))
 
 
-@query("agg_highlight_threshold", """
-WITH t AS (SELECT greatest(0.8, quantile_disc(value / 100, 0.8)) AS t FROM events)
-SELECT event_type, count(*) AS n FROM events, t WHERE value / 100 >= t GROUP BY 1""")
-def _(t: Tables):
-    limit = t.events.agg(F.greatest(F.lit(0.8), F.expr("percentile_disc(0.8) within group (order by value / 100)"))).scalar()
-    return t.events.withColumn("t", limit).filter("value / 100 >= t").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
 # --- ensembles: three pseudo-models vote on each labelled document ---------------------------------------------
 
 _MODELS = {"m1": (7, 0.5), "m2": (11, 0.3), "m3": (13, 0.2)}
@@ -156,12 +132,6 @@ def ensemble(t: Tables):
     return s.select("doc_id", winner.alias("winner"), margin.alias("margin"), "missing_weight", (margin < 0.1).alias("low_margin"))
 
 
-@query("agg_severity_ensemble", _VOTES_SQL + " SELECT doc_id, round(sum(weight * pa * (1 - pb)), 6) AS severity, round(max(pa) - min(pa), 6) AS spread, round(max(pa) - min(pa), 6) >= 0.35 AS disagree FROM p GROUP BY 1")
-def _(t: Tables):
-    spread = F.round(F.max("pa") - F.min("pa"), 6)
-    return votes(t).groupBy("doc_id").agg(F.round(F.sum(F.col("weight") * F.col("pa") * (1 - F.col("pb"))), 6).alias("severity"), spread.alias("spread"), (spread >= 0.35).alias("disagree"))
-
-
 @query("agg_judge_merge", _VOTES_SQL.replace("SELECT doc_id, weight, a /", "SELECT doc_id, model, weight, a /") + " SELECT doc_id, array_to_string(list_sort(list(model)), ',') AS models, round(max(pa), 6) AS confidence FROM p WHERE round(pa, 6) >= 0.4 GROUP BY 1 HAVING NOT (round(max(pa) - min(pa), 6) >= 0.4 AND max(pa) < 0.9)")
 def _(t: Tables):
     x = votes(t).filter(F.round("pa", 6) >= 0.4).groupBy("doc_id")
@@ -169,19 +139,6 @@ def _(t: Tables):
     return x.filter(~((F.round(F.col("hi") - F.col("lo"), 6) >= 0.4) & (F.col("hi") < 0.9))).select("doc_id", "models", F.round("hi", 6).alias("confidence"))
 
 
-@query("agg_consensus_runs", _VOTES_SQL + " SELECT doc_id, count(*) FILTER (round(pa, 6) > 0.5) AS hits, round(avg(pa), 6) AS mean_conf FROM p GROUP BY 1 HAVING count(*) FILTER (round(pa, 6) > 0.5) / count(*) >= 0.5 OR (count(*) FILTER (round(pa, 6) > 0.5) >= 2 AND avg(pa) >= 0.9)")
-def _(t: Tables):
-    x = votes(t).groupBy("doc_id").agg(F.count_if(F.round("pa", 6) > 0.5).alias("hits"), F.count(F.lit(1)).alias("n"), F.avg("pa").alias("m"))
-    return x.filter("hits / n >= 0.5 or (hits >= 2 and m >= 0.9)").select("doc_id", "hits", F.round("m", 6).alias("mean_conf"))
-
-
-@query("agg_weight_resolve", "WITH w AS (SELECT DISTINCT l_suppkey, CASE WHEN l_suppkey % 7 = 0 THEN 3.0 WHEN l_suppkey % 3 = 0 THEN 2.0 ELSE 1.0 END AS w FROM lineitem) SELECT l_suppkey, round(w / (SELECT sum(w) FROM w), 8) AS weight FROM w")
-def _(t: Tables):
-    k = F.col("l_suppkey")
-    w = t.lineitem.select("l_suppkey").distinct().withColumn("w", F.when(k % 7 == 0, 3.0).when(k % 3 == 0, 2.0).otherwise(1.0))
-    return w.withColumn("s", w.agg(F.sum("w")).scalar()).select("l_suppkey", F.round(F.col("w") / F.col("s"), 8).alias("weight"))
-
-
 # --- joins ----------------------------------------------------------------------------------------------------
 
 @query("join_lecture_job_meta", "SELECT c_custkey, n_name, r_name, count(o_orderkey) AS jobs FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2, 3")
@@ -293,12 +250,6 @@ def _(t: Tables):
     return t.orders.select("o_orderkey", F.bit_count(F.col("o_orderkey").bitwiseXOR(F.col("o_custkey"))).cast("long").alias("d"))
 
 
-@query("math_token_cost", "SELECT conv_id, turn, round(ceil(length(text) / 4) * CASE role WHEN 'user' THEN 2.5 ELSE 10.0 END / 1e6, 8) AS cost FROM conversations")
-def _(t: Tables):
-    price = F.when(F.col("role") == "user", 2.5).otherwise(10.0)
-    return t.conversations.select("conv_id", "turn", F.round(F.ceil(F.length("text") / 4) * price / 1e6, 8).alias("cost"))
-
-
 @query("math_severity_status", "SELECT event_id, CASE WHEN value >= 80 THEN 'confirmed' WHEN value <= 20 THEN 'rejected' ELSE 'professor_check' END AS status FROM events")
 def _(t: Tables):
     v = F.col("value")

@@ -170,16 +170,6 @@ def _(t: Tables):
     return t.pages.select("page_id", F.array_join(ids, " ").alias("ids"))
 
 
-@query("str_clean_answer", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS body FROM pages")
-def _(t: Tables):
-    return t.pages.select("page_id", F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"[ \t\r\n]+", " ")).alias("body"))
-
-
-@query("str_claim_key", "SELECT doc_id, sha256(concat(lang, '|', source, '|', substr(text, 1, 60))) AS claim_key FROM documents")
-def _(t: Tables):
-    return t.documents.select("doc_id", F.sha2(F.concat_ws("|", "lang", "source", F.substring("text", 1, 60)), 256).alias("claim_key"))
-
-
 @query("str_color", "SELECT s_suppkey, '#' || substr(md5(s_name), 1, 6) AS color FROM supplier")
 def _(t: Tables):
     return t.supplier.select("s_suppkey", F.concat(F.lit("#"), F.substring(F.md5("s_name"), 1, 6)).alias("color"))
