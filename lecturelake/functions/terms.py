@@ -31,8 +31,8 @@ def strip_requests(c: Column) -> Column:
 
 
 def base(c: Column) -> Column:
-    """What a term is about, without request phrases and particles."""
-    return normalize_term(strip_particles(strip_requests(c)))
+    """What a term is about, without request phrases and particles (which only a term in Hangul can have)."""
+    return F.when(c.rlike("[가-힣]"), normalize_term(strip_particles(strip_requests(c)))).otherwise(normalize_term(c))
 
 
 def lookup_keys(c: Column) -> Column:

@@ -100,6 +100,10 @@ def _resolved(t: Tables):
     return x.select("l_orderkey", "l_suppkey", F.coalesce(override, "name", "family", "provider", F.lit(1.0)).alias("w"))
 
 
+def _r6(x: str) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(24, 10)), 6) AS DOUBLE)"
+
+
 @query("agg_weight_resolve", f"WITH {_WEIGHT} SELECT l_orderkey, l_suppkey, round(w / sum(w) OVER (PARTITION BY l_orderkey), 8) AS weight FROM w")
 def _(t: Tables):
     total = F.sum("w").over(Window.partitionBy("l_orderkey"))
@@ -107,15 +111,16 @@ def _(t: Tables):
 
 
 @query("agg_severity_ensemble", f"""WITH {_WEIGHT}, v AS (SELECT l_orderkey, w, l_discount * 10 AS valid, l_quantity / 50 AS severity, l_tax * 10 AS resolution FROM lineitem JOIN w USING (l_orderkey, l_suppkey) WHERE l_returnflag <> 'R'), s AS (SELECT *, valid * severity * (1 - resolution) AS score FROM v)
-SELECT l_orderkey, round(sum(w * score) / sum(w), 6) AS score, round(max(score) - min(score), 6) >= 0.35 AS disagree, round(avg(valid), 6) AS valid, round(avg(severity), 6) AS severity, round(avg(1 - resolution), 6) AS unresolved, count(*) AS models FROM s GROUP BY 1""")
+SELECT l_orderkey, {_r6('sum(w * score) / sum(w)')} AS score, {_r6('max(score) - min(score)')} >= 0.35 AS disagree, {_r6('avg(valid)')} AS valid, {_r6('avg(severity)')} AS severity, {_r6('avg(1 - resolution)')} AS unresolved, count(*) AS models FROM s GROUP BY 1""")
 def _(t: Tables):
     """Weighted valid times severity times what is unresolved over the verdicts that succeeded, and whether they are far apart."""
     v = t.lineitem.filter("l_returnflag <> 'R'").join(_resolved(t), ["l_orderkey", "l_suppkey"])
     v = v.select("l_orderkey", "w", (F.col("l_discount") * 10).alias("valid"), (F.col("l_quantity") / 50).alias("severity"), (1 - F.col("l_tax") * 10).alias("unresolved"))
     v = v.withColumn("score", F.col("valid") * F.col("severity") * F.col("unresolved"))
-    mean = lambda c: F.round(F.avg(c), 6).alias(c)
-    far = F.round(F.max("score") - F.min("score"), 6) >= 0.35
-    return v.groupBy("l_orderkey").agg(F.round(F.sum(F.col("w") * F.col("score")) / F.sum("w"), 6).alias("score"), far.alias("disagree"), mean("valid"), mean("severity"), mean("unresolved"), F.count(F.lit(1)).alias("models"))
+    six = lambda c: F.round(F.round(c, 10), 6)  # noqa: E731  by way of ten places, so that the last bit of a sum doesn't decide a tie
+    mean = lambda c: six(F.avg(c)).alias(c)
+    far = six(F.max("score") - F.min("score")) >= 0.35
+    return v.groupBy("l_orderkey").agg(six(F.sum(F.col("w") * F.col("score")) / F.sum("w")).alias("score"), far.alias("disagree"), mean("valid"), mean("severity"), mean("unresolved"), F.count(F.lit(1)).alias("models"))
 
 
 @query("agg_consensus_runs", f"WITH c AS (SELECT event_type, user_id % 5 AS slide, CAST(floor({AT} / 30) AS BIGINT) AS bucket, sha1(CAST(event_id % 50 AS VARCHAR)) AS txt, user_id AS run, value / 100 AS conf FROM events) SELECT event_type, slide, bucket, txt, count(DISTINCT run) AS runs, round(avg(conf), 6) AS conf FROM c GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT run) / 2.0 >= 0.5 OR (count(DISTINCT run) >= 2 AND avg(conf) >= 0.9)")
