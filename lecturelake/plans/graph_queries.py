@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.windows import latest
 from .tables import Tables, query
 
 _NODES = """nodes AS (
