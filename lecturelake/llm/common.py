@@ -12,14 +12,26 @@ from pyspark.sql import types as T
 
 from ..storage import discard, new_path, stored
 
-__all__ = ["CHUNK_BYTES", "blocks", "crc_mod", "discard", "mix", "new_path", "read", "schema_of", "stored", "text_chunks", "utf8"]
+__all__ = ["CHUNK_BYTES", "blocks", "crc_mod", "discard", "mix", "new_path", "read", "schema_of", "short_batches", "stored", "text_chunks", "utf8"]
 
 #: Bytes of text that the numpy passes take at once; one longer document is still taken whole.
 CHUNK_BYTES = 1 << 20
 
 
+#: Rows of texts that go to a Python worker at once. Spark's default of 10,000 means tens of MB in and out of each.
+ARROW_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Set Arrow batches to ARROW_ROWS, unless the session has a size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
+    """One of the given tables, for queries over texts."""
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

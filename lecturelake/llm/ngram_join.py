@@ -54,7 +54,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and its inverse, modulo 2 ** 64."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         with np.errstate(over="ignore"):
             for name, b in (("up", BASE), ("down", np.uint64(pow(int(BASE), -1, 2**64)))):
                 x = np.full(size, b, np.uint64)
