@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lecturelake.llm import langid, ngram_join, packing, pii, suffix
-from lecturelake.llm.common import crc_mod, read, stored
+from lecturelake.llm.common import crc_mod, read, short_batches, stored
 from lecturelake.llm.queries import SURROGATE_KEY, TOKENIZER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,17 +19,20 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language can't be told; where lang is null, it becomes the language found."""
+    short_batches(spark)
     found = langid.identify(docs, langid.learn(docs, crc_mod(F.col("doc_id"), 4) != 2))
     return found.filter(~F.col("rejected")).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest id of each group of near-duplicates."""
+    short_batches(spark)
     return ngram_join.keep_one(docs).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 400 bytes or more that occur elsewhere too; a document may be left empty."""
+    short_batches(spark)
     return _documents(suffix.remove_repeats(docs).withColumn("text", F.col("kept_text")))
 
 
@@ -40,6 +43,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of at most 4096 tokens."""
+    short_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
