@@ -123,25 +123,31 @@ def pack(pieces: DataFrame, cap: Capacity | None = None, length: str = "length",
 
     Pieces are dealt at random into groups of about group_rows (their number follows the input), and each group is
     packed by itself: a group leaves at most a few sequences part-filled, so the total stays within a fraction of a
-    per cent of one global packing, while no task ever holds more than a group. Full pieces need no search. Every
-    input row comes out once; an empty table gives an empty result. A null length raises, as does one
-    over the capacity.
+    per cent of one global packing, while no task ever holds more than a group. Full pieces are sequences of their own
+    (with numbers below 0) and go into no group. Every input row comes out once, repeated rows as often as they come,
+    and other columns stay whatever their names, but for sequence_id and offset, which are replaced; an empty table
+    gives an empty result. A null length raises, as does one over the capacity. Rows are dealt by their place in the
+    table, so pieces had better be a stored one, which a lost executor's tasks read again in the same order.
     """
     cap = cap or Capacity()
-    spark = pieces.sparkSession
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    pieces = pieces.select(*names)
-    groups = max(1, round(pieces.filter(F.col(length) < cap.tokens).count() / group_rows))
+    size = f"c{names.index(length)}"
+    pieces = pieces.select(*[pieces[c].alias(f"c{i}") for i, c in enumerate(names)])
+    fills = cap.documents >= 1 and cap.attention >= cap.tokens**2
+    full = F.coalesce(F.col(size) == cap.tokens, F.lit(False)) & F.lit(fills)
+    groups = max(1, round(pieces.filter(~full).count() / group_rows))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        bins, offsets = best_fit(pdf[length].to_numpy(np.int64), cap)
+        bins, offsets = best_fit(pdf[size].to_numpy(np.int64), cap)
         pdf["sequence_id"] = bins * groups + int(key[0])
         pdf["offset"] = offsets
-        return pdf.drop(columns="packing_group")
+        return pdf.drop(columns="dealt_to")
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    spread = F.pmod(F.xxhash64(*[c for c in names if c != "ids"]), F.lit(groups)).cast("int")
-    return pieces.withColumn("packing_group", spread).groupBy("packing_group").applyInPandas(run, f"{fields}, sequence_id long, offset long")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int")
+    rest = pieces.filter(~full).withColumn("dealt_to", spread).groupBy("dealt_to").applyInPandas(run, f"{fields}, sequence_id long, offset long")
+    alone = pieces.filter(full).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return rest.union(alone).toDF(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, cap: Capacity | None = None, end_id: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
