@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled documents per language and characters of each that a dictionary is made of, and languages at most.
+#: Labelled documents per language and characters of each that a dictionary is made of, and languages at most (more raise).
 SAMPLE_DOCUMENTS, SAMPLE_CHARS, LANGUAGES = 120, 1200, 200
 #: A text whose two smallest sizes differ by less than this share of the second is rejected.
 LEAST_MARGIN = 0.003
@@ -23,21 +23,28 @@ BLOCK_BYTES = 8192
 #: Texts of fewer bytes whose sizes, in whole bytes, are too close are told by trigrams of the dictionaries.
 SHORT_BYTES = 512
 
-LETTER, WORD = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]+")
+LETTER, WORD = regex.compile(r"\p{L}"), regex.compile(r"\p{L}+")
+#: Shares that a language's documents are ranked in before they are ranked as a whole.
+SHARES = 64
 
 
-def learn(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "lang", documents: int = SAMPLE_DOCUMENTS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
+def learn(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "lang", documents: int = SAMPLE_DOCUMENTS, chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> dict[str, bytes]:
     """Raw-content dictionaries by language, from a bounded sample of the learnable documents.
 
     The sample: per language, the `documents` texts of least hash that hold a letter, `chars` characters of each from
-    a place that the hash picks. Texts without a language are left out; the LANGUAGES languages first in the alphabet
-    are learned. The bound keeps the model, and what reaches the driver, the same at any size of the input.
+    a place that the hash picks. Texts without a language are left out; more than `languages` languages raise. The bounds
+    keep the model, and what reaches the driver, the same at any size of the input. Ranks are taken share by share and
+    then among the best of all shares, so that no task takes what all tasks of a language have picked.
     """
     rows = docs.filter(learnable & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     at = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("t") - chars + 1)) + 1
     rows = rows.select("lang", "h", F.substring("t", at.cast("int"), F.lit(chars)).alias("t"))
+    some = F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(SHARES))).orderBy("h", "t"))
+    rows = rows.withColumn("place", some).filter(F.col("place") <= documents).drop("place")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
-    picked = rows.withColumn("rank", first).filter(F.col("rank") <= documents).orderBy("lang", "rank").limit(LANGUAGES * documents).collect()
+    picked = rows.withColumn("place", first).filter(F.col("place") <= documents).orderBy("lang", "place").limit(languages * documents + 1).collect()
+    if len({r.lang for r in picked}) > languages:
+        raise ValueError(f"more than {languages} languages")
     out: dict[str, list[str]] = {}
     for r in picked:
         out.setdefault(r.lang, []).append(r.t)
