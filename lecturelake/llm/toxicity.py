@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 #: Words in a window; windows overlap by half. A document's score is that of its worst window.
 WINDOW = 24
-#: Labelled documents per label that a model is fitted on, characters of each and
-#: windows of each. These bound the fit alone; scoring takes whole texts.
-SAMPLE_DOCUMENTS, SAMPLE_CHARS, SAMPLE_WINDOWS = 1200, 20_000, 16
+#: Labelled documents per label that a model is fitted on, characters of each, and windows of each that is clean and
+#: that is toxic, drawn at random. These bound the fit alone; scoring takes whole texts.
+SAMPLE_DOCUMENTS, SAMPLE_CHARS, SAMPLE_WINDOWS, TOXIC_WINDOWS = 1200, 20_000, 16, 64
 #: Longer runs without white space are scored and learned in pieces of so many characters; pieces overlap by so many,
 #: so that no n-gram falls between two of them.
 PIECE, OVERLAP = 40, 4
@@ -81,9 +81,10 @@ def fit(texts: list[str], labels: list[int], buckets: int = 1 << 15, dim: int =
     for i, t in enumerate(texts):
         w = np.array([number.setdefault(x, len(number)) for x in words_of(t)], np.int32)
         starts = list(range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2))
-        if len(starts) > SAMPLE_WINDOWS and y[i] == 0:
-            starts = sorted(rng.choice(starts, SAMPLE_WINDOWS, replace=False).tolist())
-        for s in starts[: 4 * SAMPLE_WINDOWS]:
+        most = TOXIC_WINDOWS if y[i] else SAMPLE_WINDOWS
+        if len(starts) > most:
+            starts = sorted(rng.choice(starts, most, replace=False).tolist())
+        for s in starts:
             if len(w[s : s + WINDOW]):
                 bags.append(w[s : s + WINDOW])
                 owner.append(i)
