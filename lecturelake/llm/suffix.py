@@ -1,16 +1,18 @@
 """Removal of long repeated substrings by bucket-pointer refinement, spread over a cluster.
 
 Every byte window of `length` bytes that also starts anywhere else is to go. Windows are sorted into buckets, as the
-suffixes of a suffix array are, and a bucket is refined by the bucket identifiers that its members have at later
-offsets. Identifiers are 64-bit, made by doubling: that of 2h bytes comes from the two of h bytes at offsets 0 and h,
-so each level reuses the one before, from q = 8 bytes up. Fingerprints serve as bucket pointers, since a rank would
-need the whole text in one place; a class of equal windows is told by two of them together.
+suffixes of a suffix array are, and a bucket is refined by sorting its members on the identifiers that they have at later
+offsets (Spark sorts them by bucket and identifiers and groups what is equal). Identifiers of q-grams are 64-bit, made by
+doubling: that of 2h bytes comes from the two of h bytes at offsets 0 and h, from 8 bytes up.
 
 - Initial buckets: the least 128-gram of each window (its anchor). Windows that follow each other and share an anchor
-  are one range; equal windows have equal anchors, so they meet in one bucket.
-- A bucket is refined by the identifier of everything its ranges cover. A class of two ranges or more is repeated in
-  full. Where a bucket has several classes, one range of each class is cut into cells of 32, then 4, then 1 window;
-  cells meet where the bytes common to the cell agree. What is alone in its bucket is dropped at once.
+  are one range; equal windows have equal anchors, so they meet in one bucket. A range that is alone cannot repeat.
+- A bucket is refined by the identifiers at all offsets that its ranges cover. A class of two ranges or more is repeated
+  in full. Where a bucket has several classes, one range of each class is cut into cells of 32, then 4, then 1 window.
+- A refined bucket holds what agrees in the bytes common to a cell. Its pointer is its least member, as a bucket pointer
+  of a suffix array is a place in it, and the cells that come of its members start in the bucket of that pointer: they are
+  sorted only against each other, on the identifiers at the offsets that a smaller cell has in common besides. Pointers
+  are updated with each refinement and reused by the next, and what is alone in its bucket is dropped at once.
 
 The work left shrinks with each level, as only cells at the edge of a repeat are cut further; nothing but counts and
 one representative of each class goes on, so copies by the thousand cost no more than two.
@@ -153,29 +155,31 @@ def contexts(docs: DataFrame, asked: DataFrame, length: int, text: str, key: str
 
 
 def cells(ctx: DataFrame, asked: DataFrame, before: int, width: int, length: int) -> DataFrame:
-    """Cut asked cells (ctx, cell, n), `before` windows wide, into cells of `width`: ctx, cell, n, s, e, core, union."""
-    lists = asked.groupBy("ctx").agg(F.collect_list(F.struct("cell", "n")).alias("r"))
-    met = ctx.select("ctx", "bytes", "span", "back", "core").join(lists, "ctx")
+    """Cut asked cells (ctx, cell, n, pointer), `before` windows wide, into cells of `width`: ctx, cell, n, s, e, core (bucket
+    by the pointer and the bytes common to the cell), union (all that it covers)."""
+    lists = asked.groupBy("ctx").agg(F.collect_list(F.struct("cell", "n", "pointer")).alias("r"))
+    met = ctx.select("ctx", "bytes", "span", "back").join(lists, "ctx")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, at in text_chunks(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
                 ids = gram_ids(raw, 256)
-                lists = part.column(5)
+                lists = part.column(4)
                 each = before // width
                 row = np.repeat(np.repeat(np.arange(hi - lo), lists.value_lengths().to_numpy(zero_copy_only=False)), each)
                 flat = lists.flatten()
                 cell = np.repeat(flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64), each) + np.tile(np.arange(each) * width, len(flat))
                 n = np.repeat(flat.field(1).to_numpy(zero_copy_only=False), each)
-                span, back, core = (part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+                pointer = np.repeat(flat.field(2).to_numpy(zero_copy_only=False).view(np.uint64), each)
+                span, back = (part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
                 high = np.minimum(cell + width - 1, back[row])
                 low = np.maximum(cell, back[row] - span[row] + 1)
                 ok = low <= high
-                row, cell, n, high, low = row[ok], cell[ok], n[ok], high[ok], low[ok]
+                row, cell, n, high, low, pointer = row[ok], cell[ok], n[ok], high[ok], low[ok], pointer[ok]
                 base = at[row] + back[row]
                 inner = join_ids(ids[base - cell], ids[base - cell - width + 1 + length - 256])
-                inner = join_ids(join_ids(core.view(np.uint64)[row], cell.astype(np.uint64)), inner)
+                inner = join_ids(join_ids(pointer, cell.astype(np.uint64)), inner)
                 outer = join_ids(join_ids(ids[base - high], ids[base - low + length - 256]), (high << 20 | low).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(row)), *map(pa.array, (cell.astype(np.int32), n, (back[row] - high).astype(np.int64), (back[row] - low + length).astype(np.int64), inner.view(np.int64), outer.view(np.int64)))],
@@ -197,7 +201,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", key:
     split = classes.groupBy("core").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("core")
     asked = classes.join(split, "core").select("rep.*", "core", "n")
     ctx = stored(contexts(docs, asked, length, text, key), "contexts")
-    asked = ctx.select("ctx", F.lit(0).alias("cell"), "n")
+    asked = ctx.select("ctx", F.lit(0).alias("cell"), "n", F.col("core").alias("pointer"))
     before = top
     own = ctx.select("ctx", "d", "k", "first")
     for width in CELLS:
@@ -205,8 +209,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", key:
         classes = rows.groupBy("core", "union").agg(F.sum("n").alias("n"), F.min(F.struct("ctx", "cell")).alias("rep"))
         if width > 1:
             classes = stored(classes, "classes")
-            split = classes.groupBy("core").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("core")
-            asked = classes.join(split, "core").select("rep.*", "n")
+            split = classes.groupBy("core").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("least")).filter("m > 1")
+            pointer = F.xxhash64("least.ctx", "least.cell")
+            asked = classes.join(split.select("core", pointer.alias("pointer")), "core").select("rep.*", "n", "pointer")
         twice = classes.filter("n > 1").select("core", "union")
         found = rows.filter("n = 1").join(twice, ["core", "union"]).select("ctx", "s", "e")
         marks.append(found.join(own, "ctx").select("d", "k", (F.col("first") + F.col("s")).alias("s"), (F.col("first") + F.col("e")).alias("e")))
