@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 ZSTD_MAGIC, DICTIONARY_MAGIC = 0xFD2FB528, 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+DATE = r"\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])T(?:[01]\d|2[0-3]):[0-5]\d:(?:[0-5]\d|60)(?:\.\d{1,9})?Z"
+
 ARCHIVE_BYTES = 4 << 20
 RECORD_SCHEMA = "archive string, record int, page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, error string"
 
@@ -34,8 +36,8 @@ def mark_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html
     """key, url, payload (UTF-8; null: empty), payload_digest, first: the smallest key with that payload.
 
     Payloads under `least` bytes get no first. Rows that repeat the smallest key stay responses; a null key is larger
-    than any other, and where all keys are null every row is a response. Digests are counted before anything is moved,
-    and only payloads of digests that occur twice are joined to their first key.
+    than any other, and where all keys are null every row is a response. Digests are counted first; then every payload
+    meets the first key of its digest, by a shuffle where the repeated digests are too many to be broadcast.
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
@@ -44,9 +46,15 @@ def mark_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html
 
 
 def train_dictionary(pages: DataFrame, html: str = "html", sample: int = 200, size: int = 32 << 10) -> bytes:
-    """A dictionary from a bounded sample: `sample` pages, least hashes first. Empty where the sample is too thin to train on."""
-    rows = pages.filter(F.length(html) > 0).select(F.xxhash64(html).alias("h"), F.substring(html, 1, 20_000).alias("t")).orderBy("h", "t").limit(sample).collect()
-    texts = [r.t.encode() for r in rows]
+    """A dictionary from a bounded sample: `sample` distinct pages, least hashes first, and 20,000 characters of each.
+
+    Hashes alone are ordered; only the pages picked are read for their text. Empty where the sample is too thin to train
+    on.
+    """
+    rows = pages.filter(F.length(html) > 0).select(F.xxhash64(html).alias("h"), F.substring(html, 1, 20_000).alias("t"))
+    least = rows.select("h").distinct().orderBy("h").limit(sample)
+    picked = rows.join(F.broadcast(least), "h").groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(sample).collect()
+    texts = [r.t.encode() for r in picked]
     if len(texts) < 20:
         return b""
     try:
@@ -142,6 +150,8 @@ def _fields(lines: list[str], what: str) -> dict[str, str]:
         name, colon, value = line.partition(":")
         if not colon or not re.fullmatch(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+", name):
             raise ArchiveError(f"bad {what} line {line[:60]!r}")
+        if name.lower() in out and (name.lower() == "content-length" or what == "header" and name.lower() != "warc-concurrent-to"):
+            raise ArchiveError(f"{what} {name} is repeated")
         out[name.lower()] = value.strip()
     return out
 
@@ -169,6 +179,8 @@ def parse_record(raw: bytes) -> dict:
     size = _length(fields)
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
         raise ArchiveError(f"Content-Length {size} is not that of the block")
+    if not re.fullmatch(DATE, fields.get("warc-date", "")):
+        raise ArchiveError("WARC-Date is missing or malformed")
     kind = fields.get("warc-type")
     if kind not in ("response", "revisit"):
         raise ArchiveError(f"WARC-Type {kind!r}")
