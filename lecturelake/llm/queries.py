@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, ngram_join, packing, pii, quality, suffix, topk, toxicity, warc
+from . import bpe, langid, ngram_join, packing, pieces, pii, quality, suffix, topk, toxicity, warc
 from .common import crc_mod, read, stored
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 SURROGATE_KEY = "lecturelake"
 
 
@@ -63,7 +64,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_exact_topk, op3_warc, op4_suffix_dedup, op5_ngram_jaccard, op6_toxicity, op7_quality_llr, op8_pii_surrogates, op9_language_compression, op10_bpe)}
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_exact_topk, op3_warc, op4_suffix_dedup, op5_ngram_jaccard, op6_toxicity, op7_quality_llr, op8_pii_surrogates, op9_language_compression, op10_bpe, op11_sentencepiece)}
 
 ORACLES = {
     "op2_exact_topk": """
