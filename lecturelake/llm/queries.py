@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, ngram_join, packing, pieces, pii, quality, suffix, topk, toxicity, warc
+from . import bpe, langid, ngram_join, packing, pieces, pii, quality, suffix, topk, toxicity, variants, warc
 from .common import crc_mod, read, stored
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,7 +68,11 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_exact_topk, op3_warc, op4_suffix_dedup, op5_ngram_jaccard, op6_toxicity, op7_quality_llr, op8_pii_surrogates, op9_language_compression, op10_bpe, op11_sentencepiece)}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.count_words(read(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_exact_topk, op3_warc, op4_suffix_dedup, op5_ngram_jaccard, op6_toxicity, op7_quality_llr, op8_pii_surrogates, op9_language_compression, op10_bpe, op11_sentencepiece, op12_spelling_variants)}
 
 ORACLES = {
     "op2_exact_topk": """
