@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, ngram_join, packing, pieces, pii, quality, suffix, topk, toxicity, variants, warc
+from . import bpe, langid, ngram_join, packing, pieces, pii, quality, ranked, suffix, topk, toxicity, variants, warc
 from .common import crc_mod, read, stored
 
 TOKENIZER = "word_bpe_49k.json"
@@ -72,7 +72,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(variants.count_words(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_exact_topk, op3_warc, op4_suffix_dedup, op5_ngram_jaccard, op6_toxicity, op7_quality_llr, op8_pii_surrogates, op9_language_compression, op10_bpe, op11_sentencepiece, op12_spelling_variants)}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_exact_topk, op3_warc, op4_suffix_dedup, op5_ngram_jaccard, op6_toxicity, op7_quality_llr, op8_pii_surrogates, op9_language_compression, op10_bpe, op11_sentencepiece, op12_spelling_variants, op13_ranked_search)}
 
 ORACLES = {
     "op2_exact_topk": """
@@ -100,6 +104,28 @@ SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
        CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
 FROM f
+""",
+    "op13_ranked_search": r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
+c AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), p AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+w AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM p, c GROUP BY term, n_docs
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN d USING (doc_id), c
+  GROUP BY 1, 2
+), r AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
 """,
     "op5_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
