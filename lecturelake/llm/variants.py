@@ -80,8 +80,8 @@ def paths(words: DataFrame) -> DataFrame:
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of words (word, n): wid, word, n; the tries' edges node, child, label, end_wid (the word that ends at the child);
-    and every word's own path wid, word (backwards in the backward trie), path array of (depth, node, end_wid).
+    """Of words (word, n): wid, word, n; the tries' edges node, child, label, end_wid (the word that ends at the child), next
+    (the characters that the child's labels begin with); and every word's own path wid, word (backwards in the backward trie), path array of (depth, node, end_wid).
 
     Both tries are one table, as their nodes have names of their own. A node without a branch or an end is part of a label.
     A node has an edge for each character at most, so that the join of a hot node's states can be split at a small cost
@@ -102,7 +102,16 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.substr("word", F.col("x.a.depth") + 1, F.col("x.b.depth") - F.col("x.a.depth")).alias("label"),
         F.col("x.b.end_wid").alias("end_wid"),
     )
-    return named, stored(edges.dropDuplicates(["node", "child"]), "variants-edges"), routes
+    edges = stored(edges.dropDuplicates(["node", "child"]), "variants-edges")
+    onward = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(F.substr("label", F.lit(1), F.lit(1))), "").alias("next"))
+    with_next = stored(edges.join(onward, "child", "left"), "variants-edges")
+    discard(edges)
+    return named, with_next, routes
+
+
+def alive(word: Column, pos: Column, end_wid: Column, onward: Column) -> Column:
+    """Whether a state is a pair, or an edge goes on from where it is."""
+    return F.when(pos == F.length(word), end_wid.isNotNull()).otherwise(F.instr(onward, F.substr(word, pos + 1, F.lit(1))) > 0)
 
 
 def first_edit(word: Column, pos: Column, label: Column) -> Column:
@@ -131,9 +140,10 @@ def neighbours(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = met.withColumn("pos", F.explode(first_edit(F.col("word"), F.col("pos"), F.col("label"))))
     used = [edges, routes]
     while True:
+        met = met.filter(alive(F.col("word"), F.col("pos"), F.col("end_wid"), F.col("next")))
         now = stored(met.select("wid", "word", "pos", F.col("child").alias("node"), "end_wid"), "variants-frontier")
         used.append(now)
-        found.append(now.filter((F.col("pos") == F.length("word")) & F.col("end_wid").isNotNull()).select("wid", F.col("end_wid").alias("near")))
+        found.append(now.filter(F.col("pos") == F.length("word")).select("wid", F.col("end_wid").alias("near")))
         if len(found) == 16:
             found = [stored(reduce(DataFrame.union, found), "variants-found")]
             used.append(found[0])
