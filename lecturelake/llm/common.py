@@ -18,15 +18,18 @@ __all__ = ["CHUNK_BYTES", "blocks", "crc_mod", "discard", "mix", "new_path", "re
 CHUNK_BYTES = 1 << 20
 
 
-#: Rows of texts that go to a Python worker at once. Spark's default of 10,000 means tens of MB in and out of each.
-ARROW_ROWS = 1000
+#: Rows and bytes that go to a Python worker at once, whichever is reached first. Spark's default is 10,000 rows of any size.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Set Arrow batches to ARROW_ROWS, unless the session has a size of its own."""
+    """Set Arrow batches to ARROW_ROWS and ARROW_BYTES (and one row), unless the session has sizes of its own."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name, "10000") == "10000":
         spark.conf.set(name, str(ARROW_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(ARROW_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -132,25 +132,25 @@ class Treap:
     def __init__(self, raw: bytes):
         raw = zstandard.ZstdDecompressor().decompress(raw)
         self.height, top = (int(x) for x in np.frombuffer(raw, "<i8", 2))
-        at, above = 16, np.array([top], np.int64)
-        #: A last entry of nothing stands for the cell -1, which is empty.
-        self.masks, self.first, self.maxima = [], [], [np.r_[above, 0]]
+        at, above = 16, np.array([top], np.int32)
+        #: A last entry of nothing stands for the cell -1, which is empty. Nine bytes a cell.
+        self.masks, self.first, self.maxima = [], [], [np.array([top, 0], np.int32)]
         for _ in range(self.height):
             mask = np.frombuffer(raw, np.uint8, len(above), at)
             sizes = BITS[mask]
             at += len(mask)
             n = int(sizes.sum())
-            above = np.repeat(above, sizes) - np.frombuffer(raw, "<u4", n, at).astype(np.int64)
+            above = np.repeat(above, sizes) - np.frombuffer(raw, "<u4", n, at).astype(np.int32)
             at += 4 * n
-            self.masks.append(np.r_[mask, 0].astype(np.int64))
-            self.first.append(np.r_[np.cumsum(sizes) - sizes, 0])
-            self.maxima.append(np.r_[above, 0])
+            self.masks.append(np.r_[mask, np.uint8(0)])
+            self.first.append(np.r_[np.cumsum(sizes) - sizes, 0].astype(np.int32))
+            self.maxima.append(np.r_[above, np.int32(0)])
 
     def best(self, rows: np.ndarray, weights: np.ndarray, k: int, floor: int = 1) -> list[tuple[int, int]]:
         """(score, column) of the k columns with the highest sums of weights times the values in these rows, ties to the
         smaller column; columns below floor (1 or more) are left out."""
         found: list[tuple[int, int]] = []
-        bound = int(self.maxima[0][0] * weights.sum())
+        bound = int(self.maxima[0][0]) * int(weights.sum())
         if not self.height:
             return [(bound, 0)] if bound >= floor else []
         # (-bound, first column, level, cells of the paths, row of these): equal bounds come by column
@@ -170,7 +170,7 @@ class Treap:
                 cells = np.stack([r[4] for r in ranges])
                 shift = self.height - level - 1
                 lower = 2 * ((rows >> shift) & 1)
-                mask, first, maxima = self.masks[level][cells], self.first[level][cells], self.maxima[level + 1]
+                mask, first, maxima = self.masks[level][cells].astype(np.int64), self.first[level][cells], self.maxima[level + 1]
                 for half in (0, 1):
                     quarter = lower + half
                     inner = np.where(mask >> quarter & 1, first + BITS[mask & ((1 << quarter) - 1)], -1)
