@@ -131,12 +131,17 @@ def anchored(docs: DataFrame, length: int, text: str, key: str) -> DataFrame:
 
 
 def contexts(docs: DataFrame, asked: DataFrame, length: int, text: str, key: str) -> DataFrame:
-    """The bytes that asked ranges (d, k, first, span, back, core, n) cover."""
+    """The bytes that asked ranges (d, k, first, span, back, core, n) cover. Of rows that repeat (d, k) a task reads one."""
     lists = asked.groupBy("d", "k").agg(F.collect_list(F.struct("first", "span", "back", "core", "n")).alias("r"))
     met = _keys(docs, text, key).join(lists, ["d", "k"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
+            pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            new = [i for i, pair in enumerate(pairs) if pair not in seen and not seen.add(pair)]
+            if len(new) < len(pairs):
+                batch = batch.take(pa.array(new, pa.int64()))
             raw, at = utf8(batch.column(2))
             lists = batch.column(3)
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -219,7 +224,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", key:
     every = marks[0]
     for m in marks[1:]:
         every = every.unionByName(m)
-    return every.groupBy("d", "k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    # rows that repeat (d, k) have the same spans
+    return every.groupBy("d", "k").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:

@@ -40,3 +40,17 @@ def test_empty_null_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, t), (1, t), (None, t), (None, None), (5, "short")], "doc_id long, text string")
     got = sorted((r.n_bytes, r.n_removed, r.n_spans) for r in suffix.remove_repeats(df).collect())
     assert got == [(0, 0, 0), (5, 0, 0)] + [(900, 900, 1)] * 3
+
+
+def test_repeated_rows_share_their_spans(spark):
+    # a text with a passage of another one, as a thousand equal rows, and once more without a key
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = words(200)
+    long = words(60) + passage + words(60)
+    rows = [(1, long)] * 1000 + [(None, long), (2, "x" + passage + words(50)), (3, words(300))]
+    spans = {(r.d, r.k): r.spans for r in suffix.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert max(map(len, spans.values())) < 60
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = dict(zip([t for _, t in rows[999:]], suffix.brute_force([t for _, t in rows[999:]], 400), strict=True))
+    assert len(got) == len(rows) and all(bytes(r.kept) == want[r.text] for r in got)
