@@ -49,7 +49,8 @@ def learn(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "l
     for r in picked:
         out.setdefault(r.lang, []).append(r.t)
     # each keeps its whole sample: cut to the size of the smallest, a rare or mistyped label would empty all the others
-    return {k: "\n".join(v).encode() for k, v in out.items()}
+    # lower-cased, as texts are when they are compressed
+    return {k: "\n".join(v).lower().encode() for k, v in out.items()}
 
 
 class Compressors:
