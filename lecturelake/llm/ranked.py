@@ -27,9 +27,9 @@ from .common import discard, mix, short_batches, stored, text_chunks
 from .ngram_join import powers
 
 #: Bytes of text and documents that fill a shard; shards that one group of items' copies meets; ranges taken at once.
-SHARD_BYTES, SHARD_DOCS, GROUP_SHARDS, TAKEN = 1 << 24, 1 << 14, 4, 32
+SHARD_BYTES, SHARD_DOCS, GROUP_SHARDS, TAKEN = 6 << 20, 1 << 13, 4, 32
 #: Bytes of a long text hashed at once; it is cut where no term goes on.
-HASHED = 1 << 21
+HASHED = 1 << 19
 
 TERM = np.zeros(256, bool)
 TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -199,7 +199,9 @@ def grid(keys: pa.Array, texts: list[tuple[np.ndarray, np.ndarray]], n_docs: int
     column = np.empty(len(size), np.int64)
     column[order] = np.arange(len(order))
     terms, row = np.unique(np.concatenate([h for h, _ in texts]), return_inverse=True)
-    cell, times = np.unique(row * len(order) + np.repeat(column, size), return_counts=True)
+    row *= len(order)
+    row += np.repeat(column, size)
+    cell, times = np.unique(row, return_counts=True)
     row, column = cell // len(order), cell % len(order)
     held = np.bincount(row)
     place = np.empty(len(terms), np.int64)
