@@ -64,3 +64,45 @@ def window_join(points: DataFrame, others: DataFrame, keys: list[str], at: str,
     a = points.withColumn("bucket", F.explode(buckets(F.col(at) - before, F.col(at) + after, width)))
     b = others.withColumn("bucket", F.floor(F.col(other_at) / width))
     return a.join(b, [*keys, "bucket"]).filter(F.col(other_at).between(F.col(at) - before, F.col(at) + after)).drop("bucket")
+
+
+# A row that starts this near before the next scene, shares this much of its best overlap with it, or runs this
+# far into it, is the next scene's; where nothing overlaps, this part of the row decides and scenes this far off count.
+LEAD, SHARE, TAIL, ANCHOR, FARTHEST = 1.0, 0.75, 0.2, 0.65, 3.0
+
+
+def best_scene(rows: DataFrame, scenes: DataFrame, keys: list[str], row: str, scene: str, width: float) -> DataFrame:
+    """row, scene: rows (keys, row, rs, re) with the scene (keys, scene, ls, le) that each belongs to, null if none.
+
+    Of the scenes that a row overlaps, that of the largest overlap, then the later start, then the earlier end and least
+    scene; but the first of those that begin within the row, after its start, if the row starts at most LEAD before that
+    one's start, shares at least SHARE of the best overlap with it, or runs at least TAIL past its start. A row that
+    overlaps none goes by the point at ANCHOR of its length: the first scene that holds it (ends included), else the one
+    with the nearest bound within FARTHEST. A null start is 0, a null or zero end, or one before the start, is the start.
+    """
+    begin = F.coalesce("rs", F.lit(0.0))
+    end = F.greatest(begin, F.coalesce(F.nullif("re", F.lit(0.0)), begin))
+    x = rows.select(*keys, row, begin.alias("rs"), end.alias("re"))
+    met = overlap_join(scenes, x, keys, width).withColumn("o", F.least("le", "re") - F.greatest("ls", "rs")).filter("o > 0")
+    first = F.when((F.col("ls") > F.col("rs")) & (F.col("ls") <= F.col("re")), F.struct("ls", (-F.col("o")).alias("o"), "le", scene))
+    best = met.groupBy(row).agg(F.min(F.struct((-F.col("o")).alias("o"), (-F.col("ls")).alias("ls"), "le", scene)).alias("best"), F.min(first).alias("next"), F.first("rs").alias("rs"), F.first("re").alias("re"))
+    goes_on = (F.col("rs") >= F.col("next.ls") - LEAD) | (-F.col("next.o") >= -F.col("best.o") * SHARE) | (F.col("re") - F.col("next.ls") >= TAIL)
+    told = best.select(row, F.when(F.coalesce(goes_on, F.lit(False)), F.col(f"next.{scene}")).otherwise(F.col(f"best.{scene}")).alias(scene))
+    alone = x.join(told, row, "left_anti").withColumn("at", F.col("rs") + (F.col("re") - F.col("rs")) * ANCHOR)
+    holds = point_join(alone, scenes, keys, "at", "ls", "le", width).select(row, F.struct(F.lit(0.0).alias("d"), "ls", "le", scene).alias("m"))
+    bounds = scenes.select(*keys, "ls", "le", scene, F.explode(F.array("ls", "le")).alias("bound"))
+    near = window_join(alone, bounds, keys, "at", "bound", FARTHEST, FARTHEST).select(row, F.struct(F.abs(F.col("at") - F.col("bound")).alias("d"), "ls", "le", scene).alias("m"))
+    # a scene that holds the point counts before one with a bound on it
+    rest = holds.withColumn("k", F.lit(0)).union(near.withColumn("k", F.lit(1))).groupBy(row).agg(F.min(F.struct("k", "m")).alias("b")).select(row, F.col(f"b.m.{scene}").alias(scene))
+    return rows.select(row).join(told.union(rest), row, "left")
+
+
+def scene_at(points: DataFrame, scenes: DataFrame, keys: list[str], row: str, at: str, scene: str, width: float) -> DataFrame:
+    """row, scene: the first scene (keys, scene, ls, le; by ls, then scene) with a point (keys, row, at) in [ls, le); a point
+    before its key's first scene has that one, any other that is in none has the last. Keys without scenes have null."""
+    inside = point_join(points, scenes, keys, at, "ls", "le", width).filter(F.col(at) < F.col("le"))
+    own = inside.groupBy(row).agg(F.min(F.struct("ls", scene)).alias("own"))
+    ends = scenes.groupBy(*keys).agg(F.min(F.struct("ls", scene)).alias("first"), F.max(F.struct("ls", scene)).alias("last"))
+    met = points.join(own, row, "left").join(ends, keys, "left")
+    out = F.when(F.col(at) < F.col("first.ls"), F.col(f"first.{scene}")).otherwise(F.col(f"last.{scene}"))
+    return met.select(row, F.coalesce(F.col(f"own.{scene}"), F.when(F.col(at).isNotNull(), out)).alias(scene))

@@ -120,25 +120,26 @@ def _(t: Tables):
 
 # --- components and greedy groups -------------------------------------------------------------------------------------
 
-_BUY = "SELECT DISTINCT 'customer/' || o_custkey AS src, 'part/' || l_partkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 11 = 0 AND l_quantity > 45"
+_BUY = "SELECT DISTINCT 'customer/' || o_custkey AS src, 'part/' || l_partkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
 
 
 def _bought(t: Tables):
-    """Customers and the parts that they buy much of at once: chains, stars and lone nodes, growing with the orders."""
-    x = t.lineitem.filter("l_quantity > 45").join(t.orders.filter("o_orderkey % 11 = 0"), F.col("o_orderkey") == F.col("l_orderkey"))
+    """Customers and the parts of all their orders."""
+    x = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
     return x.select(_id("customer", "o_custkey").alias("src"), _id("part", "l_partkey").alias("dst"), "l_discount", "l_returnflag", "l_linestatus")
 
 
-_REACH = "c AS (SELECT n AS a, n AS b FROM (SELECT src AS n FROM k UNION SELECT dst FROM k UNION SELECT 'part/' || p_partkey FROM part) UNION SELECT c.a, e.y FROM c JOIN (SELECT src AS x, dst AS y FROM k UNION SELECT dst, src FROM k) e ON c.b = e.x)"
+_REACH = """n AS (SELECT src AS n FROM k UNION SELECT dst FROM k UNION SELECT 'part/' || p_partkey FROM part), b AS (SELECT src AS x, dst AS y FROM k UNION SELECT dst, src FROM k),
+c(node, component) USING KEY (node) AS (SELECT n, n FROM n UNION SELECT b.y, min(c.component) FROM c JOIN b ON c.node = b.x JOIN recurring.c r ON r.node = b.y WHERE c.component < r.component GROUP BY b.y)"""
 
 
-@query("graph_components", f"WITH RECURSIVE k AS ({_BUY}), {_REACH} SELECT a AS node, min(b) AS component FROM c GROUP BY 1")
+@query("graph_components", f"WITH RECURSIVE k AS ({_BUY}), {_REACH} SELECT node, component FROM c")
 def _(t: Tables):
     return graph.components(t.part.select(_id("part", "p_partkey").alias("node")), _bought(t))
 
 
-@query("graph_components_constrained", f"""WITH RECURSIVE p AS (SELECT 'customer/' || o_custkey AS src, 'part/' || l_partkey AS dst, max(l_discount * 10) AS confidence, bool_or(l_returnflag = 'R') AS vetoed, bool_or(l_linestatus = 'O') AS approved FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 11 = 0 AND l_quantity > 45 GROUP BY 1, 2),
-k AS (SELECT src, dst FROM p WHERE NOT vetoed AND CASE WHEN approved THEN confidence >= 0.65 ELSE confidence >= 0.95 END), {_REACH} SELECT a AS node, min(b) AS component FROM c GROUP BY 1""")
+@query("graph_components_constrained", f"""WITH RECURSIVE p AS (SELECT 'customer/' || o_custkey AS src, 'part/' || l_partkey AS dst, max(l_discount * 10) AS confidence, bool_or(l_returnflag = 'R') AS vetoed, bool_or(l_linestatus = 'O') AS approved FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
+k AS (SELECT src, dst FROM p WHERE NOT vetoed AND CASE WHEN approved THEN confidence >= 0.65 ELSE confidence >= 0.95 END), {_REACH} SELECT node, component FROM c""")
 def _(t: Tables):
     """A pair links if it was approved with a confidence of .65 or, not reviewed, has one of .95; a veto takes out that pair alone."""
     p = _bought(t).groupBy("src", "dst").agg(F.max(F.col("l_discount") * 10).alias("confidence"), F.bool_or(F.col("l_returnflag") == "R").alias("vetoed"), F.bool_or(F.col("l_linestatus") == "O").alias("approved"))
@@ -147,7 +148,7 @@ def _(t: Tables):
 
 
 def _alike_lines(t: Tables):
-    x = lines(t).filter("place <= 12").select(F.col("l_orderkey").alias("g"), "place", F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"))
+    x = lines(t).select(F.col("l_orderkey").alias("g"), "place", F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"))
     a, b = x.alias("a"), x.alias("b")
     near = (F.abs(F.col("a.q") - F.col("b.q")) <= 12) | (F.abs(F.col("a.d") - F.col("b.d")) < 0.005)
     links = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.place") < F.col("b.place")) & near)
@@ -245,11 +246,12 @@ def _(t: Tables):
     return met.groupBy("p_partkey").agg(F.sum("score").alias("score"), F.count_distinct("kw").alias("keywords"))
 
 
-@query("join_textunit_bridge", r"""WITH u AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="(/[a-z]+/?[0-9]*)', 1))) AS id FROM pages) SELECT p_partkey, count(DISTINCT id) AS slides FROM part JOIN u ON page_id = p_partkey % 250 WHERE id <> '' GROUP BY 1""")
+@query("join_textunit_bridge", r"""WITH u AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="(/[a-z]+/?[0-9]*)', 1))) AS id FROM pages) SELECT p_partkey, count(DISTINCT id) AS slides FROM part JOIN u ON page_id = p_partkey % (SELECT count(*) FROM pages) WHERE id <> '' GROUP BY 1""")
 def _(t: Tables):
     """Entity to text unit to the ids that the unit's text names."""
     u = t.pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[a-z]+/?[0-9]*)'), F.lit(1)))).alias("id")).filter("id <> ''")
-    bridge = t.part.select("p_partkey", (F.col("p_partkey") % 250).alias("page_id")).join(u, "page_id")
+    n = t.pages.agg(F.count(F.lit(1))).scalar()
+    bridge = t.part.select("p_partkey", (F.col("p_partkey") % n).alias("page_id")).join(u, "page_id")
     return bridge.groupBy("p_partkey").agg(F.count_distinct("id").alias("slides"))
 
 

@@ -170,11 +170,17 @@ def _(t: Tables):
     return t.part.select("p_partkey", F.array_join(texts.phrases(words, 2, 3, ""), "|").alias("nouns"))
 
 
-@query("str_glossary_terms", r"SELECT doc_id, CAST(len(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS BIGINT) AS terms FROM (SELECT doc_id, regexp_extract_all(text, '[0-9A-Za-z가-힣]{2,}')[1:400] AS w FROM documents WHERE text IS NOT NULL)")
+@query("str_glossary_terms", r"""WITH u AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[\n\r\t,;:|.!?]+')) AS u FROM documents), w AS (SELECT doc_id, list_filter(regexp_split_to_array(u, '\s+'), lambda x: x <> '') AS w FROM u),
+p AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS term FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, unnest([1, 2, 3]) AS n FROM w WHERE len(w) BETWEEN 1 AND 6)) WHERE n > 1 OR length(w[i]) >= 3)
+SELECT doc_id, count(*) AS terms, min(term) AS first, max(term) AS last FROM (SELECT doc_id, term FROM p UNION SELECT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.()]*')) AS term FROM documents) WHERE regexp_matches(term, '[0-9_()]')) WHERE length(term) BETWEEN 2 AND 40 GROUP BY 1""")
 def _(t: Tables):
-    """Phrases of one and two words out of the first 400 words that a glossary takes."""
-    words = F.slice(F.regexp_extract_all("text", F.lit("[0-9A-Za-z가-힣]{2,}"), F.lit(0)), 1, 400)
-    return t.documents.filter("text is not null").withColumn("w", words).select("doc_id", F.size(texts.phrases(F.col("w"), 1, 2, " ")).cast("long").alias("terms"))
+    """Of whole texts: phrases of one to three words out of units of six words at most, and words that look like code."""
+    units = t.documents.select("doc_id", F.explode(F.split("text", r"[\n\r\t,;:|.!?]+")).alias("u"))
+    words = units.select("doc_id", F.filter(F.split("u", r"\s+"), lambda w: w != "").alias("w")).filter("size(w) BETWEEN 1 AND 6")
+    phrases = words.select("doc_id", F.explode(F.filter(texts.phrases(F.col("w"), 1, 3, " "), lambda p: F.contains(p, F.lit(" ")) | (F.length(p) >= 3))).alias("term"))
+    code = t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_][A-Za-z0-9_.()]*"), F.lit(0)))).alias("term")).filter(F.col("term").rlike("[0-9_()]"))
+    once = phrases.union(code).filter(F.length("term").between(2, 40)).distinct()
+    return once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.min("term").alias("first"), F.max("term").alias("last"))
 
 
 @query("str_intent_rules", "SELECT o_orderkey, CAST(round(0.2 / s, 6) AS DOUBLE) AS definition, CAST(round(v / s, 6) AS DOUBLE) AS visual, CAST(round(p / s, 6) AS DOUBLE) AS place FROM (SELECT o_orderkey, v, p, 0.2 + v + p AS s FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 0.95 ELSE 0.3 END AS v, CASE WHEN o_orderkey % 3 = 0 THEN 0.7 ELSE 0.0 END AS p FROM orders))")

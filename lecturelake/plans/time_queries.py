@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import windows
-from ..operators.intervals import overlap_join, window_join
+from ..operators.intervals import best_scene, overlap_join, scene_at, window_join
 from .tables import Tables, query
 
 AT = "date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 1e6"
@@ -138,20 +138,22 @@ def overlap_sum(t: Tables):
     return _scenes(t).select("scene").join(met, "scene", "left").select("scene", F.round(F.coalesce("s", F.lit(0.0)), 3).alias("silent_sec"))
 
 
-@query("join_interval_overlap_best", _SCENES + "SELECT silence, scene FROM (SELECT silence, scene, row_number() OVER (PARTITION BY silence ORDER BY round(least(le, re) - greatest(ls, rs), 6) DESC, ls DESC, scene) AS r FROM s JOIN q ON s.user_id = q.user_id AND ls < re AND rs < le) WHERE r = 1")
+@query("join_interval_overlap_best", _SCENES + """, o AS (SELECT q.silence, s.scene, rs, re, ls, le, least(le, re) - greatest(ls, rs) AS o FROM s JOIN q ON s.user_id = q.user_id AND ls < re AND rs < le),
+b AS (SELECT silence, any_value(rs) AS rs, any_value(re) AS re, min({'o': -o, 'ls': -ls, 'le': le, 'scene': scene}) AS best, min({'ls': ls, 'o': -o, 'le': le, 'scene': scene}) FILTER (ls > rs AND ls <= re) AS nxt FROM o GROUP BY 1),
+d AS (SELECT silence, CASE WHEN nxt IS NOT NULL AND (rs >= nxt.ls - 1.0 OR -nxt.o >= -best.o * 0.75 OR re - nxt.ls >= 0.2) THEN nxt.scene ELSE best.scene END AS scene FROM b),
+a AS (SELECT q.silence, q.user_id, rs + (re - rs) * CAST(0.65 AS DOUBLE) AS pt FROM q WHERE silence NOT IN (SELECT silence FROM d)),
+f AS (SELECT silence, scene, row_number() OVER (PARTITION BY silence ORDER BY CASE WHEN pt BETWEEN ls AND le THEN 0 ELSE 1 END, CASE WHEN pt BETWEEN ls AND le THEN 0 ELSE least(abs(pt - ls), abs(pt - le)) END, ls, le, scene) AS r FROM a JOIN s USING (user_id) WHERE pt BETWEEN ls AND le OR least(abs(pt - ls), abs(pt - le)) <= 3.0)
+SELECT q.silence, coalesce(d.scene, f.scene) AS scene FROM q LEFT JOIN d USING (silence) LEFT JOIN f ON f.silence = q.silence AND r = 1""")
 def _(t: Tables):
-    met = overlap_join(_scenes(t), _silences(t), ["user_id"], 86400)
-    best = met.groupBy("silence").agg(F.max(F.struct(F.round(F.least("le", "re") - F.greatest("ls", "rs"), 6).alias("o"), "ls", (-F.col("scene")).alias("n"))).alias("m"))
-    return best.select("silence", (-F.col("m.n")).alias("scene"))
+    return best_scene(_silences(t), _scenes(t), ["user_id"], "silence", "scene", 86400)
 
 
-@query("join_interval_point", _SCENES + ", p AS (SELECT * FROM e WHERE event_type = 'click') SELECT p.event_id, s.scene FROM p ASOF LEFT JOIN (SELECT user_id, max(scene) AS scene, ls FROM s GROUP BY user_id, ls) s ON p.user_id = s.user_id AND p.sec >= s.ls")
+@query("join_interval_point", _SCENES + """, p AS (SELECT * FROM e WHERE event_type = 'click'), o AS (SELECT p.event_id, min({'ls': ls, 'scene': scene}) AS own FROM p JOIN s ON p.user_id = s.user_id AND sec >= ls AND sec < le GROUP BY 1),
+x AS (SELECT user_id, min({'ls': ls, 'scene': scene}) AS first, max({'ls': ls, 'scene': scene}) AS last FROM s GROUP BY 1)
+SELECT p.event_id, coalesce(own.scene, CASE WHEN sec < x.first.ls THEN x.first.scene ELSE x.last.scene END) AS scene FROM p LEFT JOIN o USING (event_id) LEFT JOIN x USING (user_id)""")
 def _(t: Tables):
-    # as-of by union: the last scene start up to each click, in one ordered pass per user
-    s = _scenes(t).groupBy("user_id", F.col("ls").alias("at")).agg(F.max("scene").alias("scene")).withColumn("event_id", F.lit(None).cast("long")).withColumn("is_point", F.lit(1))
-    p = timed(t).filter("event_type = 'click'").select("user_id", "at", F.lit(None).cast("long").alias("scene"), "event_id", F.lit(2).alias("is_point"))
-    w = Window.partitionBy("user_id").orderBy("at", "is_point").rowsBetween(Window.unboundedPreceding, 0)
-    return s.select(*p.columns).union(p).withColumn("scene", F.last("scene", True).over(w)).filter("is_point = 2").select("event_id", "scene")
+    p = timed(t).filter("event_type = 'click'").select("user_id", "at", "event_id")
+    return scene_at(p, _scenes(t), ["user_id"], "event_id", "at", "scene", 86400)
 
 
 @query("join_asof_nearest_window", _SCENES + """, p AS (SELECT * FROM e WHERE event_type = 'click'), c AS (SELECT p.event_id, q.silence, row_number() OVER (PARTITION BY p.event_id ORDER BY round(abs(rs - sec), 6), rs, silence) AS r FROM p JOIN q ON p.user_id = q.user_id AND rs BETWEEN sec - 5000 AND sec + 2000)

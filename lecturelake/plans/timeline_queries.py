@@ -24,7 +24,7 @@ def _(t: Tables):
     return timeline.absorb_short(_runs(t), "user_id", 10800.0).select("user_id", "i", "kind", F.round("start", 3).alias("start"), F.round("stop", 3).alias("stop"))
 
 
-_VISITS = f"v AS (SELECT user_id % 40 AS grp, event_id, {AT} AS start, {AT} + value AS stop, CASE event_type WHEN 'error' THEN value * 0.9 WHEN 'click' THEN value * 0.6 ELSE 0 END AS silence FROM events WHERE event_id % 5 = 0)"
+_VISITS = f"v AS (SELECT user_id % 40 AS grp, event_id, {AT} AS start, {AT} + value AS stop, CASE event_type WHEN 'error' THEN value * 0.9 WHEN 'click' THEN value * 0.6 ELSE 0 END AS silence FROM events)"
 
 
 @query("win_role_classify", f"""WITH {_VISITS}, s AS (SELECT *, stop - start AS dwell, CASE WHEN stop > start THEN least(1.0, silence / (stop - start)) ELSE 0 END AS quiet FROM v),
@@ -34,7 +34,7 @@ l AS (SELECT *, last_value(CASE WHEN role <> 'transitional' THEN stop END IGNORE
 SELECT event_id, role, score, role <> 'transitional' AND last_stop IS NOT NULL AS revisited, coalesce(role <> 'transitional' AND start - last_stop < 1.5, false) AS continuous FROM l""")
 def _(t: Tables):
     silence = F.when(F.col("event_type") == "error", F.col("value") * 0.9).when(F.col("event_type") == "click", F.col("value") * 0.6).otherwise(0.0)
-    v = timed(t).filter("event_id % 5 = 0").select((F.col("user_id") % 40).alias("grp"), F.col("event_id").alias("visit"), F.col("at").alias("start"), (F.col("at") + F.col("value")).alias("stop"), silence.alias("silence"))
+    v = timed(t).select((F.col("user_id") % 40).alias("grp"), F.col("event_id").alias("visit"), F.col("at").alias("start"), (F.col("at") + F.col("value")).alias("stop"), silence.alias("silence"))
     return timeline.visit_roles(v, "grp").select(F.col("visit").alias("event_id"), "role", "score", "revisited", F.coalesce("continuous", F.lit(False)).alias("continuous"))
 
 
