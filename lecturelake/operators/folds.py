@@ -71,3 +71,22 @@ def annotation_step(ratio: float, active: float, quiet: int) -> Step:
         return (base, ink, True, still, frames + 1, held), []
 
     return step
+
+
+def annotation_flush(state: tuple) -> list[tuple]:
+    """Writing that is still going on at the end counts up to its last active frame."""
+    _, _, writing, _, frames, held = state
+    return [(held, frames + 1)] if writing else []
+
+
+def heartbeat_step(ttl: int) -> tuple[Step, Callable[[tuple], list[tuple]]]:
+    """Sessions that heartbeats keep for ttl microseconds, from rows (us,): sends (start, last, heartbeats, expired) of a session
+    once it has ended; a heartbeat that comes as the session expires, or later, opens another."""
+    over = lambda s: (s[0], s[1], s[2], s[1] + ttl)
+
+    def step(state, row):
+        if state is None or row[0] - state[1] >= ttl:
+            return (row[0], row[0], 1), ([] if state is None else [over(state)])
+        return (state[0], row[0], state[2] + 1), []
+
+    return step, lambda state: [over(state)]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import folds, timeline
 from ..streaming.sessions import distinct_chunks, drained, drained_rows, event_stream, sessions, tumbling, usage
+from ..streaming.ordered import ordered_machine, replayed, run
 from ..streaming.states import machine
 from .tables import Tables, query
 
@@ -90,3 +91,59 @@ def _(t: Tables):
     """The same over the table as it is, in one pass of sorted partitions."""
     step = folds.annotation_step(*WRITING)
     return folds.fold(t.events, "user_id", ["ts", "event_id"], ["event_id", "value", "ts"], lambda state, row: step(state, row[:2]), lambda state: [], "user_id long, event_id long, frames long")
+
+
+def _arriving(t: Tables):
+    """Events as they would come in: six micro-batches by time, then nothing but time."""
+    return replayed(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", 6, "41 days").withColumn("at", F.col("ts"))
+
+
+@query("stream_slide_change_timed")
+def _(t: Tables):
+    """As win_slide_change, what is pending at the end included: rows wait for the watermark, and idle machines are flushed."""
+    frames = scene_metrics(_arriving(t)).withColumn("at", F.col("ts"))
+    state = "first long, steady long, total long, seen long"
+    return run(ordered_machine(frames, "user_id", "at", "event_id", list(SCENE), timeline.scene_step(2, 4, 3), timeline.scene_flush, state, "user_id long, event_id long, reason string", "1 hour", "40 days"))
+
+
+@query("stream_annotation_stability_timed")
+def _(t: Tables):
+    """As win_annotation_stability_end: writing that hasn't rested when a user falls silent is captured too."""
+    events = _arriving(t)
+    state = "base double, before double, writing boolean, still long, frames long, held long"
+    step = folds.annotation_step(*WRITING)
+    return run(ordered_machine(events, "user_id", "at", "event_id", ["event_id", "value"], step, folds.annotation_flush, state, "user_id long, event_id long, frames long", "1 hour", "40 days"))
+
+
+@query("win_annotation_stability_end")
+def _(t: Tables):
+    step = folds.annotation_step(*WRITING)
+    return folds.fold(t.events, "user_id", ["ts", "event_id"], ["event_id", "value", "ts"], lambda state, row: step(state, row[:2]), folds.annotation_flush, "user_id long, event_id long, frames long")
+
+
+_BEATS = """b AS (SELECT user_id, event_id, ts, epoch_us(ts) AS us FROM events), o AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY user_id ORDER BY us) >= 10800000000, true)::INT AS o FROM b),
+s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS s FROM o), g AS (SELECT user_id, min(us) AS start_us, max(us) AS last_us, count(*) AS beats, max(us) + 10800000000 AS expired_us FROM s GROUP BY user_id, s)"""
+
+
+def _expiries(t: Tables):
+    events = _arriving(t).withColumn("us", F.unix_micros("at"))
+    step, last = folds.heartbeat_step(3 * 3600 * 1_000_000)
+    schema = "user_id long, start_us long, last_us long, beats long, expired_us long"
+    return run(ordered_machine(events, "user_id", "at", "event_id", ["us"], step, last, "start_us long, last_us_seen long, beats long", schema, "1 hour", "3 hours"))
+
+
+@query("stream_session_ttl_expiry", f"WITH {_BEATS} SELECT * FROM g")
+def _(t: Tables):
+    """Sessions that heartbeats keep for three hours, each sent once it has expired, also where nothing more comes."""
+    return _expiries(t)
+
+
+@query("op_session_enter_leave_stream", f"WITH {_BEATS}, d AS (SELECT user_id % 7 AS lecture, start_us AS us, 1 AS d FROM g UNION ALL SELECT user_id % 7, expired_us, -1 FROM g), c AS (SELECT lecture, us, sum(d) AS d FROM d GROUP BY 1, 2) SELECT lecture, us, CAST(sum(d) OVER (PARTITION BY lecture ORDER BY us) AS BIGINT) AS n FROM c")
+def _(t: Tables):
+    """How many sessions of a lecture are live after each enter or expiry; where n is 0 its graph is unloaded."""
+    from ..operators.windows import running_total
+
+    e = _expiries(t).select((F.col("user_id") % 7).alias("lecture"), "start_us", "expired_us")
+    d = e.select("lecture", F.explode(F.array(F.struct(F.col("start_us").alias("us"), F.lit(1).alias("d")), F.struct(F.col("expired_us").alias("us"), F.lit(-1).alias("d")))).alias("x")).select("lecture", "x.us", "x.d")
+    d = d.groupBy("lecture", "us").agg(F.sum("d").alias("d"))
+    return running_total(d, "lecture", "us", "d", 86_400_000_000).select("lecture", "us", F.col("total").alias("n"))
