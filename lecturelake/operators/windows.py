@@ -45,9 +45,9 @@ def running_total(df: DataFrame, key: str, at: str, amount: str, width: float) -
     """Add total: the sum of amount over the key's rows up to at (unique in a key). A key's time is cut into stretches of width,
     which are summed by themselves and take the sum of those before, so that a hot key is many tasks' work."""
     x = df.withColumn("stretch", F.floor(F.col(at) / width))
-    sums = x.groupBy(key, "stretch").agg(F.sum(amount).alias("all"))
-    so_far = Window.partitionBy(key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col(key).alias("k"), F.col("stretch").alias("s"), F.coalesce(F.sum("all").over(so_far), F.lit(0)).alias("earlier"))
+    so_far = Window.partitionBy("sum_key").orderBy("sum_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = x.groupBy(F.col(key).alias("sum_key"), F.col("stretch").alias("sum_stretch")).agg(F.sum(amount).alias("sum_all"))
+    sums = sums.withColumn("earlier", F.coalesce(F.sum("sum_all").over(so_far), F.lit(0))).drop("sum_all")
     own = F.sum(amount).over(Window.partitionBy(key, "stretch").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
-    met = x.withColumn("own", own).join(sums, F.col(key).eqNullSafe(F.col("k")) & (F.col("stretch") == F.col("s")))
-    return met.withColumn("total", F.col("own") + F.col("earlier")).drop("k", "s", "earlier", "own", "stretch")
+    met = x.withColumn("own", own).join(sums, F.col(key).eqNullSafe(F.col("sum_key")) & (F.col("stretch") == F.col("sum_stretch")))
+    return met.withColumn("total", F.col("own") + F.col("earlier")).drop("sum_key", "sum_stretch", "earlier", "own", "stretch")
