@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ranking, text
+from ..operators import inverted, ranking, text
 from ..operators.windows import latest, with_fallback
 from .tables import Tables, query
 
@@ -56,6 +56,34 @@ def top_bm25(t: Tables):
     return ranking.top(bm25(t), 80, F.desc("score"), F.col("doc_id"))
 
 
+def _index(t: Tables):
+    """Documents with three fields: the first 60 characters, words of ten letters or more as keywords, the whole text."""
+    words = F.array_distinct(F.filter(text.tokens(F.col("text")), lambda w: F.length(w) >= 10))
+    docs = t.documents.select("doc_id", F.substring("text", 1, 60).alias("title"), F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(0.7).alias("weight"))).alias("keywords"), F.col("text").alias("summary"))
+    return inverted.build(docs, "doc_id", "title", "keywords", "summary")
+
+
+FIELD_TERMS = {**TERMS, "information": 0.7, "tionontion": 1.0}
+_field_tf = [f"1.5 * len(list_filter(t, lambda x: x = '{q}')) + 2.0 * CASE WHEN list_contains(k, '{q}') THEN 0.7 + 0.7 * 0.5 ELSE 0 END + 0.5 * len(list_filter(s, lambda x: x = '{q}'))" for q in FIELD_TERMS]
+FIELDS_SQL = f"""
+WITH a AS (SELECT doc_id, {TOKENS_SQL.format('substr(text, 1, 60)')} AS t, {TOKENS_SQL.format('text')} AS s FROM documents), d AS (SELECT *, list_distinct(list_filter(s, lambda x: length(x) >= 10)) AS k FROM a),
+c AS (SELECT doc_id, CAST(len(t) + len(s) + (0.7 + 0.7 * 0.5) * len(k) AS DOUBLE) AS dl, {', '.join(f'CAST({x} AS DOUBLE) AS tf{i}' for i, x in enumerate(_field_tf))} FROM d),
+n AS (SELECT count(*) AS n, avg(dl) AS avgdl, {', '.join(f'count(*) FILTER (tf{i} > 0) AS df{i}' for i in range(len(FIELD_TERMS)))} FROM c),
+r AS (SELECT doc_id, {' + '.join(f'{w} * ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (1 - 0.75 + 0.75 * coalesce(nullif(dl, 0), avgdl) / avgdl))' for i, w in enumerate(FIELD_TERMS.values()))} AS score FROM c, n)
+"""
+
+
+@query("agg_bm25_index", FIELDS_SQL + "SELECT doc_id, round(score, 5) AS score FROM r WHERE score > 0")
+def _(t: Tables):
+    """Three fields, from the stored index."""
+    return inverted.scores(_index(t), FIELD_TERMS, "doc_id").select("doc_id", F.round("score", 5).alias("score"))
+
+
+@query("topk_bm25_index", FIELDS_SQL + "SELECT doc_id, round(score, 5) AS score FROM r WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 80")
+def _(t: Tables):
+    return inverted.top(_index(t), FIELD_TERMS, "doc_id", 80).select("doc_id", F.round("score", 5).alias("score"))
+
+
 @query("filt_text_contains", f"SELECT doc_id FROM documents WHERE {HITS_SQL} > 0")
 def _(t: Tables):
     return t.documents.filter(text.hits(F.col("text"), KEYWORDS) > 0).select("doc_id")
