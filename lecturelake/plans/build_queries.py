@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import build, contain, graph
+from ..operators import build, contain, graph, greedy
 from ..operators.windows import latest
 from .tables import Tables, query
 
@@ -157,12 +157,12 @@ def _alike_lines(t: Tables):
 
 @query("graph_clique_greedy")
 def _(t: Tables):
-    return build.greedy_groups(*_alike_lines(t), "g", complete=True)
+    return greedy.greedy_cliques(*_alike_lines(t), "g")
 
 
 @query("graph_cluster_greedy")
 def _(t: Tables):
-    return build.greedy_groups(*_alike_lines(t), "g", complete=False)
+    return greedy.greedy_clusters(*_alike_lines(t), "g")
 
 
 @query("graph_duplicate_edges", f"""WITH x AS (SELECT l_orderkey AS g, {_LINE} AS i, l_quantity AS q, l_discount AS d, l_tax AS x FROM lineitem)
