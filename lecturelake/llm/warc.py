@@ -6,6 +6,7 @@ file system that Spark reaches will do; `spark.read.format("binaryFile")` gives
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import struct
@@ -25,7 +26,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DATE = r"\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])T(?:[01]\d|2[0-3]):[0-5]\d:(?:[0-5]\d|60)(?:\.\d{1,9})?Z"
 
 ARCHIVE_BYTES = 4 << 20
-RECORD_SCHEMA = "archive string, record int, page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, error string"
+RECORD_SCHEMA = "archive string, record int, page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, error string, record_id string, refers_to_id string"
 
 
 class ArchiveError(ValueError):
@@ -36,13 +37,15 @@ def mark_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html
     """key, url, payload (UTF-8; null: empty), payload_digest, first: the smallest key with that payload.
 
     Payloads under `least` bytes get no first. Rows that repeat the smallest key stay responses; a null key is larger
-    than any other, and where all keys are null every row is a response. Digests are counted first; then every payload
-    meets the first key of its digest, by a shuffle where the repeated digests are too many to be broadcast.
+    than any other, and where all keys are null every row is a response. Digests are counted first; then every payload of
+    `least` bytes or more meets the first key of its digest, by a shuffle where the repeated digests are too many to be
+    broadcast. Smaller ones, which often are the same, meet nothing and are dealt out by their key.
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
     repeated = rows.filter(F.length("payload") >= least).groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).filter("n > 1").drop("n")
-    return rows.join(repeated, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", "first")
+    meets = F.when(F.length("payload") >= least, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id"), F.xxhash64("url", "payload")).cast("string")))
+    return rows.withColumn("meets", meets).join(repeated.withColumnRenamed("payload_digest", "meets"), "meets", "left").select("page_id", "url", "payload", "payload_digest", "first")
 
 
 def train_dictionary(pages: DataFrame, html: str = "html", sample: int = 200, size: int = 32 << 10) -> bytes:
@@ -68,12 +71,19 @@ def dictionary_frame(dictionary: bytes) -> bytes:
 
 
 def record_bytes(page_id, url, payload: bytes, digest: str, refers_to=None, revisit: bool = False, date: str = "1970-01-01T00:00:00Z") -> bytes:
-    """One WARC record: an HTTP response with its payload, or a revisit whose block ends after the HTTP header."""
+    """One WARC record: an HTTP response with its payload, or a revisit whose block ends after the HTTP header.
+
+    The URI stands as it is, but for characters that no URI holds, which are escaped; then the address itself, escaped
+    throughout, stands in a header of its own beside it.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + quote(url, safe="!#$&'()*+,/:;=?@[]~"))
+        uri = quote(url, safe="!#$%&'()*+,/:;=?@[]~")
+        head.append(f"WARC-Target-URI: {uri}")
+        if uri != url:
+            head.append("X-Page-Address: " + quote(url, safe=""))
     if revisit:
         head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     head += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -163,16 +173,33 @@ def _length(fields: dict[str, str]) -> int:
 
 
 def _page(value: str | None) -> int | None:
+    """The key in a record id that record_bytes has written; null for other ids."""
     m = re.fullmatch(r"<urn:page:(-?\d*)>", value or "")
-    if not m:
-        raise ArchiveError(f"bad record id {value!r}")
-    return int(m[1]) if m[1] else None
+    return int(m[1]) if m and m[1] else None
+
+
+def _checked(stated: str | None, data: bytes, what: str) -> None:
+    """Compare data with a digest `algorithm:value`, the value in hex or base32; algorithms that hashlib lacks aren't told."""
+    if stated is None:
+        return
+    name, colon, value = stated.partition(":")
+    if not colon or not value:
+        raise ArchiveError(f"{what} is malformed")
+    name = name.lower().replace("-", "")
+    if name in hashlib.algorithms_guaranteed and not name.startswith("shake"):
+        found = hashlib.new(name, data)
+        if value.lower() != found.hexdigest() and value.upper().rstrip("=") != base64.b32encode(found.digest()).decode().rstrip("="):
+            raise ArchiveError(f"{what} is not that of what is there")
 
 
 def parse_record(raw: bytes) -> dict:
-    """Check one record's version, headers, lengths and digest."""
+    """Check one record's version, headers, lengths and digests.
+
+    Of HTTP messages the payload is what follows their header; of all other records (warcinfo, metadata, resource and the
+    like) it is the whole block. payload_digest is the payload's SHA-256, or what a revisit states, without "sha256:".
+    """
     head, gap, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "strict").split("\r\n")
+    lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "strict")).split("\r\n")
     if not gap or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise ArchiveError("no WARC header")
     fields = _fields(lines[1:], "header")
@@ -181,30 +208,40 @@ def parse_record(raw: bytes) -> dict:
         raise ArchiveError(f"Content-Length {size} is not that of the block")
     if not re.fullmatch(DATE, fields.get("warc-date", "")):
         raise ArchiveError("WARC-Date is missing or malformed")
-    kind = fields.get("warc-type")
-    if kind not in ("response", "revisit"):
-        raise ArchiveError(f"WARC-Type {kind!r}")
-    http, gap, payload = rest[:size].partition(b"\r\n\r\n")
-    status, *more = http.decode("latin-1").split("\r\n")
-    if not gap or not status.startswith("HTTP/"):
-        raise ArchiveError("no HTTP header")
-    n = _length(_fields(more, "HTTP header"))
-    digest = re.fullmatch(r"sha256:([0-9a-f]{64})", fields.get("warc-payload-digest", ""))
-    if not digest:
-        raise ArchiveError("WARC-Payload-Digest is missing or malformed")
-    if kind == "response" and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest[1]):
-        raise ArchiveError("the payload doesn't have the length or digest stated")
-    if kind == "revisit" and payload:
-        raise ArchiveError("a revisit with a payload")
-    url = fields.get("warc-target-uri")
+    kind, record_id = fields.get("warc-type"), fields.get("warc-record-id")
+    if not kind or not re.fullmatch(r"<[^<>\s]+>", record_id or ""):
+        raise ArchiveError("WARC-Type or WARC-Record-ID is missing or malformed")
+    block = rest[:size]
+    _checked(fields.get("warc-block-digest"), block, "WARC-Block-Digest")
+    payload, n, stated = block, size, fields.get("warc-payload-digest")
+    if fields.get("content-type", "").lower().startswith("application/http") and kind in ("response", "revisit", "request"):
+        http, gap, payload = block.partition(b"\r\n\r\n")
+        status, *more = re.sub(r"\r\n[ \t]+", " ", http.decode("latin-1")).split("\r\n")
+        if not gap or not (status.startswith("HTTP/") or kind == "request"):
+            raise ArchiveError("no HTTP header")
+        more = _fields(more, "HTTP header")
+        told = "content-length" in more and "transfer-encoding" not in more
+        n = _length(more) if told else len(payload)
+        if kind == "response" and len(payload) != n and "warc-truncated" not in fields:
+            raise ArchiveError("the payload doesn't have the length stated")
+    if kind == "revisit":
+        if payload:
+            raise ArchiveError("a revisit with a payload")
+        digest = stated.removeprefix("sha256:") if stated else None
+    else:
+        _checked(stated, payload, "WARC-Payload-Digest")
+        digest = hashlib.sha256(payload).hexdigest()
+    refers = fields.get("warc-refers-to") if kind == "revisit" else None
+    address = fields.get("x-page-address")
     return {
-        "page_id": _page(fields.get("warc-record-id")), "url": None if url is None else unquote(url), "record_type": kind, "refers_to": _page(fields.get("warc-refers-to")) if kind == "revisit" else None,
-        "payload": payload if kind == "response" else None, "payload_bytes": n, "payload_digest": digest[1],
+        "page_id": _page(record_id), "url": fields.get("warc-target-uri") if address is None else unquote(address), "record_type": kind, "refers_to": _page(refers),
+        "payload": None if kind == "revisit" else payload, "payload_bytes": n, "payload_digest": digest, "record_id": record_id, "refers_to_id": refers,
     }
 
 
 def read_archives(archives: DataFrame, name: str = "archive", content: str = "content", on_error: str = "raise", with_payload: bool = True) -> DataFrame:
-    """Records of archives (RECORD_SCHEMA), one frame each.
+    """Records of archives (RECORD_SCHEMA), one frame each, of any type and by any writer; page_id and refers_to are null where
+    the ids are not those of record_bytes.
 
     on_error "raise" ends the query at the first bad record; "report" gives it a row with what is wrong in `error`
     and goes on with the next frame, if the frame's end can be told. Null or empty content has no records.
