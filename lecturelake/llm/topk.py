@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a block of candidates, and queries in a block of queries: what one task holds at a time.
-CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Vectors in a block of candidates, and queries in a block of queries: what one task holds at a time. Candidates are copied
+#: once for each block of queries and queries once for each block of candidates, so blocks are as large as memory allows.
+CANDIDATE_BLOCK, QUERY_BLOCK = 32_768, 65_536
 
 
 def quantized(vectors: DataFrame, key: str, vector: str, scale: float = 1024.0) -> DataFrame:
@@ -60,12 +61,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
 
     A query's candidates are all usable rows with another key (so rows that repeat the query's key are its own); ties
     go to the smaller key, then to any of the rows that repeat it. Queries that repeat a key are answered once, for
-    one of the vectors under that key. Every block of queries meets every block of candidates: a query row scatters
+    the least of the vectors under that key. Every block of queries meets every block of candidates: a query row scatters
     its weight times the postings of each term into one array of scores for the block, the block's k best are
     selected by partition, and the blocks' lists are merged by rank. Columns other than key and vector are ignored.
     """
     base = quantized(vectors, key, vector, scale)
-    asked = quantized(vectors.filter(is_query), key, vector, scale).dropDuplicates(["id"])
+    asked = quantized(vectors.filter(is_query), key, vector, scale).groupBy("id").agg(F.min(F.struct("terms", "weights")).alias("v")).select("id", "v.*")
     candidates, asked = in_blocks(base, CANDIDATE_BLOCK, "cb"), in_blocks(asked, QUERY_BLOCK, "qb")
     c_blocks = candidates.agg(F.max("cb")).scalar()
     q_blocks = asked.agg(F.max("qb")).scalar()
