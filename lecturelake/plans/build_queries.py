@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import build, contain, graph, greedy
+from ..operators import build, contain, duplicates, graph, greedy
 from ..operators.windows import latest
 from .tables import Tables, query
 
@@ -177,6 +177,60 @@ def _(t: Tables):
     return met.select("a.g", F.col("a.i").alias("a"), F.col("b.i").alias("b"), ((gap("q") <= 1) & (gap("d") < 0.005)).alias("sure"))
 
 
+# A lecture is a label's vectors: each is a scene's frame, and once more as an annotated frame of another scene, changed in a few places.
+def _scene_frames(t: Tables):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    base = t.embeddings.select(F.col("label").alias("g"), (F.col("vec_id") * 2).alias("id"), F.col("vec_id").alias("scene"), F.lit(True).alias("base"), v.alias("v"))
+    kind = F.col("vec_id") % 4
+    changed = F.transform(v, lambda x, i: F.when((kind == 1) & ((i < 16) | (i >= 48)) & (F.abs(x) < 0.05), -x).when((kind == 3) & (F.abs(x) < 0.012), -x).when((i + F.col("vec_id")) % 23 < F.col("vec_id") % 3, x + 0.06).otherwise(x))
+    other = t.embeddings.select(F.col("label").alias("g"), (F.col("vec_id") * 2 + 1).alias("id"), (-1 - F.col("vec_id")).alias("scene"), (F.col("vec_id") % 2 == 0).alias("base"), changed.alias("v"))
+    x = base.union(other)
+    signs = lambda a: F.array(F.aggregate(a, F.lit(0).cast("long"), lambda h, c: F.shiftleft(h, 1).bitwiseOR(F.when(c > 0, 1).otherwise(0).cast("long"))))
+    return x.withColumns({"phash": signs(F.col("v")), "content_phash": signs(F.slice("v", 17, 32))})
+
+
+def _frame_metrics(a, b):
+    """Stand-ins for an image's metrics: signs and slopes as hashes, the middle of the vector as its content."""
+    out = {}
+    for name, x, y in (("", a.v, b.v), ("content_", F.slice(a.v, 17, 32), F.slice(b.v, 17, 32))):
+        n = F.size(x)
+        total = lambda f, x=x, y=y: F.aggregate(F.zip_with(x, y, f), F.lit(0.0), lambda s, d: s + d)
+        slope = lambda z: F.zip_with(F.slice(z, 2, F.size(z) - 1), F.slice(z, 1, F.size(z) - 1), lambda p, q: p - q)
+        flips = lambda p, q: F.aggregate(F.zip_with(p, q, lambda c, d: ((c > 0) != (d > 0)).cast("int")), F.lit(0), lambda s, d: s + d)
+        one = lambda test: F.when(test, 1.0).otherwise(0.0)
+        edges, both = total(lambda p, q: one(F.abs(p) > 0.125) + one(F.abs(q) > 0.125)), total(lambda p, q: one((F.abs(p) > 0.125) & (F.abs(q) > 0.125)))
+        out |= {
+            f"{name}phash": flips(x, y), f"{name}dhash": flips(slope(x), slope(y)), f"{name}changed": total(lambda p, q: one(F.abs(p - q) > 0.05)) / n,
+            f"{name}edge": F.coalesce(2 * both / F.nullif(edges, F.lit(0.0)), F.lit(1.0)), f"{name}mse": total(lambda p, q: (p - q) * (p - q)) / n,
+            f"{name}hist": total(lambda p, q: p * q) / F.sqrt(total(lambda p, q: p * p) * total(lambda p, q: q * q)),
+        }
+    return out | {"agenda_like": F.get(a.v, F.lit(0)) > 0.1, "agenda_mismatch": F.abs(F.get(a.v, F.lit(1)) - F.get(b.v, F.lit(1))) * 5, "agenda_xor": F.lit(0.0)}
+
+
+def _frame_sql():
+    parts = []
+    for name, x, y in (("", "a.v", "b.v"), ("content_", "a.v[17:48]", "b.v[17:48]")):
+        z = f"list_zip({x}, {y})"
+        total = lambda f, z=z: f"list_sum(list_transform({z}, lambda p: {f}))"
+        slope = lambda v: f"list_transform(range(2, len({v}) + 1), lambda i: ({v})[i] - ({v})[i - 1])"
+        parts += [f"{total('((p[1] > 0) <> (p[2] > 0))::INT')} AS {name}phash", f"list_sum(list_transform(list_zip({slope(x)}, {slope(y)}), lambda p: ((p[1] > 0) <> (p[2] > 0))::INT)) AS {name}dhash",
+                  f"{total('(abs(p[1] - p[2]) > 0.05::DOUBLE)::INT')}::DOUBLE / len({x}) AS {name}changed", f"{total('(p[1] - p[2]) * (p[1] - p[2])')} / len({x}) AS {name}mse",
+                  f"coalesce(2.0::DOUBLE * {total('(abs(p[1]) > 0.125 AND abs(p[2]) > 0.125)::INT')} / nullif({total('(abs(p[1]) > 0.125)::INT + (abs(p[2]) > 0.125)::INT')}, 0), 1) AS {name}edge",
+                  f"{total('p[1] * p[2]')} / sqrt({total('p[1] * p[1]')} * {total('p[2] * p[2]')}) AS {name}hist"]
+    return f"""WITH e AS (SELECT label AS g, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+f AS (SELECT g, vec_id * 2 AS id, vec_id AS scene, true AS base, v FROM e UNION ALL SELECT g, vec_id * 2 + 1, -1 - vec_id, vec_id % 2 = 0, list_transform(range(0, len(v)), lambda i: CASE WHEN vec_id % 4 = 1 AND (i < 16 OR i >= 48) AND abs(v[i + 1]) < 0.05::DOUBLE THEN -v[i + 1] WHEN vec_id % 4 = 3 AND abs(v[i + 1]) < 0.012::DOUBLE THEN -v[i + 1] WHEN (i + vec_id) % 23 < vec_id % 3 THEN v[i + 1] + 0.06::DOUBLE ELSE v[i + 1] END) FROM e),
+m AS (SELECT a.g, a.id AS a, b.id AS b, a.base AND b.base AS bases, a.v[1] > 0.1 AND abs(a.v[2] - b.v[2]) * 5 > 0.18 AS vetoed, {', '.join(parts)} FROM f a JOIN f b ON a.g = b.g AND a.id < b.id),
+r AS (SELECT *, CASE WHEN phash <= 4 AND dhash <= 6 AND content_changed <= 0.14 AND content_mse <= 0.03 AND content_edge >= 0.72 THEN 'strict' WHEN phash <= 7 AND dhash <= 8 AND changed <= 0.055 AND mse <= 0.018 AND edge >= 0.86 AND hist >= 0.985 THEN 'near-identical'
+WHEN content_phash <= 4 AND content_dhash <= 6 AND content_changed <= 0.1 AND content_mse <= 0.025 AND content_edge >= 0.9 AND content_hist >= 0.97 AND hist >= 0.95 THEN 'content' END AS reason FROM m)
+SELECT g, a, b, reason, bases AND reason <> 'content' AND phash <= 5 AND content_phash <= 5 AND changed <= 0.065 AND content_changed <= 0.08 AND mse <= 0.007 AND content_mse <= 0.009 AND edge >= 0.87 AND content_edge >= 0.87 AND hist >= 0.995 AND content_hist >= 0.995 AS sure FROM r WHERE reason IS NOT NULL AND NOT vetoed"""
+
+
+@query("graph_duplicate_edges_metrics", _frame_sql())
+def _(t: Tables):
+    """All twelve metrics, three profiles, the veto for agendas and the stricter profile; pairs meet by bands of their hashes."""
+    return duplicates.duplicate_edges(_scene_frames(t), "g", _frame_metrics, duplicates.Profiles(bits=64))
+
+
 @query("graph_view_merge", """WITH s AS (SELECT 'nation/' || n_nationkey AS src, 'IN' AS label, 'region/' || n_regionkey AS dst FROM nation), e AS (SELECT 'customer/' || c_custkey, 'IN', 'nation/' || c_nationkey FROM customer), m AS (SELECT 'segment/' || c_mktsegment, 'HAS', 'customer/' || c_custkey FROM customer)
 SELECT DISTINCT * FROM (SELECT * FROM s UNION ALL SELECT * FROM e UNION ALL SELECT * FROM m UNION ALL SELECT * FROM e) t(src, label, dst)""")
 def _(t: Tables):
