@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import recommend
 from .tables import Tables, query
 
 _NODES = """nodes AS (
@@ -66,12 +67,18 @@ def _(t: Tables):
     return x.select(F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("dst"))
 
 
-@query("graph_contrast_ratio", "SELECT l_suppkey, round(count(*) FILTER (l_returnflag = 'R') / count(*), 6) AS ratio FROM lineitem GROUP BY 1")
+@query("graph_contrast_ratio", "SELECT l_orderkey, round(count(*) FILTER (l_returnflag = 'R') / count(*), 4) AS ratio FROM lineitem GROUP BY 1")
 def _(t: Tables):
-    return t.lineitem.groupBy("l_suppkey").agg(F.round(F.count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1)), 6).alias("ratio"))
+    """Of a lecture's relations, the share of those that set two concepts against each other."""
+    kind = F.when(F.col("l_returnflag") == "R", recommend.CONTRAST_TYPES[0]).otherwise("PART_OF")
+    x = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_partkey").alias("from"), F.col("l_suppkey").alias("to"), kind.alias("type"))).alias("relations"))
+    return x.select("l_orderkey", F.round(recommend.contrast_ratio(), 4).alias("ratio"))
 
 
-@query("graph_fragmentation", "SELECT c_nationkey, round(avg(CASE WHEN c_acctbal < 0 THEN 1.0 ELSE 0 END) * (1 - avg(CASE WHEN c_acctbal > 5000 THEN 1.0 ELSE 0 END)), 6) AS score FROM customer GROUP BY 1")
+@query("graph_fragmentation", """WITH r AS (SELECT l_orderkey, count(DISTINCT CASE WHEN l_quantity >= 25 THEN l_partkey END) AS core, count(DISTINCT CASE WHEN l_quantity < 25 THEN l_partkey END) AS introduced FROM lineitem GROUP BY 1)
+SELECT l_orderkey, round(introduced / (core + introduced) * (1 - core / (core + introduced)), 6) AS score FROM r""")
 def _(t: Tables):
-    share = lambda c: F.avg(c.cast("double"))
-    return t.customer.groupBy("c_nationkey").agg(F.round(share(F.col("c_acctbal") < 0) * (1 - share(F.col("c_acctbal") > 5000)), 6).alias("score"))
+    """How much of a lecture's concepts is introduced only, from its two lists of roles."""
+    role = lambda test: F.collect_set(F.when(test, F.col("l_partkey")))
+    x = t.lineitem.groupBy("l_orderkey").agg(role(F.col("l_quantity") >= 25).alias("core"), role(F.col("l_quantity") < 25).alias("introduced"))
+    return x.select("l_orderkey", F.round(recommend.fragmentation(), 6).alias("score"))

@@ -17,7 +17,7 @@ def _events(t: Tables):
 
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def _(t: Tables):
-    x = drained(tumbling(_events(t), "at", "6 hours"))
+    x = drained_rows(tumbling(_arriving(t).select("user_id", "event_type", "value", "at"), "at", "6 hours")).filter("event_type IS NOT NULL")
     return x.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
@@ -27,7 +27,7 @@ s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS
 
 @query("stream_session_gap", _SESSIONS.format("6 hours") + " SELECT user_id, start, stop, n FROM g")
 def _(t: Tables):
-    x = drained(sessions(_events(t), "at", "user_id", "6 hours"))
+    x = drained_rows(sessions(_arriving(t).select("user_id", "at"), "at", "user_id", "6 hours")).filter("user_id IS NOT NULL")
     return x.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
 
 

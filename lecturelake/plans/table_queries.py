@@ -9,15 +9,23 @@ from ..operators.windows import latest
 from .tables import Tables, query
 
 
-@query("agg_grouping_sets_usage", """
-SELECT CASE WHEN grouping(l_returnflag) = 0 THEN l_returnflag END AS stage, CASE WHEN grouping(l_linestatus) = 0 THEN l_linestatus END AS provider, CASE WHEN grouping(l_linenumber) = 0 THEN l_linenumber END AS model,
-       count(*) AS calls, round(sum(l_quantity), 2) AS tokens, round(sum(l_extendedprice * (1 - l_discount)), 2) AS cost
+#: Thirteen measures of a call, a line standing for one: name, SQL, and how many digits count.
+_MEASURES = [
+    ("calls", "count(*)", None), ("failed", "count(CASE WHEN l_returnflag = 'R' THEN 1 END)", None), ("batched", "count(CASE WHEN l_linenumber > 1 THEN 1 END)", None), ("models", "count(DISTINCT l_suppkey)", None),
+    ("tokens", "sum(l_quantity)", 2), ("cached", "sum(l_quantity * l_discount)", 2), ("thinking", "sum(l_quantity * l_tax)", 2), ("answer", "sum(l_quantity * (1 - l_tax))", 2), ("largest", "max(l_quantity)", 2),
+    ("cost", "sum(l_extendedprice * (1 - l_discount))", 2), ("cost_cached", "sum(l_extendedprice * l_discount)", 2), ("cost_taxed", "sum(l_extendedprice * (1 - l_discount) * (1 + l_tax))", 2), ("dearest", "max(l_extendedprice)", 2),
+]
+_measured = [f"{sql if digits is None else f'round({sql}, {digits})'} AS {name}" for name, sql, digits in _MEASURES]
+
+
+@query("agg_grouping_sets_usage", f"""
+SELECT CASE WHEN grouping(l_returnflag) = 0 THEN l_returnflag END AS stage, CASE WHEN grouping(l_linestatus) = 0 THEN l_linestatus END AS provider, CASE WHEN grouping(l_linenumber) = 0 THEN l_linenumber END AS model, {', '.join(_measured)}
 FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus, l_linenumber), ())""")
 def usage(t: Tables):
     x = t.lineitem
     sets = [[x.l_returnflag], [x.l_linestatus, x.l_linenumber], []]
-    out = x.groupingSets(sets, x.l_returnflag, x.l_linestatus, x.l_linenumber).agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("l_quantity"), 2).alias("tokens"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("cost"))
-    return out.toDF("stage", "provider", "model", "calls", "tokens", "cost")
+    out = x.groupingSets(sets, x.l_returnflag, x.l_linestatus, x.l_linenumber).agg(*map(F.expr, _measured))
+    return out.toDF("stage", "provider", "model", *[m[0] for m in _MEASURES])
 
 
 @query("agg_count_by", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2")
@@ -46,10 +54,14 @@ def _(t: Tables):
     return m.select("source", (-F.col("m.d")).alias("doc_id"))
 
 
-@query("agg_argmax_tuple", "SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_retailprice DESC, length(p_name) DESC, p_partkey) = 1")
+@query("agg_argmax_tuple", """WITH u AS (SELECT l_partkey, count(*) + count(DISTINCT l_suppkey) AS used FROM lineitem GROUP BY 1)
+SELECT p_brand, p_partkey FROM part LEFT JOIN u ON l_partkey = p_partkey QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY contains(p_name, lower(p_type)) DESC, regexp_matches(p_name, '[가-힣]') DESC, NOT contains(p_name, '(') DESC, coalesce(used, 0) DESC, length(p_name) DESC, p_partkey) = 1""")
 def _(t: Tables):
-    m = t.part.groupBy("p_brand").agg(F.max(F.struct("p_size", "p_retailprice", F.length("p_name").alias("n"), (-F.col("p_partkey")).alias("k"))).alias("m"))
-    return m.select("p_brand", (-F.col("m.k")).alias("p_partkey"))
+    """The best entity of a group: its key matches, it is in Hangul, it has no alias, frequency and degree, length of the description."""
+    used = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg((F.count(F.lit(1)) + F.count_distinct("l_suppkey")).alias("used"))
+    x = t.part.join(used, "p_partkey", "left")
+    best = F.struct(F.contains("p_name", F.lower("p_type")).alias("key"), F.col("p_name").rlike("[가-힣]").alias("hangul"), (~F.contains("p_name", F.lit("("))).alias("plain"), F.coalesce("used", F.lit(0)).alias("used"), F.length("p_name").alias("n"), (-F.col("p_partkey")).alias("k"))
+    return x.groupBy("p_brand").agg(F.max(best).alias("m")).select("p_brand", (-F.col("m.k")).alias("p_partkey"))
 
 
 @query("agg_mode_weighted", "WITH v AS (SELECT c_nationkey, c_mktsegment, count(*) AS w FROM customer GROUP BY 1, 2) SELECT c_nationkey, c_mktsegment AS title, w AS votes FROM v QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY w DESC, c_mktsegment) = 1")
@@ -79,20 +91,34 @@ def _(t: Tables):
     return t.lineitem.groupBy("l_partkey").agg(F.round(F.count_if(F.col("l_discount") > 0.05) / F.greatest(F.count(F.lit(1)), F.lit(3.0)), 6).alias("ratio"))
 
 
-@query("agg_edge_boost", "SELECT l_orderkey, l_linenumber, round(l_quantity * (1 + 0.7 * greatest(l_discount, l_tax) + 0.3 * least(l_discount, l_tax)), 6) AS weight FROM lineitem")
+@query("agg_edge_boost", """WITH e AS (SELECT l_partkey, l_suppkey, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2), p AS (SELECT l_partkey, max(l_discount) AS boost FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), s AS (SELECT l_suppkey, max(l_tax) AS boost FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
+SELECT l_partkey, l_suppkey, round(w * (1 + 0.7 * greatest(coalesce(p.boost, 0), coalesce(s.boost, 0)) + 0.3 * least(coalesce(p.boost, 0), coalesce(s.boost, 0))), 6) AS weight FROM e LEFT JOIN p USING (l_partkey) LEFT JOIN s USING (l_suppkey)""")
 def _(t: Tables):
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") * (1 + 0.7 * F.greatest("l_discount", "l_tax") + 0.3 * F.least("l_discount", "l_tax")), 6).alias("weight"))
+    """An edge's weight raised by the boosts of its two ends, where they have any."""
+    e = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("w"))
+    p = t.lineitem.filter("l_returnflag = 'A'").groupBy("l_partkey").agg(F.max("l_discount").alias("a"))
+    s = t.lineitem.filter("l_linestatus = 'F'").groupBy("l_suppkey").agg(F.max("l_tax").alias("b"))
+    met = e.join(p, "l_partkey", "left").join(s, "l_suppkey", "left").withColumns({"a": F.coalesce("a", F.lit(0.0)), "b": F.coalesce("b", F.lit(0.0))})
+    return met.select("l_partkey", "l_suppkey", F.round(F.col("w") * (1 + 0.7 * F.greatest("a", "b") + 0.3 * F.least("a", "b")), 6).alias("weight"))
+
+
+#: Criteria: best from and to, fair from and to. Fixed values of the query.
+_CRITERIA = [("size", 10.0, 30.0, 5.0, 40.0), ("letters", 10.0, 25.0, 0.0, 40.0), ("price", 905.0, 1200.0, 900.0, 1500.0), ("lines", 20.0, 40.0, 10.0, 60.0)]
 
 
-@query("agg_quality_score", """
-WITH s AS (SELECT p_partkey, (CASE WHEN p_size BETWEEN 10 AND 30 THEN 100 WHEN p_size BETWEEN 5 AND 40 THEN 70 ELSE 40 END + CASE WHEN length(p_name) BETWEEN 10 AND 25 THEN 100 WHEN length(p_name) <= 40 THEN 70 ELSE 40 END) / 2.0 AS score FROM part)
+@query("agg_quality_score", f"""WITH c(metric, lo, hi, least, most) AS (VALUES {', '.join(map(str, _CRITERIA))}), l AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1),
+m AS (SELECT p_partkey, unnest(['size', 'letters', 'price', 'lines']) AS metric, unnest([p_size::DOUBLE, length(p_name)::DOUBLE, p_retailprice, n::DOUBLE]) AS v FROM part LEFT JOIN l ON l_partkey = p_partkey),
+s AS (SELECT p_partkey, avg(CASE WHEN v BETWEEN lo AND hi THEN 100 WHEN v BETWEEN least AND most THEN 70 ELSE 40 END) AS score FROM m JOIN c USING (metric) WHERE v IS NOT NULL GROUP BY 1)
 SELECT p_partkey, score, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 60 THEN 'C' ELSE 'D' END AS grade FROM s""")
 def _(t: Tables):
-    n = F.length("p_name")
-    a = F.when(F.col("p_size").between(10, 30), 100).when(F.col("p_size").between(5, 40), 70).otherwise(40)
-    b = F.when(n.between(10, 25), 100).when(n <= 40, 70).otherwise(40)
-    x = t.part.select("p_partkey", ((a + b) / 2).alias("score"))
-    return x.withColumn("grade", F.when(F.col("score") >= 85, "A").when(F.col("score") >= 70, "B").when(F.col("score") >= 60, "C").otherwise("D"))
+    """Metrics unpivoted, met with a table of criteria and averaged; a metric that is missing doesn't count."""
+    lines = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).cast("double").alias("lines"))
+    x = t.part.join(lines, "p_partkey", "left").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.length("p_name").cast("double").alias("letters"), F.col("p_retailprice").alias("price"), "lines")
+    criteria = t.spark.createDataFrame(_CRITERIA, "metric string, lo double, hi double, least double, most double")
+    met = x.unpivot("p_partkey", ["size", "letters", "price", "lines"], "metric", "v").filter("v IS NOT NULL").join(F.broadcast(criteria), "metric")
+    points = F.when(F.col("v").between(F.col("lo"), F.col("hi")), 100).when(F.col("v").between(F.col("least"), F.col("most")), 70).otherwise(40)
+    out = met.groupBy("p_partkey").agg(F.avg(points).alias("score"))
+    return out.withColumn("grade", F.when(F.col("score") >= 85, "A").when(F.col("score") >= 70, "B").when(F.col("score") >= 60, "C").otherwise("D"))
 
 
 @query("agg_dedupe_best", "SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) = 1")

@@ -174,9 +174,9 @@ def _(t: Tables):
 
 @query("join_group_annotation_expand", "WITH g AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_id, n FROM events JOIN g USING (user_id, event_type)")
 def _(t: Tables):
-    """A group's result copied to each of its segments, which it lists."""
-    g = t.events.groupBy("user_id", "event_type").agg(F.collect_list("event_id").alias("members"), F.count(F.lit(1)).alias("n"))
-    return t.events.select("event_id").join(g.select(F.explode("members").alias("event_id"), "n"), "event_id", "left")
+    """A group's result copied to each of its segments, by the group's key."""
+    g = t.events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return t.events.select("event_id", "user_id", "event_type").join(g, ["user_id", "event_type"]).select("event_id", "n")
 
 
 @query("join_by_start", "SELECT a.event_id AS a, b.event_id AS b FROM events a LEFT JOIN events b ON b.value = a.value AND b.user_id = a.user_id AND b.event_type = 'error' WHERE a.event_type = 'click'")
