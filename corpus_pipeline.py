@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lecturelake.llm import langid, ngram_join, packing, pii, suffix
-from lecturelake.llm.common import crc_mod, read, short_batches, stored
+from lecturelake.llm.common import crc_mod, discard, read, short_batches, stored
 from lecturelake.llm.queries import SURROGATE_KEY, TOKENIZER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -18,7 +18,8 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language can't be told; where lang is null, it becomes the language found."""
+    """Drop documents whose language can't be told; where lang is null, it becomes the language found. Columns other than
+    those of documents go here, as in every stage."""
     short_batches(spark)
     found = langid.identify(docs, langid.learn(docs, crc_mod(F.col("doc_id"), 4) != 2))
     return found.filter(~F.col("rejected")).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -54,8 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows."""
-    docs = read(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's table goes once the next one's is written."""
+    docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(*before)
+        before = [docs]
     return docs
