@@ -16,6 +16,9 @@ PARAGRAPH, PAUSE, SENTENCE, LONGEST = 1.2, 0.6, 0.4, 30.0
 #: Seconds of silence that cut, of a chunk at most and at least, and of padding.
 SILENCE, CHUNK_MAX, CHUNK_MIN, PAD = 1.5, 180.0, 30.0, 0.1
 SENTENCE_END = r"[.!?。！？]\s*$"
+# A remark's most characters, and what remarks on the running of a class hold.
+REMARK_CHARS = 90
+REMARKS = r"감사합니다|수고하셨|고생하셨|출석|쉬는\s*시간|잠깐\s*쉬|휴식|녹음|마이크|소리\s*들리|다음\s*영상|구독|좋아요|질문\s*있|마치겠습니다|끝내겠습니다|다음으로\s*(넘어|가|보)|이제\s*다음|넘어가겠습니다"
 
 
 def _stretched(df: DataFrame, start: str, width: float) -> DataFrame:
@@ -112,6 +115,28 @@ def merge_groups(groups: DataFrame, key: str, joins: DataFrame, width: float = 3
     return m.select(key, (F.col("grp") - 1).alias("grp"), F.get("s", F.lit(0)).start.alias("start"), F.element_at("s", -1).end.alias("end"), text.alias("text"), total.alias("n"))
 
 
+def contexts(segments: DataFrame, key: str, tie: str, breaks: DataFrame, remarks: str = REMARKS, most: int = REMARK_CHARS, width: float = 3600.0) -> DataFrame:
+    """key, context (from 0), start, end, text, n: segments (key, start, end, text, tie) between breaks.
+
+    A context ends behind a segment that breaks (key, tie) names, and on both sides of a remark: a text of `most` characters
+    at most, runs of white space taken as one, in which the pattern remarks is found. Segments follow each other by
+    start, then tie (unique in a key); those without a start are left out, breaks that name none do nothing. The text has
+    the segments' trimmed texts joined by blanks, empty ones left out; the end is the last segment's.
+    """
+    told = breaks.select(F.col(key).alias("bk"), F.col(tie).alias("bt")).distinct().withColumn("named", F.lit(True))
+    x = segments.filter(F.col("start").isNotNull()).withColumn("text", F.trim(F.coalesce("text", F.lit(""))))
+    x = x.join(told, x[key].eqNullSafe(told.bk) & (x[tie] == told.bt), "left").drop("bk", "bt")
+    tight = F.trim(F.regexp_replace("text", r"\s+", " "))
+    x = x.withColumn("named", F.coalesce("named", F.lit(False))).withColumn("remark", (F.length(tight) <= most) & tight.rlike(remarks))
+    x = before(x, key, ["start", tie], "start", ["named", "remark"], width)
+    opens = F.col("before").isNotNull() & (F.col("before.named") | F.col("before.remark") | F.col("remark"))
+    x = running_count(x, key, ["start", tie], "start", opens, width, "context")
+    own = F.array_sort(F.collect_list(F.struct("start", tie, "text", "end")))
+    c = x.groupBy(key, "context").agg(own.alias("s"))
+    text = F.array_join(F.filter(F.col("s.text"), lambda t: t != ""), " ")
+    return c.select(key, "context", F.get("s", F.lit(0)).start.alias("start"), F.element_at("s", -1).end.alias("end"), text.alias("text"), F.size("s").cast("long").alias("n"))
+
+
 # --- chunks ---------------------------------------------------------------------------------------------------------
 
 

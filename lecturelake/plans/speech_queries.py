@@ -38,6 +38,19 @@ def _(t: Tables):
     return speech.merge_groups(g, "conv_id", g.filter(F.length("text") < 150).select("conv_id", "grp")).withColumn("text", F.md5("text"))
 
 
+_REMARKS = "tion|mente|und"
+
+
+@query("win_break_points_contexts", "WITH " + _SEGMENTS + f""", r AS (SELECT *, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) <= 90 AND regexp_matches(text, '{_REMARKS}') AS remark, turn % 4 = 3 AS named FROM t),
+o AS (SELECT *, coalesce(lag(named OR remark) OVER w OR remark, false) AND i > 1 AS opens FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY i)), c AS (SELECT *, sum(opens::INT) OVER (PARTITION BY conv_id ORDER BY i) AS context FROM o)
+SELECT conv_id, CAST(context AS BIGINT) AS context, min(start) AS start, max_by("end", i) AS "end", md5(coalesce(string_agg(nullif(text, ''), ' ' ORDER BY i), '')) AS text, count(*) AS n FROM c GROUP BY 1, 2""")
+def _(t: Tables):
+    """Contexts between the breaks that a model has named, short remarks on their own."""
+    x = _segments(t)
+    named = x.filter("turn % 4 = 3").select("conv_id", "turn")
+    return speech.contexts(x, "conv_id", "turn", named, _REMARKS).withColumn("text", F.md5("text"))
+
+
 @query("win_chunk_pack_speech")
 def _(t: Tables):
     """A user's month as one recording, silent for as long as an event's value says; packing is sequential, so a plain loop tests it."""

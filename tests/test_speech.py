@@ -168,3 +168,32 @@ def test_query_chunks_equal_a_plain_loop(spark):
         users.setdefault(r.user_id, []).append((r.at, r.at + r.value / 10))
     got = sorted((r.user_id, r.pieces) for r in registry.QUERIES["win_chunk_pack_speech"](spark, SF).collect())
     assert got == sorted((u, c[3]) for u, x in users.items() for c in plain_chunks(3600.0, x))
+
+
+def test_contexts_equal_a_plain_loop(spark):
+    rng = random.Random(8)
+    rows, named, want = [], [], []
+    for k in ("a", "b", None):
+        own = sorted((round(rng.uniform(0, 50), 1), i, rng.choice(["x", " ", None, "thank you", "thank you " * 20, "y  z"])) for i in range(40))
+        marks = set(rng.sample(range(40), 6))
+        groups = []
+        short = lambda t: len(" ".join((t or "").split())) <= 90 and "thank" in (t or "")
+        for j, (at, i, text) in enumerate(own):
+            if not j or own[j - 1][1] in marks or short(own[j - 1][2]) or short(text):
+                groups.append([])
+            groups[-1].append((at, i, (text or "").strip()))
+        rows += [(k, at, i, at + 1, text) for at, i, text in own]
+        named += [(k, i) for i in marks]
+        want += [(k or "", n, g[0][0], g[-1][0] + 1, " ".join(t for _, _, t in g if t), len(g)) for n, g in enumerate(groups)]
+    df = spark.createDataFrame([*rows, ("a", None, 99, 1.0, "thank you")], "k string, start double, seg int, end double, text string")
+    breaks = spark.createDataFrame([*named, *named, ("a", 1000)], "k string, seg int")
+    for width in (5.0, 3600.0):
+        got = speech.contexts(df, "k", "seg", breaks, "thank", width=width).collect()
+        assert sorted((r.k or "", *tuple(r)[1:]) for r in got) == sorted(want)
+    assert speech.contexts(df.limit(0), "k", "seg", breaks, "thank").count() == 0
+
+
+def test_remarks_are_told_by_their_words(spark):
+    df = spark.createDataFrame([("a", 0.0, 0, 1.0, "본문"), ("a", 1.0, 1, 2.0, "질문 있나요"), ("a", 2.0, 2, 3.0, "본문 둘"), ("a", 3.0, 3, 4.0, "설명 " * 40 + "감사합니다")], "k string, start double, seg int, end double, text string")
+    none = spark.createDataFrame([], "k string, seg int")
+    assert sorted((r.context, r.n) for r in speech.contexts(df, "k", "seg", none).collect()) == [(0, 1), (1, 1), (2, 2)]
