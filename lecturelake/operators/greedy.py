@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import discard, stored
+from .folds import fold
 from .windows import running_total
 
 #: Items of a group that a task decides in one go, and places that a stretch of a group covers.
@@ -53,7 +53,7 @@ def greedy_cliques(items: DataFrame, links: DataFrame, group: str, block: int =
 
     Groups advance together, `block` items of each a round. What a block's items are linked to among the items before it is
     a join and a count for each of their clusters; one task then decides a group's block from the clusters that are linked
-    in full and the links inside the block, so it holds no more than these. Self-links and unknown items do nothing.
+    in full and the links inside the block, row by row, so it holds no more than these. Self-links and unknown items do nothing.
     """
     kind, item_kind = items.schema[group].dataType.simpleString(), items.schema["item"].dataType.simpleString()
     x = items.select(F.col(group).alias("g"), "item", F.col("place").cast("long").alias("p"), F.lit(1).alias("one"))
@@ -61,20 +61,17 @@ def greedy_cliques(items: DataFrame, links: DataFrame, group: str, block: int =
     x = stored(x.withColumn("b", F.floor(F.col("i") / block)), "greedy-items")
     both = stored(links.filter("a <> b").select(F.col(group).alias("g"), "a", "b").union(links.filter("a <> b").select(group, "b", "a")).distinct(), "greedy-links")
 
-    def decide(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        first = int(rows["n"].iloc[0])
-        joined: dict[int, list] = {}
-        founded, out = 0, []
-        for item, open_, inner in rows.sort_values("i")[["item", "open", "inner"]].itertuples(index=False, name=None):
-            linked = set(inner)
-            for c in [*(int(c) for c in open_), *range(first, first + founded)]:
-                if linked.issuperset(joined.get(c, ())):
-                    break
-            else:
-                c, founded = first + founded, founded + 1
-            joined.setdefault(c, []).append(item)
-            out.append((key[0], item, c))
-        return pd.DataFrame(out, columns=["g", "item", "cluster"])
+    def step(state, row):
+        _, item, open_, inner, first = row
+        joined, founded = state or ({}, 0)
+        linked = set(inner)
+        for c in [*(int(c) for c in open_), *range(int(first), int(first) + founded)]:
+            if linked.issuperset(joined.get(c, ())):
+                break
+        else:
+            c, founded = int(first) + founded, founded + 1
+        joined.setdefault(c, []).append(item)
+        return (joined, founded), [(item, c)]
 
     done: list[DataFrame] = []
     last = x.agg(F.max("b")).first()[0]
@@ -92,7 +89,7 @@ def greedy_cliques(items: DataFrame, links: DataFrame, group: str, block: int =
             now = now.join(full, ["g", "item"], "left").join(number, "g", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "open": F.coalesce("open", F.array().cast("array<int>"))})
         else:
             now = now.withColumns({"n": F.lit(0), "open": F.array().cast("array<int>")})
-        done.append(stored(now.groupBy("g").applyInPandas(decide, f"g {kind}, item {item_kind}, cluster int"), "greedy-decided"))
+        done.append(stored(fold(now, "g", ["i"], ["i", "item", "open", "inner", "n"], step, lambda state: [], f"g {kind}, item {item_kind}, cluster int"), "greedy-decided"))
         if len(done) == 16:
             done = [stored(reduce(DataFrame.union, done), "greedy-decided")]
     discard(both)
