@@ -1,21 +1,26 @@
 """Frames that show the same: pairs of a group within profiles of metrics, without comparing all pairs.
 
-Every profile bounds the Hamming distance of a hash. Two hashes of a distance of at most d agree in at least two of d + 2
-bands of their bits, so frames meet in cells of two bands' values, each pair in the first cell that it shares, and the other
-metrics are only computed for what meets.
+Every profile bounds the Hamming distance of a hash. Two hashes of a distance of at most d agree in at least k of d + k
+bands of their bits, so frames meet in cells of k bands' values, each pair in the first cell that it shares, and the other
+metrics are only computed for what meets. Bits that are the same in all frames tell nothing apart and are in no band.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METRICS = ("phash", "dhash", "changed", "edge", "mse", "hist", "content_phash", "content_dhash", "content_changed", "content_edge", "content_mse", "content_hist")
 
+#: Cells that a frame is put in, unless agreement in two bands alone takes more.
+MOST_CELLS = 300
+
 
 @dataclass(frozen=True)
 class Profiles:
@@ -61,19 +66,44 @@ def bands(hash_: Column, words: int, most: int) -> list[Column]:
     return [part(w, lo, hi) if hi - lo < 64 else F.get(hash_, F.lit(w)) for w in range(words) for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
 
+def dealt(varying: list[int], n: int) -> list[list[int]]:
+    """The places of a hash's varying bits, dealt out to n bands; where bits are few, some bands are empty and always agree."""
+    return [varying[len(varying) * i // n : len(varying) * (i + 1) // n] for i in range(n)]
+
+
+def agreeing(frames: int, a_group: float, bits: int, most: int) -> int:
+    """In how many bands frames are to agree to meet, from 2 on: the number with the fewest cells and chance meetings together."""
+    cost = lambda k: comb(most + k, k) * frames * (1 + a_group / 2 ** (1 + bits * k / (most + k)))
+    return min((k for k in range(2, 6) if k == 2 or comb(most + k, k) <= MOST_CELLS), key=cost)
+
+
 def near_hashes(frames: DataFrame, group: str, hash_: str, words: int, most: int) -> DataFrame:
     """g, a, b: pairs of frames (group, id, hash_) of one group, a < b, whose hashes differ in `most` bits or fewer, once each."""
-    n = len(bands(F.col(hash_), words, most))
-    if n < most + 2:
-        raise ValueError("the bound is too near to the hash's size")
-    x = frames.select(F.col(group).alias("g"), "id", F.col(hash_).alias("h"), F.array(*bands(F.col(hash_), words, most)).alias("v"))
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.get("v", F.lit(i)).alias("x"), F.get("v", F.lit(j)).alias("y")) for i, j in combinations(range(n), 2)])
-    x = x.select("g", "id", "h", "v", F.explode(cells).alias("cell"))
-    a, b = (x.select("g", F.col("id").alias(s), F.col("h").alias(f"h{s}"), F.col("v").alias(f"v{s}"), "cell") for s in "ab")
-    met = a.join(b, ["g", "cell"]).filter("a < b").filter(hamming(F.col("ha"), F.col("hb")) <= most)
-    agree = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get("va", k) == F.get("vb", k))
-    first = (F.get(agree, F.lit(0)) == F.col("cell.i")) & (F.get(agree, F.lit(1)) == F.col("cell.j"))
-    return met.filter(first).select("g", "a", "b")
+    x = frames.select(F.col(group).alias("g"), "id", F.col(hash_).alias("h"))
+    word = lambda w: F.get("h", F.lit(w))
+    told = x.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[f(word(w)).alias(f"{k}{w}") for w in range(words) for k, f in (("some", F.bit_or), ("all", F.bit_and))])
+    told = told.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("each"), *[f(f"{k}{w}").alias(f"{k}{w}") for w in range(words) for k, f in (("some", F.bit_or), ("all", F.bit_and))]).first()
+    varying = [64 * w + i for w in range(words) for i in range(64) if told["n"] and (told[f"some{w}"] & ~told[f"all{w}"]) >> i & 1]
+    k = agreeing(told["n"] or 0, told["each"] or 0.0, len(varying), most)
+    parts = dealt(varying, most + k)
+
+    def masks(places: list[int]) -> list[int]:
+        """Of each word, the bits at these places; as Spark's signed longs."""
+        m = [sum(1 << (p % 64) for p in places if p // 64 == w) for w in range(words)]
+        return [v - (1 << 64) if v >> 63 else v for v in m]
+
+    masked = lambda h, m: F.array(*[F.get(h, F.lit(w)).bitwiseAND(F.lit(v).cast("long")) for w, v in enumerate(m)])
+    cells = [(i, masks(sorted(sum((parts[j] for j in c), [])))) for i, c in enumerate(combinations(range(len(parts)), k))]
+    x = x.select("g", "id", "h", F.inline(F.array(*[F.struct(F.lit(i).alias("cell"), masked("h", m).alias("at")) for i, m in cells])))
+    a, b = (x.select("g", F.col("id").alias(s), F.col("h").alias(f"h{s}"), "cell", "at") for s in "ab")
+    met = a.join(b, ["g", "cell", "at"]).filter("a < b").filter(hamming(F.col("ha"), F.col("hb")) <= most)
+    # the first cell of what agrees is that of the first k bands that do
+    differ = F.zip_with("ha", "hb", lambda p, q: p.bitwiseXOR(q))
+    same = [reduce(lambda p, q: p & q, [F.get("d", F.lit(w)).bitwiseAND(F.lit(v).cast("long")) == 0 for w, v in enumerate(masks(p))]).cast("int") for p in parts]
+    seen = lambda i: reduce(lambda p, q: p + q, same[:i], F.lit(0))
+    first = F.array_compact(F.array(*[F.when((same[i] == 1) & (seen(i) < k), F.lit(i)) for i in range(len(parts))]))
+    own = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in combinations(range(len(parts)), k)]), F.col("cell") + 1)
+    return met.withColumn("d", differ).filter(first == own).select("g", "a", "b")
 
 
 def duplicate_edges(frames: DataFrame, group: str, metrics: Callable[[Column, Column], dict[str, Column]], profiles: Profiles = Profiles()) -> DataFrame:

@@ -56,3 +56,18 @@ def test_edges_equal_all_pairs(spark):
     every = every.withColumn("reason", p.reason(m)).filter("reason is not null").filter(~(m["agenda_like"] & (m["agenda_mismatch"] > 0.18)))
     want = {tuple(r) for r in every.select("g", "a", "b", "reason", (F.col("bases") & F.col("reason").isin("strict", "near-identical") & p.sure(m)).alias("sure")).collect()}
     assert got == want and any(x[4] for x in want) and len({x[3] for x in want}) > 1
+
+
+def test_bits_that_never_differ_are_in_no_band(spark):
+    """Hashes of 32 bits in words of 64: before, half of the bands were zero everywhere, and all pairs of a group met."""
+    from unittest import mock
+
+    rng = random.Random(2)
+    df = spark.createDataFrame([("hot", i, [rng.getrandbits(32)]) for i in range(1500)], "g string, id long, h array<long>")
+    tried = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: (tried.add(1), x)[1], "int").asNondeterministic()
+    with mock.patch.object(duplicates, "hamming", lambda a, b, f=duplicates.hamming: count(f(a, b))):
+        got = {tuple(r)[1:] for r in duplicates.near_hashes(df, "g", "h", 1, 4).collect()}
+    h = [r.h[0] for r in df.orderBy("id").collect()]
+    assert got == {(i, j) for j in range(1500) for i in range(j) if (h[i] ^ h[j]).bit_count() <= 4}
+    assert 0 < tried.value < 0.03 * 1500 * 1499 / 2
