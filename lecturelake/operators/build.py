@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms
+from ..storage import stored
 from .folds import fold
 from .graph import components
 from .text import normalize_term
@@ -66,18 +67,23 @@ def gram_cosine(pairs: DataFrame, texts: DataFrame, n: int = 3) -> DataFrame:
     """pairs (a, b) with cosine of the character n-gram counts of their whole texts (id, text); only the letters and
     digits of alias_key count, and a text shorter than n is one gram. Pairs that share nothing have 0.
 
-    Counts are made once per text that is in a pair, and only the pairs asked for are joined.
+    Pairs are cut to pairs of different texts, whose grams alone are made and joined. The optimizer takes a table of grams for
+    as small as the texts, so the joins are told to merge: nothing is gathered on the driver for its estimate.
     """
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    key = alias_key(F.col("text"))
-    places = F.when(F.length(key) >= n, F.sequence(F.lit(1), F.length(key) - n + 1)).when(F.length(key) > 0, F.array(F.lit(1)))
-    grams = texts.join(asked, "id", "left_semi").select("id", F.explode(F.transform(places, lambda i: F.substring(key, i, F.lit(n)))).alias("g")).groupBy("id", "g").agg(F.count(F.lit(1)).alias("n"))
-    norms = grams.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    side = lambda x: grams.select(F.col("id").alias(x), "g", F.col("n").alias(f"n{x}"))
-    dots = pairs.join(side("a"), "a").join(side("b"), ["b", "g"]).groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
-    norm = lambda x: norms.select(F.col("id").alias(x), F.col("norm").alias(f"m{x}"))
-    out = pairs.join(dots, ["a", "b"], "left").join(norm("a"), "a", "left").join(norm("b"), "b", "left")
-    return out.select(*[c for c in pairs.columns], F.coalesce(F.col("dot") / (F.col("ma") * F.col("mb")), F.lit(0.0)).alias("cosine"))
+    key = texts.select("id", alias_key(F.col("text")).alias("k"))
+    side = lambda x: key.select(F.col("id").alias(x), F.col("k").alias(f"k{x}")).hint("merge")
+    met = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").fillna("", ["ka", "kb"])
+    met = stored(met.select(*pairs.columns, F.least("ka", "kb").alias("x"), F.greatest("ka", "kb").alias("y")), "text-pairs")
+    kinds = met.select("x", "y").filter("x <> '' and y <> ''").distinct()
+    asked = kinds.select(F.col("x").alias("k")).union(kinds.select("y")).distinct()
+    places = F.when(F.length("k") >= n, F.sequence(F.lit(1), F.length("k") - n + 1)).otherwise(F.array(F.lit(1)))
+    grams = asked.select("k", F.explode(F.transform(places, lambda i: F.substring(F.col("k"), i, F.lit(n)))).alias("g")).groupBy("k", "g").agg(F.count(F.lit(1)).alias("n"))
+    norms = grams.groupBy("k").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    of = lambda x: grams.select(F.col("k").alias(x), "g", F.col("n").alias(f"n{x}")).hint("merge")
+    dots = kinds.join(of("x"), "x").join(of("y"), ["y", "g"]).groupBy("x", "y").agg(F.sum(F.col("nx") * F.col("ny")).alias("dot"))
+    norm = lambda x: norms.select(F.col("k").alias(x), F.col("norm").alias(f"m{x}")).hint("merge")
+    cosines = dots.join(norm("x"), "x").join(norm("y"), "y").select("x", "y", (F.col("dot") / (F.col("mx") * F.col("my"))).alias("cosine"))
+    return met.join(cosines, ["x", "y"], "left").select(*pairs.columns, F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
 
 
 def unit_pairs(entities: DataFrame) -> DataFrame:
