@@ -50,19 +50,26 @@ def concept_match(a: Column, b: Column) -> Column:
 
 
 def forms(terms: Column) -> Column:
-    """An array's terms as array<struct<term, tight, keys>>, empty and null ones left out, so that each is worked out once."""
+    """An array's terms as array<struct<term, tight, keys>>, empty and null ones left out, so that each is worked out once.
+
+    What is normalized has single blanks, which are all that compact and a second normalize_term can still take; only a term in
+    Hangul has a base of its own.
+    """
     some = F.filter(F.transform(terms, normalize_term), lambda x: F.length(x) > 0)
-    return F.transform(some, lambda x: F.struct(x.alias("term"), compact(x).alias("tight"), lookup_keys(x).alias("keys")))
+    tight = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    hangul = lambda x: (F.octet_length(x) > F.length(x)) & x.rlike("[가-힣]")
+    plain = lambda x: F.array_distinct(F.filter(F.array(F.trim(x), tight(x)), lambda k: F.length(k) > 1))
+    return F.transform(some, lambda x: F.struct(x.alias("term"), tight(x).alias("tight"), F.when(hangul(x), lookup_keys(x)).otherwise(plain(x)).alias("keys")))
 
 
 def alike(a: Column, b: Column) -> Column:
-    """concept_match of two forms."""
-    return (a["tight"] == b["tight"]) | F.arrays_overlap(a["keys"], b["keys"]) | F.contains(a["term"], b["term"]) | F.contains(b["term"], a["term"])
+    """concept_match of two forms; what costs most is asked last."""
+    return (a["tight"] == b["tight"]) | F.contains(a["term"], b["term"]) | F.contains(b["term"], a["term"]) | F.arrays_overlap(a["keys"], b["keys"])
 
 
 def names_subject(a: Column, b: Column) -> Column:
     """Whether form a names the subject b: as alike, except that a must not be a part of b only."""
-    return (a["tight"] == b["tight"]) | F.arrays_overlap(a["keys"], b["keys"]) | F.contains(a["term"], b["term"])
+    return (a["tight"] == b["tight"]) | F.contains(a["term"], b["term"]) | F.arrays_overlap(a["keys"], b["keys"])
 
 
 def expanded(terms: Column) -> Column:

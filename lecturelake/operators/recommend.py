@@ -78,6 +78,11 @@ def _count(values: Column, test) -> Column:
     return F.size(F.filter(values, test)).cast("double")
 
 
+def _bound(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 # --- query terms ----------------------------------------------------------------------------------------------------
 
 
@@ -112,21 +117,28 @@ def canonicalize(asked: DataFrame, aliases: DataFrame) -> DataFrame:
 # --- matches --------------------------------------------------------------------------------------------------------
 
 
-def prepared(lectures: DataFrame, q: Query) -> DataFrame:
+def prepared(lectures: DataFrame, q: Query, need: tuple[str, ...] = ()) -> DataFrame:
     """lectures with the forms of their terms, worked out once: f_title, f_summary, f_keywords, f_core, f_introduced,
-    f_relations, f_nodes, f_mentioned; and the query's: f_q, f_i (terms and keys), f_all (concepts), f_required."""
+    f_relations, f_nodes, f_mentioned; and the query's, once for all rows: f_q, f_i (terms and keys), f_all (concepts),
+    f_required. need: the lecture's that are used, if not all.
+
+    They come out of a generator, since the optimizer would put a column that is named once into the function that goes over
+    the query's terms, and make its forms again for each of them.
+    """
     keyword = F.transform("keywords", lambda k: F.struct(F.get(terms.forms(F.array(k["keyword"])), F.lit(0)).alias("f"), F.greatest(F.lit(0.0), F.coalesce(k["score"], F.lit(0.0))).alias("score")))
     relation = F.transform("relations", lambda r: F.struct(F.get(terms.forms(F.array(r["src"])), F.lit(0)).alias("a"), F.get(terms.forms(F.array(r["dst"])), F.lit(0)).alias("b"), F.when(F.lower(r["type"]).isin(*GENERIC_TYPES), GENERIC).otherwise(1.0).alias("w")))
     nodes = F.flatten(F.transform("communities", lambda c: F.concat(F.array(c["title"]), F.coalesce(c["nodes"], F.array().cast("array<string>")))))
-    out = lectures.withColumns({
+    asked = {"f_q": terms.forms(terms.expanded(_strings(q.keywords))), "f_i": terms.forms(terms.expanded(_strings(q.inferred))),
+             "f_all": terms.forms(F.array_distinct(_strings([*q.keywords, *q.inferred]))), "f_required": terms.forms(F.array_distinct(F.transform(_strings(q.keywords), normalize_term)))}
+    asked = lectures.sparkSession.range(1).select(F.struct(*[c.alias(k) for k, c in asked.items()]).alias("asked")).scalar()
+    own = {
         "f_title": terms.forms(F.array_distinct(tokens(F.col("title")))), "f_summary": terms.forms(tokens(F.col("summary"))),
         "f_whole": terms.forms(F.array("title", "summary")),
         "f_keywords": F.filter(keyword, lambda k: k["f"].isNotNull()), "f_core": terms.forms(F.col("core")), "f_introduced": terms.forms(F.col("introduced")),
         "f_relations": F.filter(relation, lambda r: r["a"].isNotNull() & r["b"].isNotNull()), "f_nodes": terms.forms(nodes), "f_mentioned": terms.forms(F.col("mentioned")),
-        "f_q": terms.forms(terms.expanded(_strings(q.keywords))), "f_i": terms.forms(terms.expanded(_strings(q.inferred))),
-        "f_all": terms.forms(F.array_distinct(_strings([*q.keywords, *q.inferred]))), "f_required": terms.forms(F.array_distinct(F.transform(_strings(q.keywords), normalize_term))),
-    })
-    return out
+    }
+    x = lectures.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in own.items() if k in need or not need]))))
+    return x.withColumns({k: asked[k] for k in ("f_q", "f_i", "f_all", "f_required")})
 
 
 def direct_match(weight=None) -> Column:
@@ -137,10 +149,11 @@ def direct_match(weight=None) -> Column:
     share = lambda asked, there: F.when(F.size(asked) > 0, _count(asked, lambda t: _some(there, t)) / F.size(asked)).otherwise(0.0)
     both = lambda there: (share(q, there) + share(i, there) * INFERRED) / (1 + INFERRED)
     longer = lambda asked: F.filter(asked, lambda t: F.length(t["term"]) > 1)
-    matched = lambda asked: _sum(F.filter("f_keywords", lambda k: _some(longer(asked), k["f"])), weight)
-    total = _sum(F.col("f_keywords"), weight)
-    total = F.when(total == 0, 1.0).otherwise(total)
-    return F.struct(both(F.col("f_title")).alias("title"), ((matched(q) + matched(i) * INFERRED) / (total * (1 + INFERRED))).alias("keyword"), both(F.col("f_summary")).alias("summary"), ((F.size(q) == 0) | (matched(q) > 0)).alias("matched"))
+    matched = lambda asked: _bound(longer(asked), lambda a: _sum(F.filter("f_keywords", lambda k: _some(a, k["f"])), weight))
+    sums = F.struct(matched(q).alias("q"), matched(i).alias("i"), _sum(F.col("f_keywords"), weight).alias("all"))
+    title, summary = both(F.col("f_title")), both(F.col("f_summary"))
+    share_of = lambda m: (m["q"] + m["i"] * INFERRED) / (F.when(m["all"] == 0, 1.0).otherwise(m["all"]) * (1 + INFERRED))
+    return _bound(sums, lambda m: F.struct(title.alias("title"), share_of(m).alias("keyword"), summary.alias("summary"), ((F.size(q) == 0) | (m["q"] > 0)).alias("matched")))
 
 
 def tfirf_match(irf: Column) -> Column:
@@ -162,8 +175,8 @@ def strengths(form: Column) -> Column:
     whole = lambda i: F.coalesce(terms.alike(F.get(F.col("f_whole"), F.lit(i)), form), F.lit(False))
     text = F.when(whole(0) | _some(F.col("f_title"), form), 0.9).when(whole(1) | _some(F.col("f_summary"), form), 0.2).otherwise(0.0)
     return F.struct(
-        role_strength(form).alias("role"), F.when(most > 0, F.least(F.lit(1.0), best / most)).otherwise(0.0).alias("keyword"), text.alias("text"),
-        F.when(weight > 0, F.least(F.lit(1.0), hit / weight)).otherwise(0.0).alias("relation"),
+        role_strength(form).alias("role"), _bound(most, lambda m: F.when(m > 0, F.least(F.lit(1.0), best / m)).otherwise(0.0)).alias("keyword"), text.alias("text"),
+        _bound(weight, lambda w: F.when(w > 0, F.least(F.lit(1.0), hit / w)).otherwise(0.0)).alias("relation"),
         F.when(F.size(nodes) > 0, _count(nodes, lambda x: terms.alike(x, form)) / F.size(nodes)).otherwise(0.0).alias("community"),
         F.when(_some(F.col("f_mentioned"), form), 1.0).otherwise(0.0).alias("mention"),
     )
@@ -173,8 +186,8 @@ def subject_match() -> Column:
     """not_required, canonical (a shared lookup key), partial (a lecture's term holds a required one) or none."""
     own = F.concat("f_whole", F.transform("f_keywords", lambda k: k["f"]), "f_core", "f_introduced", F.transform("f_relations", lambda r: r["a"]), F.transform("f_relations", lambda r: r["b"]), "f_nodes", F.col("f_mentioned"))
     required = F.col("f_required")
-    shared = F.exists(required, lambda t: F.exists(own, lambda x: F.arrays_overlap(x["keys"], t["keys"])))
-    partial = F.exists(required, lambda t: F.exists(own, lambda x: terms.names_subject(x, t)))
+    shared = F.exists(own, lambda x: F.exists(required, lambda t: F.arrays_overlap(x["keys"], t["keys"])))
+    partial = F.exists(own, lambda x: F.exists(required, lambda t: terms.names_subject(x, t)))
     return F.when(F.size(required) == 0, "not_required").when(shared, "canonical").when(partial, "partial").otherwise("none")
 
 
@@ -188,11 +201,12 @@ def graph_score() -> Column:
     role = F.when(F.size(concepts) > 0, _sum(concepts, role_strength) / F.size(concepts)).otherwise(0.0)
     known = lambda f: F.exists(concepts, lambda c: terms.alike(f, c))
     # an undirected relation is one from each end; flagged once by whether the ends are matched
-    ends = F.flatten(F.transform(relations, lambda r: F.array(F.struct(r["a"]["term"].alias("n"), known(r["a"]).alias("own"), known(r["b"]).alias("other"), r["w"].alias("w")), F.struct(r["b"]["term"].alias("n"), known(r["b"]).alias("own"), known(r["a"]).alias("other"), r["w"].alias("w")))))
-    hits = F.filter(ends, lambda e: e["own"])
-    names = F.array_distinct(F.transform(hits, lambda e: e["n"]))
-    ratio = lambda n: _sum(F.filter(hits, lambda e: (e["n"] == n) & e["other"]), lambda e: e["w"]) / _sum(F.filter(hits, lambda e: e["n"] == n), lambda e: e["w"])
-    relation = F.when(F.size(names) > 0, _sum(names, ratio) / F.size(names)).otherwise(0.0)
+    end = lambda n, own, other, w: F.struct(n.alias("n"), own.alias("own"), other.alias("other"), w.alias("w"))
+    told = lambda r: F.struct(r["a"]["term"].alias("a"), r["b"]["term"].alias("b"), known(r["a"]).alias("ka"), known(r["b"]).alias("kb"), r["w"].alias("w"))
+    ends = F.flatten(F.transform(F.transform(relations, told), lambda r: F.array(end(r["a"], r["ka"], r["kb"], r["w"]), end(r["b"], r["kb"], r["ka"], r["w"]))))
+    ratio = lambda hits, n: _sum(F.filter(hits, lambda e: (e["n"] == n) & e["other"]), lambda e: e["w"]) / _sum(F.filter(hits, lambda e: e["n"] == n), lambda e: e["w"])
+    mean = lambda hits, names: F.when(F.size(names) > 0, _sum(names, lambda n: ratio(hits, n)) / F.size(names)).otherwise(0.0)
+    relation = _bound(F.filter(ends, lambda e: e["own"]), lambda hits: _bound(F.array_distinct(F.transform(hits, lambda e: e["n"])), lambda names: mean(hits, names)))
     return F.when(F.size(concepts) > 0, rounded(F.least(role * 0.65 + relation * 0.35, F.lit(1.0)))).otherwise(0.0)
 
 

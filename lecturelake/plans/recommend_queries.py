@@ -82,7 +82,7 @@ _HIT = f"({' OR '.join(_any('list_transform(kw, lambda k: k.f)', x) for x in (ch
 
 @query("math_direct_match", f"WITH {_LINES} SELECT video_id, round({_both(_TW)}, 6) AS title, round({_dm()}, 6) AS keyword, round({_both(_SW)}, 6) AS summary, {_HIT} AND list_sum(list_transform(list_filter(kw, lambda k: {_any(_QL, 'k.f')}), lambda k: k.score)) > 0 AS matched FROM lecture")
 def _(t: Tables):
-    x = recommend.prepared(lectures(t), Q).select("video_id", recommend.direct_match().alias("m"))
+    x = recommend.prepared(lectures(t), Q, ("f_title", "f_summary", "f_keywords")).select("video_id", recommend.direct_match().alias("m"))
     return x.select("video_id", *[F.round(f"m.{k}", 6).alias(k) for k in ("title", "keyword", "summary")], F.col("m.matched").alias("matched"))
 
 
@@ -127,7 +127,7 @@ _SUBJECT = f"CASE WHEN len(list_filter({_REQ}, lambda t: len(list_filter({_OWN},
 
 @query("str_subject_match", f"WITH {_LINES} SELECT video_id, {_SUBJECT} AS subject FROM lecture")
 def _(t: Tables):
-    return recommend.prepared(lectures(t), Q).select("video_id", recommend.subject_match().alias("subject"))
+    return recommend.prepared(lectures(t), Q, ("f_whole", "f_keywords", "f_core", "f_introduced", "f_relations", "f_nodes", "f_mentioned")).select("video_id", recommend.subject_match().alias("subject"))
 
 
 @query("str_lexical_variants", r"""
@@ -175,7 +175,7 @@ graph AS (SELECT video_id, {_r4('least(1.0, role * CAST(0.65 AS DOUBLE) + coales
 
 @query("graph_weighted_neighbors", f"WITH {_LINES}, {_GRAPH} SELECT video_id, graph_score AS score FROM graph")
 def _(t: Tables):
-    return recommend.prepared(lectures(t), Q).select("video_id", recommend.graph_score().alias("score"))
+    return recommend.prepared(lectures(t), Q, ("f_core", "f_introduced", "f_relations")).select("video_id", recommend.graph_score().alias("score"))
 
 
 _DEPTH = f"""first_node AS (SELECT video_id, min_by(n, (j, k)) AS focus FROM (SELECT video_id, j, k, n FROM (SELECT video_id, j, unnest([r.a, r.b]) AS n, unnest([0, 1]) AS k FROM (SELECT video_id, unnest(rel) AS r, generate_subscripts(rel, 1) AS j FROM lecture)) WHERE {_alike('n', "'gear'")}) GROUP BY 1),

@@ -68,3 +68,14 @@ def test_nulls_and_empty_tables(spark):
     assert scores.LEVELS[row.level] == "none" and row.subject == "none"
     assert recommend.rank(lecture(spark).limit(0), q, "2026-01-01").count() == 0
     assert recommend.rank(lecture(spark), recommend.Query(keywords=()), "2026-01-01").first().subject == "not_required"
+
+
+def test_forms_are_made_once_for_all_terms_of_a_query(spark):
+    """A lecture's forms come out of a generator, the query's out of a subquery; forms are as normalize_term and lookup_keys have them."""
+    q = recommend.Query(keywords=("운영체제", "a", "b c"))
+    x = recommend.prepared(lecture(spark), q, ("f_core", "f_introduced")).select(F.transform("f_all", lambda f: recommend.role_strength(f)))
+    assert "Generate inline" in (plan := x._jdf.queryExecution().optimizedPlan().toString()) and "scalar-subquery" in plan
+    assert x.first()[0] == [1.0, 0.0, 0.0]
+    odd = ["\tA  b", "운영 체제의", "é x", "Q", "", None, " 강의 "]
+    made = one(spark, terms.forms(F.array(*map(F.lit, odd))), *[terms.lookup_keys(F.lit(t)) for t in ("\tA  b", "운영 체제의", "é x", "Q", " 강의 ")], *[terms.compact(F.lit(t)) for t in ("\tA  b", "운영 체제의", "é x", "Q", " 강의 ")])
+    assert [f["keys"] for f in made[0]] == list(made[1:6]) and [f["tight"] for f in made[0]] == list(made[6:])
