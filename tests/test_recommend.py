@@ -77,5 +77,5 @@ def test_forms_are_made_once_for_all_terms_of_a_query(spark):
     assert "Generate inline" in (plan := x._jdf.queryExecution().optimizedPlan().toString()) and "scalar-subquery" in plan
     assert x.first()[0] == [1.0, 0.0, 0.0]
     odd = ["\tA  b", "운영 체제의", "é x", "Q", "", None, " 강의 "]
-    made = one(spark, terms.forms(F.array(*map(F.lit, odd))), *[terms.lookup_keys(F.lit(t)) for t in ("\tA  b", "운영 체제의", "é x", "Q", " 강의 ")], *[terms.compact(F.lit(t)) for t in ("\tA  b", "운영 체제의", "é x", "Q", " 강의 ")])
+    made = one(spark, terms.forms(F.array(*map(F.lit, odd))), *[terms.lookup_keys(terms.normalize_term(F.lit(t))) for t in ("\tA  b", "운영 체제의", "é x", "Q", " 강의 ")], *[terms.compact(F.lit(t)) for t in ("\tA  b", "운영 체제의", "é x", "Q", " 강의 ")])
     assert [f["keys"] for f in made[0]] == list(made[1:6]) and [f["tight"] for f in made[0]] == list(made[6:])
