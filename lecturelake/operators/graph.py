@@ -9,21 +9,43 @@ from ..storage import discard, stored
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, component: the least node that undirected edges (src, dst) reach. Labels spread to neighbours and jump
-    to their label's label, so the rounds grow with the logarithm of a chain. Nodes that only edges name count too."""
-    both = stored(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct(), "edges")
-    every = nodes.select("node").union(both.select("src")).distinct()
-    now = stored(every.select("node", F.col("node").alias("component")), "labels")
-    while True:
-        near = both.join(now, both.dst == now.node).groupBy("src").agg(F.min("component").alias("near"))
-        to = now.join(near, now.node == near.src, "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("to"))
-        jump = now.select(F.col("node").alias("to"), F.col("component").alias("far"))
-        new = stored(to.join(jump, "to").select("node", F.col("far").alias("component"), (F.col("far") != F.col("component")).alias("moved")), "labels")
-        discard(now)
-        now = new
-        if new.filter("moved").limit(1).count() == 0:
-            discard(both)
-            return now.select("node", "component")
+    """node, component: the least node that undirected edges (src, dst) reach. Nodes that only edges name count too.
+
+    In each round every node names the one of the least hash among itself and its neighbours, and each edge moves on to
+    what its ends have named. A node stays tied to the one it has named, as the edge between them moves as well, so what
+    hangs together still does, but on a part of the nodes: the edges left shrink round by round, along chains too, and a
+    round's work is done on them alone. Hashes are drawn anew each round; nodes are told by ids of 64 bits without clash.
+    """
+    known = edges.select("src", "dst").filter("src is not null and dst is not null")
+    every = nodes.select("node").filter("node is not null").union(known.select(F.explode(F.array("src", "dst")))).distinct()
+    every, seed = stored(every, "nodes"), 0
+    kind = every.schema["node"].dataType
+    code = lambda c: F.xxhash64(F.lit(seed), F.col(c).cast(kind))
+    while not every.groupBy(code("node")).count().filter("count > 1").isEmpty():
+        seed += 1
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    left = stored(known.select(*pair(code("src"), code("dst"))).filter("a <> b").distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while not left.isEmpty():
+        hashed = lambda c: F.xxhash64(F.lit(len(rounds)), F.col(c))
+        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("near")), F.struct(F.col("b").alias("id"), F.col("a").alias("near")))).alias("e")).select("e.*")
+        least = ends.groupBy("id").agg(F.min_by("near", hashed("near")).alias("near"))
+        named = stored(least.select("id", F.when(hashed("near") < hashed("id"), F.col("near")).otherwise(F.col("id")).alias("to")), "named")
+        moved = left.join(named.select(F.col("id").alias("a"), F.col("to").alias("to_a")), "a").join(named.select(F.col("id").alias("b"), F.col("to").alias("to_b")), "b")
+        moved = stored(moved.select(*pair(F.col("to_a"), F.col("to_b"))).filter("a <> b").distinct(), "edges")
+        discard(left)
+        left = moved
+        rounds.append(named)
+    discard(left)
+    roots = every.select("node", code("node").alias("to"))
+    if rounds:
+        last = rounds[-1]
+        for named in reversed(rounds[:-1]):
+            last = named.join(last.select(F.col("id").alias("to"), F.col("to").alias("far")), "to", "left").select("id", F.coalesce("far", "to").alias("to"))
+        roots = roots.join(last.select(F.col("id").alias("to"), F.col("to").alias("far")), "to", "left").select("node", F.coalesce("far", "to").alias("to"))
+    roots = stored(roots, "labels")
+    discard(every, *rounds)
+    return roots.join(roots.groupBy("to").agg(F.min("node").alias("component")), "to").select("node", "component")
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:

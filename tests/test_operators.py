@@ -30,6 +30,18 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(n)} | {n: n, n + 1: n + 1}
 
 
+def test_components_work_on_fewer_edges_each_round(spark, monkeypatch):
+    kept, store = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: kept.append((name, store(df, name))) or kept[-1][1])
+    monkeypatch.setattr(graph, "discard", lambda *tables: None)
+    n = 3000
+    edges = spark.range(n - 1).selectExpr("concat('n', id) as src", "concat('n', id + 1) as dst").union(spark.createDataFrame([("x", "x"), ("y", None)], "src string, dst string"))
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame([("z",)], "node string"), edges).collect()}
+    assert got == {f"n{i}": "n0" for i in range(n)} | {"x": "x", "z": "z"}
+    sizes = [df.count() for name, df in kept if name == "edges"]
+    assert sizes[0] == n - 1 and sizes[-1] == 0 and sum(sizes) < 3 * n and all(b < 0.8 * a for a, b in zip(sizes, sizes[1:], strict=False) if a > 100)
+
+
 def test_overlaps_of_short_and_very_long_intervals(spark):
     import random
 
