@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lecturelake.operators import folds, timeline
 from lecturelake.operators.windows import running_total
 from lecturelake.plans import registry
-from lecturelake.streaming.ordered import micros, ordered_machine, run
+from lecturelake.streaming.ordered import micros, ordered_machine, replayed, run
 from tests.oracle import SF
 
 
@@ -55,6 +55,21 @@ def test_a_session_expires_without_another_event_and_is_forgotten(spark, tmp_pat
     assert got == {("a", 0, 600, 2, 4200), ("b", 100, 6000, 3, 9600)}
 
 
+def test_a_part_is_many_files_and_one_batch_and_keys_share_buckets(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", "c", "d", "e"]), t, (1 << 40) + i) for i, t in enumerate(sorted(rng.sample(range(60_000), 300)))]
+    table = spark.createDataFrame(rows, "k string, t long, i long").select("k", "i", F.timestamp_seconds("t").alias("at"))
+    stream = replayed(table, "at", 3, "2 days", per_file=25).withColumn("us", F.unix_micros("at"))
+    step, last = folds.heartbeat_step(micros("10 minutes"))
+    # the state holds the id of the last heartbeat too, which must come back as it was
+    with_id = lambda state, row: (lambda s, sent: ((*s, row[1]), [(*x, state[3]) for x in sent]))(*step(state and state[:3], row[:1]))
+    flush = lambda state: [(*x, state[3]) for x in last(state[:3])]
+    schema = "k string, s long, l long, n long, e long, i long"
+    got = run(ordered_machine(stream, "k", "at", "i", ["us", "i"], with_id, flush, "s long, l long, n long, i long", schema, "1 hour", "10 minutes", buckets=2))
+    want = folds.fold(table.withColumn("us", F.unix_micros("at")), "k", ["us", "i"], ["us", "i"], with_id, flush, schema)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_running_totals_over_stretches(spark):
     rng = random.Random(5)
     rows = [(k, at, rng.choice([-1, 1, 5])) for k in ("hot", "u", None) for at in rng.sample(range(5000), 300)]
