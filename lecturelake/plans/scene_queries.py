@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import windows
-from ..operators.intervals import buckets, window_join
+from ..operators.intervals import buckets, nearest_join
 from ..operators.text import tokens
 from .tables import Tables, query
 from .text_queries import TOKENS_SQL
@@ -168,10 +168,10 @@ def _(t: Tables):
     e = timed(t).withColumn("stem", F.col("user_id") % 10)
     marks = e.filter("event_type = 'error'").select("stem", "event_id", F.col("user_id").alias("slide"), F.col("at").alias("x"))
     segments = e.filter("event_type = 'view'").select("stem", F.col("event_id").alias("segment_id"), "user_id", F.col("at").alias("y"))
-    met = window_join(marks, segments, ["stem"], "x", "y", NEAR, NEAR)
-    met = met.select("event_id", (F.col("slide") != F.col("user_id")).cast("long").alias("penalty"), F.abs(F.col("y") - F.col("x")).alias("gap"), "segment_id")
-    best = met.groupBy("event_id").agg(F.min(F.struct("penalty", "gap", "segment_id")).alias("m"))
-    return best.select("event_id", "m.segment_id", "m.penalty", F.round("m.gap", 3).alias("gap"))
+    own = nearest_join(marks, segments.withColumnRenamed("user_id", "slide"), ["stem", "slide"], "event_id", "segment_id", "x", "y", NEAR)
+    rest = nearest_join(marks.join(own, "event_id", "left_anti"), segments, ["stem"], "event_id", "segment_id", "x", "y", NEAR)
+    best = own.withColumn("penalty", F.lit(0).cast("long")).unionByName(rest.withColumn("penalty", F.lit(1).cast("long")))
+    return best.select("event_id", "segment_id", "penalty", F.round("gap", 3).alias("gap"))
 
 
 @query("resp_timestamps", f"""

@@ -1,5 +1,5 @@
 from lecturelake.operators import graph
-from lecturelake.operators.intervals import overlap_join, window_join
+from lecturelake.operators.intervals import nearest_join, overlap_join, window_join
 from lecturelake.operators.windows import gap_sessions, runs
 
 
@@ -15,6 +15,19 @@ def test_window_join_takes_each_pair_once(spark):
     assert sorted((r.i, r.j) for r in window_join(a, b, ["k"], "at", "o", 5, 2).collect()) == [(1, 7), (1, 8), (2, 10)]
 
 
+def test_nearest_without_pairs(spark):
+    import random
+
+    rng = random.Random(7)
+    marks = [(i, rng.choice(["u", "v", None]), rng.choice([None, *(0.5 * rng.randint(-60, 60) for _ in range(20))])) for i in range(150)]
+    others = [(i, rng.choice(["u", "v", None]), rng.choice([None, *(0.5 * rng.randint(-90, 90) for _ in range(20))])) for i in range(60)]
+    a, b = spark.createDataFrame(marks, "i long, k string, x double"), spark.createDataFrame(others, "j long, k string, y double")
+    near = nearest_join(a, b, ["k"], "i", "j", "x", "y", 4.0)
+    met = {i: min(((abs(y - x), j) for j, q, y in others if k and k == q and None not in (x, y) and abs(y - x) <= 4), default=None) for i, k, x in marks}
+    assert sorted((r.i, r.gap, r.j) for r in near.collect()) == sorted((i, *m) for i, m in met.items() if m)
+    assert len({m for m in met.values() if m}) > 20 and "Join" not in near._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sessions_runs_and_empty_tables(spark):
     rows = spark.createDataFrame([("u", 0.0, "a"), ("u", 1.0, "a"), ("u", 9.0, None), ("u", 10.0, None), ("v", 3.0, "b")], "k string, at double, v string")
     assert sorted((r.k, r.at, r.session) for r in gap_sessions(rows, ["k"], ["at"], "at", 5).collect()) == [("u", 0.0, 0), ("u", 1.0, 0), ("u", 9.0, 1), ("u", 10.0, 1), ("v", 3.0, 0)]
