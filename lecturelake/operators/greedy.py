@@ -1,6 +1,8 @@
-"""Greedy groups in order, without reading a group row by row.
+"""Greedy groups in order.
 
-Items join the first cluster that has any linked member, or all of whose members are linked; else they found one.
+Items join the first cluster that has any linked member, or all of whose members are linked; else they found one. Groups of
+up to BLOCK items are decided each by itself, once its items have met their links; larger ones all together, in rounds of joins,
+so that a hot group is many tasks' work and is not read row by row.
 """
 
 from __future__ import annotations
@@ -18,15 +20,58 @@ from .windows import running_total
 BLOCK, STRETCH = 1000, 10_000
 
 
-def greedy_clusters(items: DataFrame, links: DataFrame, group: str) -> DataFrame:
+def _by_size(items: DataFrame, links: DataFrame, group: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None:
+    """Items and links of the groups of up to `block` items, and those of the others, as stored tables; None if there are no others."""
+    large = stored(items.groupBy(F.col(group).alias("large")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("large"), "greedy-large")
+    if large.isEmpty():
+        discard(large)
+        return None
+    met = lambda df, how: df.join(large, F.col(group).eqNullSafe(F.col("large")), how)
+    return met(items, "left_anti"), met(links, "left_anti"), met(items, "left_semi"), met(links, "left_semi")
+
+
+def _in_one_go(items: DataFrame, links: DataFrame, group: str, complete: bool) -> DataFrame:
+    """group, item, cluster of groups of few items: each item comes with what it is linked to, a group's items in order."""
+    kind, item_kind = (items.schema[c].dataType.simpleString() for c in (group, "item"))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("item"), F.col("b").alias("other")), F.struct(F.col("b").alias("item"), F.col("a").alias("other"))))
+    near = links.filter("a is not null and b is not null and a <> b").select(F.col(group).alias("g"), ends.alias("e"))
+    near = near.groupBy("g", "e.item").agg(F.collect_list(F.col("e.other").cast(item_kind)).alias("near"))
+    own = items.select(F.col(group).alias("g"), "item", F.col("place").cast("long").alias("p")).join(near, ["g", "item"], "left")
+    own = own.withColumn("near", F.coalesce("near", F.array().cast(f"array<{item_kind}>")))
+
+    def step(state, row):
+        _, item, near = row
+        cluster, size = state or ({}, [])
+        met: dict[int, int] = {}
+        for x in set(near):
+            if x in cluster:
+                met[cluster[x]] = met.get(cluster[x], 0) + 1
+        c = min((c for c, n in met.items() if not complete or n == size[c]), default=len(size))
+        if c == len(size):
+            size.append(0)
+        size[c] += 1
+        cluster[item] = c
+        return (cluster, size), [(item, c)]
+
+    return fold(own, "g", ["p"], ["p", "item", "near"], step, lambda state: [], f"g {kind}, item {item_kind}, cluster int").withColumnRenamed("g", group)
+
+
+def greedy_clusters(items: DataFrame, links: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
     """group, item, cluster (from 0): items (item, place; both unique in a group) in order of place each join the first cluster
     with any member that links (group, a, b; in either order) tie to it, else found one.
 
     The cluster of an item is that of the least place that it reaches by links that each lead to an earlier item, so the
     places spread over the links and every item then takes what the one it has got has reached: rounds grow with the
     logarithm of a chain, and a hot group's links are many tasks' work. Links of or between unknown items, and of an item to itself,
-    are none.
+    are none. This is how groups of more than `block` items are decided.
     """
+    parts = _by_size(items, links, group, block)
+    if parts is None:
+        return _in_one_go(items, links, group, False)
+    return _in_one_go(*parts[:2], group, False).union(_spread(*parts[2:], group))
+
+
+def _spread(items: DataFrame, links: DataFrame, group: str) -> DataFrame:
     node = stored(items.select(F.col(group).alias("g"), "item", F.col("place").cast("long").alias("p")), "greedy-nodes")
     both = links.select(F.col(group).alias("g"), "a", "b").union(links.select(group, "b", "a"))
     ends = both.join(node.select("g", F.col("item").alias("a"), F.col("p").alias("pa")), ["g", "a"]).join(node.select("g", F.col("item").alias("b"), F.col("p").alias("pb")), ["g", "b"])
@@ -51,10 +96,17 @@ def greedy_cliques(items: DataFrame, links: DataFrame, group: str, block: int =
     """group, item, cluster (from 0): items (item, place; both unique in a group) in order of place each join the first cluster
     all of whose members links (group, a, b; in either order) tie to it, else found one.
 
-    Groups advance together, `block` items of each a round. What a block's items are linked to among the items before it is
+    Groups of more than `block` items advance together, `block` items of each a round. What a block's items are linked to among the items before it is
     a join and a count for each of their clusters; one task then decides a group's block from the clusters that are linked
     in full and the links inside the block, row by row, so it holds no more than these. Self-links and unknown items do nothing.
     """
+    parts = _by_size(items, links, group, block)
+    if parts is None:
+        return _in_one_go(items, links, group, True)
+    return _in_one_go(*parts[:2], group, True).union(_by_blocks(*parts[2:], group, block))
+
+
+def _by_blocks(items: DataFrame, links: DataFrame, group: str, block: int) -> DataFrame:
     kind, item_kind = items.schema[group].dataType.simpleString(), items.schema["item"].dataType.simpleString()
     x = items.select(F.col(group).alias("g"), "item", F.col("place").cast("long").alias("p"), F.lit(1).alias("one"))
     x = running_total(x, "g", "p", "one", STRETCH).select("g", "item", (F.col("total") - 1).alias("i"))

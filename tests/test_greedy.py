@@ -70,3 +70,31 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     links = spark.range(n - 1).select(F.lit("hot").alias("grp"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert greedy_clusters(items, links, "grp").filter("cluster = 0").count() == n
     assert names.count("greedy-labels") < 20
+
+
+def test_small_groups_take_no_rounds(spark, monkeypatch):
+    from lecturelake.operators import greedy
+
+    names, keep = [], greedy.stored
+    monkeypatch.setattr(greedy, "stored", lambda df, name: names.append(name) or keep(df, name))
+    big = 2**53
+    items = spark.range(4000).selectExpr("id div 8 as grp", f"id % 8 + {big} as item", "7 - id % 8 as place")
+    links = spark.range(3500).selectExpr("id div 7 as grp", f"id % 7 + {big} as a", f"id % 7 + {big + 1} as b").union(spark.createDataFrame([(0, None, big), (-1, 1, 2)], "grp long, a long, b long"))
+    for complete, run in ((False, greedy.greedy_clusters), (True, greedy.greedy_cliques)):
+        want = loop([big + i for i in range(7, -1, -1)], [(big + i, big + i + 1) for i in range(7)], complete)
+        rows = run(items, links, "grp").collect()
+        assert len(rows) == 4000 and all(r.cluster == want[r.item] for r in rows)
+    assert set(names) <= {"greedy-large"}
+
+
+def test_large_groups_beside_small_ones(spark):
+    rng = random.Random(5)
+    groups = {}
+    for g, n, p in (("a", 30, 0.3), ("b", 9, 0.4), ("c", 10, 0.5), ("d", 11, 0.8)):
+        own = [f"{g}{i}" for i in range(n)]
+        groups[g] = (own, [(a, b) for a in own for b in own if a < b and rng.random() < p])
+    items = spark.createDataFrame([(g, x, i) for g, (own, _) in groups.items() for i, x in enumerate(own)], "grp string, item string, place int")
+    links = spark.createDataFrame([(g, *l) for g, (_, own) in groups.items() for l in own], "grp string, a string, b string")
+    for complete, run in ((False, greedy_clusters), (True, greedy_cliques)):
+        want = {(g, x): c for g, (own, tied) in groups.items() for x, c in loop(own, tied, complete).items()}
+        assert {(r.grp, r.item): r.cluster for r in run(items, links, "grp", block=10).collect()} == want
