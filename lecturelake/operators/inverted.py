@@ -56,16 +56,22 @@ def build(docs: DataFrame, key: str, title: str, keywords: str, summary: str, pa
     A document's length is the sum of what its fields add, without the fields' weights; documents without a term count too.
     """
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "lecturelake/inverted")
-    x = docs.select(F.col(key).alias("key"), entries(F.col(title), F.col(keywords), F.col(summary)).alias("e"))
-    x = x.withColumn("length", F.aggregate("e", F.lit(0.0), lambda a, e: a + e.title + e.keyword + e.summary))
-    n, mean = x.agg(F.count(F.lit(1)), F.coalesce(F.avg("length"), F.lit(0.0))).first()
+
+    def sized(df: DataFrame) -> DataFrame:
+        x = df.select(F.col(key).alias("key"), entries(F.col(title), F.col(keywords), F.col(summary)).alias("e"))
+        return x.withColumn("length", F.aggregate("e", F.lit(0.0), lambda a, e: a + e.title + e.keyword + e.summary))
+
+    n, mean = sized(docs).agg(F.count(F.lit(1)), F.coalesce(F.avg("length"), F.lit(0.0))).first()
     slices = max(1, -(-n // per_slice))
-    each = x.select("key", "length", F.explode("e").alias("e"))
+    # documents are dealt out by key, so that entries are summed where they are and only postings are shuffled; the outer form,
+    # since for the inner one the optimizer would make all entries once more to see whether there are any
+    each = sized(docs.repartition(F.col(key))).select("key", "length", F.explode_outer("e").alias("e"))
     tf = F.sum(F.col("e.title") * TITLE_WEIGHT + F.col("e.keyword") * KEYWORD_WEIGHT + F.col("e.summary") * SUMMARY_WEIGHT)
     each = each.groupBy("key", "length", F.col("e.term").alias("term")).agg(tf.alias("tf")).filter("tf > 0")
     slot = F.pmod(F.xxhash64("key"), F.lit(slices)).alias("slice")
-    blocks = each.groupBy("term", slot).agg(F.collect_list(F.struct("key", "tf", "length")).alias("postings"), F.max(gain(F.col("tf"), F.col("length"), mean)).alias("top"), F.count(F.lit(1)).alias("df"))
-    blocks = blocks.withColumn("part", _part(F.col("term"), parts)).repartition("part", "slice").sortWithinPartitions("part", "term")
+    each = each.select("*", slot, _part(F.col("term"), parts).alias("part")).repartition("part", "slice")
+    blocks = each.groupBy("part", "slice", "term").agg(F.collect_list(F.struct("key", "tf", "length")).alias("postings"), F.max(gain(F.col("tf"), F.col("length"), mean)).alias("top"), F.count(F.lit(1)).alias("df"))
+    blocks = blocks.select("term", "slice", "postings", "top", "df", "part").sortWithinPartitions("part", "term")
     blocks.write.partitionBy("part").parquet(path)
     return Index(path, spark.read.schema(blocks.schema).parquet(path), n, float(mean))
 
