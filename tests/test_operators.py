@@ -55,6 +55,15 @@ def test_components_work_on_fewer_edges_each_round(spark, monkeypatch):
     assert sizes[0] == n - 1 and sizes[-1] == 0 and sum(sizes) < 3 * n and all(b < 0.8 * a for a, b in zip(sizes, sizes[1:], strict=False) if a > 100)
 
 
+def test_components_of_a_star_take_a_round(spark, monkeypatch):
+    names, store = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: names.append(name) or store(df, name))
+    edges = spark.range(1, 4000).selectExpr("id as src", "2000L * 10000 as dst").union(spark.createDataFrame([(-5, -5), (-7, None)], "src long, dst long"))
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame([(-9,)], "node int"), edges).collect()}
+    assert got == {i: 1 for i in [*range(1, 4000), 2000 * 10000]} | {-5: -5, -9: -9}
+    assert names.count("named") == 1
+
+
 def test_overlaps_of_short_and_very_long_intervals(spark):
     import random
 
