@@ -32,9 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 400 bytes or more that occur elsewhere too; a document may be left empty."""
+    """Cut passages of 400 bytes or more, and those of over 50 words, that occur elsewhere too; a document may be left empty."""
     short_batches(spark)
-    return _documents(suffix.remove_repeats(docs).withColumn("text", F.col("kept_text")))
+    return _documents(suffix.remove_repeats(docs, n_words=51).withColumn("text", F.col("kept_text")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,16 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert all((fourth[i].text == third[i].text) == ("@" not in third[i].text) for i in second)
     assert sum(r.length for r in spark.read.parquet(str(tmp_path / "packing")).collect()) > 0 and set(out["packing"]) == set(second)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == spark.read.parquet(str(tmp_path / "packing")).count()
+
+
+def test_passages_of_over_fifty_words_go(spark):
+    # 55 words in 250 bytes, in documents that are no near copies; 50 words stay
+    rng = random.Random(3)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 5))) for _ in range(n))
+    long, short = text(55), text(50)
+    assert len(long) < 287
+    own = [text(90) for _ in range(6)]
+    texts = [f"{own[i]} {long}" if i < 3 else f"{short} {own[i]}" for i in range(5)] + [own[5]]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, df, "").collect()}
+    assert got == {i: f"{own[i]} " if i < 3 else texts[i] for i in range(6)}

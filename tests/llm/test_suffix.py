@@ -1,6 +1,6 @@
 import random
 
-from lecturelake.llm import suffix
+from lecturelake.llm import ngram_join, suffix
 
 
 def corpus(seed, n=40):
@@ -54,3 +54,30 @@ def test_repeated_rows_share_their_spans(spark):
     got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = dict(zip([t for _, t in rows[999:]], suffix.brute_force([t for _, t in rows[999:]], 400), strict=True))
     assert len(got) == len(rows) and all(bytes(r.kept) == want[r.text] for r in got)
+
+
+def test_short_passages_of_many_words(spark, monkeypatch):
+    # windows of 51 words, most under 400 bytes, by all windows; cut texts go in small segments and stretches too
+    for seed, segment, hashed in ((5, 1 << 22, 1 << 21), (6, 60, 300)):
+        monkeypatch.setattr(suffix, "SEGMENT", segment)
+        monkeypatch.setattr(ngram_join, "HASHED", hashed)
+        rng = random.Random(seed)
+        text = lambda n: rng.choice("\n \t").join("".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 7))) for _ in range(n))  # noqa: B023, E731
+        shared = [text(n) for n in (50, 51, 52, 60, 75, 200)]
+        docs = [text(rng.randint(0, 150)) for _ in range(30)]
+        for i in range(24):
+            docs[i] += " " + shared[i % 6].replace("a", "A" if i % 4 else "a") + "\n" + text(rng.randint(0, 60))
+        docs += [docs[1] + " " + docs[1], "a b " * 80, "x " * 51, "x " * 50, "", None, shared[3].replace(" ", "\n"), docs[2], docs[2]]
+        df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+        got = {r.doc_id: r for r in suffix.remove_repeats(df, n_words=51).collect()}
+        left, some = suffix.brute_force(docs, 400), 0
+        for i, (t, spans) in enumerate(zip(docs, suffix.brute_force_words(docs, 51), strict=True)):
+            raw = (t or "").encode()
+            gone = {b for s, e in spans for b in range(s, e)}
+            some += bool(spans) and len(left[i]) == len(raw)
+            for s, e in ((x.s, x.e) for x in got[i].removed):
+                gone -= set(range(s, e))
+            assert not gone, (seed, i)
+            if len(left[i]) == len(raw):
+                assert [(x.s, x.e) for x in got[i].removed] == spans, (seed, i)
+        assert some > 10
