@@ -13,13 +13,17 @@ from functools import reduce
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 METRICS = ("phash", "dhash", "changed", "edge", "mse", "hist", "content_phash", "content_dhash", "content_changed", "content_edge", "content_mse", "content_hist")
 
 #: Cells that a frame is put in, unless agreement in two bands alone takes more.
 MOST_CELLS = 300
+#: Work to compare two hashes that meet by chance, of that to put one in a cell.
+MEETING = 0.1
 
 
 @dataclass(frozen=True)
@@ -53,9 +57,9 @@ class Profiles:
         return hashes & small & (m["edge"] >= 0.87) & (m["content_edge"] >= 0.87) & (m["hist"] >= 0.995) & (m["content_hist"] >= 0.995)
 
 
-def hamming(a: Column, b: Column) -> Column:
-    """The distance of two hashes, array<bigint> of 64 bits each."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+def hamming(a: list[Column], b: list[Column]) -> Column:
+    """The distance of two hashes, words of 64 bits each."""
+    return reduce(lambda s, d: s + d, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)])
 
 
 def bands(hash_: Column, words: int, most: int) -> list[Column]:
@@ -71,17 +75,21 @@ def dealt(varying: list[int], n: int) -> list[list[int]]:
     return [varying[len(varying) * i // n : len(varying) * (i + 1) // n] for i in range(n)]
 
 
-def agreeing(frames: int, a_group: float, bits: int, most: int) -> int:
-    """In how many bands frames are to agree to meet, from 2 on: the number with the fewest cells and chance meetings together."""
-    cost = lambda k: comb(most + k, k) * frames * (1 + a_group / 2 ** (1 + bits * k / (most + k)))
+def agreeing(hashes: int, a_group: float, bits: int, most: int) -> int:
+    """In how many bands hashes are to agree to meet, from 2 on: the number with the least work for cells and chance meetings."""
+    cost = lambda k: comb(most + k, k) * hashes * (1 + MEETING * a_group / 2 ** (1 + bits * k / (most + k)))
     return min((k for k in range(2, 6) if k == 2 or comb(most + k, k) <= MOST_CELLS), key=cost)
 
 
 def near_hashes(frames: DataFrame, group: str, hash_: str, words: int, most: int) -> DataFrame:
-    """g, a, b: pairs of frames (group, id, hash_) of one group, a < b, whose hashes differ in `most` bits or fewer, once each."""
-    x = frames.select(F.col(group).alias("g"), "id", F.col(hash_).alias("h"))
-    word = lambda w: F.get("h", F.lit(w))
-    told = x.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[f(word(w)).alias(f"{k}{w}") for w in range(words) for k, f in (("some", F.bit_or), ("all", F.bit_and))])
+    """g, a, b: pairs of frames (group, id, hash_) of one group, a < b, whose hashes differ in `most` bits or fewer, once each.
+
+    Frames of one hash meet others as one, named by the least id of them; pairs of hashes are told apart to frames after.
+    """
+    h = [f"h{w}" for w in range(words)]
+    x = frames.select(F.col(group).alias("g"), "id", *[F.get(hash_, F.lit(w)).alias(c) for w, c in enumerate(h)]).dropna(subset=["g", *h])
+    one = x.groupBy("g", *h).agg(F.min("id").alias("one"), F.count(F.lit(1)).alias("frames"))
+    told = one.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}{w}") for w, c in enumerate(h) for k, f in (("some", F.bit_or), ("all", F.bit_and))])
     told = told.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("each"), *[f(f"{k}{w}").alias(f"{k}{w}") for w in range(words) for k, f in (("some", F.bit_or), ("all", F.bit_and))]).first()
     varying = [64 * w + i for w in range(words) for i in range(64) if told["n"] and (told[f"some{w}"] & ~told[f"all{w}"]) >> i & 1]
     k = agreeing(told["n"] or 0, told["each"] or 0.0, len(varying), most)
@@ -92,18 +100,23 @@ def near_hashes(frames: DataFrame, group: str, hash_: str, words: int, most: int
         m = [sum(1 << (p % 64) for p in places if p // 64 == w) for w in range(words)]
         return [v - (1 << 64) if v >> 63 else v for v in m]
 
-    masked = lambda h, m: F.array(*[F.get(h, F.lit(w)).bitwiseAND(F.lit(v).cast("long")) for w, v in enumerate(m)])
-    cells = [(i, masks(sorted(sum((parts[j] for j in c), [])))) for i, c in enumerate(combinations(range(len(parts)), k))]
-    x = x.select("g", "id", "h", F.inline(F.array(*[F.struct(F.lit(i).alias("cell"), masked("h", m).alias("at")) for i, m in cells])))
-    a, b = (x.select("g", F.col("id").alias(s), F.col("h").alias(f"h{s}"), "cell", "at") for s in "ab")
-    met = a.join(b, ["g", "cell", "at"]).filter("a < b").filter(hamming(F.col("ha"), F.col("hb")) <= most)
-    # the first cell of what agrees is that of the first k bands that do
-    differ = F.zip_with("ha", "hb", lambda p, q: p.bitwiseXOR(q))
-    same = [reduce(lambda p, q: p & q, [F.get("d", F.lit(w)).bitwiseAND(F.lit(v).cast("long")) == 0 for w, v in enumerate(masks(p))]).cast("int") for p in parts]
-    seen = lambda i: reduce(lambda p, q: p + q, same[:i], F.lit(0))
-    first = F.array_compact(F.array(*[F.when((same[i] == 1) & (seen(i) < k), F.lit(i)) for i in range(len(parts))]))
-    own = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in combinations(range(len(parts)), k)]), F.col("cell") + 1)
-    return met.withColumn("d", differ).filter(first == own).select("g", "a", "b")
+    cells = list(combinations(range(len(parts)), k))
+    struct = lambda i, m: F.struct(F.lit(i).alias("cell"), *[F.lit(v).cast("long").alias(f"m{w}") for w, v in enumerate(m)])
+    put = one.select("g", "one", *h, F.inline(F.array(*[struct(i, masks(sorted(sum((parts[j] for j in c), [])))) for i, c in enumerate(cells)])))
+    at = [f"at{w}" for w in range(words)]
+    put = put.select("g", "one", *h, "cell", *[F.col(c).bitwiseAND(F.col(f"m{w}")).alias(f"at{w}") for w, c in enumerate(h)])
+    a, b = (put.select(*at, "cell", "g", F.col("one").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in h]) for s in "ab")
+    ha, hb = ([F.col(f"{s}_{c}") for c in h] for s in "ab")
+    # the cell of a pair is that of the last k bands that agree: from its first band on no other does
+    agrees = lambda p: reduce(lambda s, c: s & c, [u.bitwiseXOR(v).bitwiseAND(F.lit(m).cast("long")) == 0 for u, v, m in zip(ha, hb, masks(p), strict=True) if m], F.lit(True))
+    first = F.element_at(F.array(*[F.lit(c[0]) for c in cells]), F.col("cell") + 1)
+    others = reduce(lambda s, c: s + c, [F.when((first <= j) & agrees(p), 1).otherwise(0) for j, p in enumerate(parts)])
+    met = a.join(b, [*at, "cell", "g"]).filter("a < b").filter(hamming(ha, hb) <= most).filter(others == k).select("g", F.col("a").alias("one_a"), F.col("b").alias("one_b"))
+    met = met.union(one.filter("frames > 1").select("g", "one", "one"))
+    of = x.withColumn("one", F.min("id").over(Window.partitionBy("g", *h)))
+    for s in "ab":
+        met = met.join(of.select("g", F.col("one").alias(f"one_{s}"), F.col("id").alias(s)), ["g", f"one_{s}"])
+    return met.filter("one_a <> one_b or a < b").select("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def duplicate_edges(frames: DataFrame, group: str, metrics: Callable[[Column, Column], dict[str, Column]], profiles: Profiles = Profiles()) -> DataFrame:
@@ -114,12 +127,17 @@ def duplicate_edges(frames: DataFrame, group: str, metrics: Callable[[Column, Co
     has changed too much is none. sure: both are base frames and the stricter bounds hold. Frames without a hash meet nothing.
     """
     words = profiles.bits // 64
-    x = frames.filter(F.col("phash").isNotNull() & F.col("content_phash").isNotNull())
+    # hashes of frames may be costly, and are read six times
+    x = stored(frames.filter(F.col("phash").isNotNull() & F.col("content_phash").isNotNull()), "frames")
     met = near_hashes(x, group, "phash", words, profiles.at_most("phash")).union(near_hashes(x, group, "content_phash", words, profiles.at_most("content_phash"))).distinct()
     side = lambda s: x.select(F.col(group).alias("g"), F.col("id").alias(s), F.struct(*[c for c in x.columns if c != group]).alias(f"f{s}"))
-    met = met.join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"]).filter("fa.scene <> fb.scene")
+    # the first join leaves a frame's pairs side by side, which pack well; the second does not sort what is wide by now
+    met = met.join(side("a").hint("merge"), ["g", "a"]).join(side("b").hint("shuffle_hash"), ["g", "b"]).filter("fa.scene <> fb.scene")
     m = metrics(F.col("fa"), F.col("fb"))
-    met = met.select("g", "a", "b", F.col("fa.base").alias("base_a"), F.col("fb.base").alias("base_b"), *[m[n].alias(n) for n in (*METRICS, "agenda_like", "agenda_mismatch", "agenda_xor")])
+    names = ["base_a", "base_b", *METRICS, "agenda_like", "agenda_mismatch", "agenda_xor"]
+    met = met.select("g", "a", "b", F.col("fa.base").alias("base_a"), F.col("fb.base").alias("base_b"), *[m[n].alias(n) for n in names[2:]])
+    # filters do not pass inline, so what metrics share is computed once and not again in each place that asks for it
+    met = met.select("g", "a", "b", F.inline(F.array(F.struct(*names))))
     m = {n: F.col(n) for n in met.columns}
     vetoed = m["agenda_like"] & ((m["agenda_mismatch"] > profiles.mismatch) | (m["agenda_xor"] > profiles.xor))
     out = met.withColumn("reason", profiles.reason(m)).filter(F.col("reason").isNotNull() & ~F.coalesce(vetoed, F.lit(False)))

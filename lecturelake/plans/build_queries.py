@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..operators import build, contain, duplicates, graph, greedy
@@ -189,22 +192,44 @@ def _scene_frames(t: Tables):
     return x.withColumns({"phash": signs(F.col("v")), "content_phash": signs(F.slice("v", 17, 32))})
 
 
+def _compared(names):
+    """A function of two Arrow arrays of vectors, pair by pair: struct of the image metrics of all and of the middle, of these
+    names; null for vectors with nulls or of two lengths. Sums go from the first place to the last, NaN is more than any number,
+    and what is divided by 0 is null. It names nothing of this package, which the workers need not have."""
+
+    def compared(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = {m: np.full(len(a), np.nan) for m in names}
+        known = {c: np.zeros(len(a), bool) for c in out}
+        more = lambda x, t: ~(x <= t)
+        length = lambda x: pc.fill_null(pc.list_value_length(x), -1).to_numpy(zero_copy_only=False)
+        whole = lambda x: np.isin(np.arange(len(x)), pc.list_parent_indices(x).filter(pc.is_null(pc.list_flatten(x))).to_numpy(zero_copy_only=False), invert=True)
+        alike = np.flatnonzero((length(a) == length(b)) & (length(a) > 0) & whole(a) & whole(b))
+        for n in np.unique(length(a)[alike]):
+            rows = alike[length(a)[alike] == n]
+            places = lambda x, rows=rows, n=n: np.ascontiguousarray(x.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n).T)
+            for part, x, y in (("", places(a), places(b)), ("content_", places(a)[16:48], places(b)[16:48])):
+                if not len(x):
+                    continue
+                total = lambda f, x=x, y=y: sum(f(p, q) for p, q in zip(x, y, strict=True))
+                flips = lambda x, y: (more(x, 0) != more(y, 0)).sum(axis=0)
+                edges = total(lambda p, q: more(abs(p), 0.125).astype(float) + more(abs(q), 0.125))
+                both = total(lambda p, q: (more(abs(p), 0.125) & more(abs(q), 0.125)).astype(float))
+                size = np.sqrt(total(lambda p, q: p * p) * total(lambda p, q: q * q))
+                some = lambda x: np.where(x == 0, 1.0, x)
+                of = {"phash": flips(x, y), "dhash": flips(x[1:] - x[:-1], y[1:] - y[:-1]), "changed": total(lambda p, q: more(abs(p - q), 0.05).astype(float)) / len(x),
+                      "edge": np.where(edges == 0, 1.0, 2 * both / some(edges)), "mse": total(lambda p, q: (p - q) * (p - q)) / len(x), "hist": total(lambda p, q: p * q) / some(size)}
+                for m, v in of.items():
+                    out[part + m][rows] = v
+                    known[part + m][rows] = (size != 0) if m == "hist" else True
+        return pa.StructArray.from_arrays([pa.array(v, mask=~known[c]) for c, v in out.items()], names=list(out))
+
+    return compared
+
+
 def _frame_metrics(a, b):
     """Stand-ins for an image's metrics: signs and slopes as hashes, the middle of the vector as its content."""
-    out = {}
-    for name, x, y in (("", a.v, b.v), ("content_", F.slice(a.v, 17, 32), F.slice(b.v, 17, 32))):
-        n = F.size(x)
-        total = lambda f, x=x, y=y: F.aggregate(F.zip_with(x, y, f), F.lit(0.0), lambda s, d: s + d)
-        slope = lambda z: F.zip_with(F.slice(z, 2, F.size(z) - 1), F.slice(z, 1, F.size(z) - 1), lambda p, q: p - q)
-        flips = lambda p, q: F.aggregate(F.zip_with(p, q, lambda c, d: ((c > 0) != (d > 0)).cast("int")), F.lit(0), lambda s, d: s + d)
-        one = lambda test: F.when(test, 1.0).otherwise(0.0)
-        edges, both = total(lambda p, q: one(F.abs(p) > 0.125) + one(F.abs(q) > 0.125)), total(lambda p, q: one((F.abs(p) > 0.125) & (F.abs(q) > 0.125)))
-        out |= {
-            f"{name}phash": flips(x, y), f"{name}dhash": flips(slope(x), slope(y)), f"{name}changed": total(lambda p, q: one(F.abs(p - q) > 0.05)) / n,
-            f"{name}edge": F.coalesce(2 * both / F.nullif(edges, F.lit(0.0)), F.lit(1.0)), f"{name}mse": total(lambda p, q: (p - q) * (p - q)) / n,
-            f"{name}hist": total(lambda p, q: p * q) / F.sqrt(total(lambda p, q: p * p) * total(lambda p, q: q * q)),
-        }
-    return out | {"agenda_like": F.get(a.v, F.lit(0)) > 0.1, "agenda_mismatch": F.abs(F.get(a.v, F.lit(1)) - F.get(b.v, F.lit(1))) * 5, "agenda_xor": F.lit(0.0)}
+    told = F.arrow_udf(_compared(duplicates.METRICS), "struct<" + ", ".join(f"{m}: double" for m in duplicates.METRICS) + ">")(a.v, b.v)
+    return {m: told[m] for m in duplicates.METRICS} | {"agenda_like": F.get(a.v, F.lit(0)) > 0.1, "agenda_mismatch": F.abs(F.get(a.v, F.lit(1)) - F.get(b.v, F.lit(1))) * 5, "agenda_xor": F.lit(0.0)}
 
 
 def _frame_sql():

@@ -71,3 +71,33 @@ def test_bits_that_never_differ_are_in_no_band(spark):
     h = [r.h[0] for r in df.orderBy("id").collect()]
     assert got == {(i, j) for j in range(1500) for i in range(j) if (h[i] ^ h[j]).bit_count() <= 4}
     assert 0 < tried.value < 0.03 * 1500 * 1499 / 2
+
+
+def test_frames_of_one_hash_meet_others_as_one(spark):
+    """300 frames of three hashes: before, each two of a hash were compared in all of its cells."""
+    from unittest import mock
+
+    rng = random.Random(3)
+    near = rng.getrandbits(62)
+    hashes = [near, near ^ 5, rng.getrandbits(62)]
+    df = spark.createDataFrame([("hot", i, [hashes[i % 3]]) for i in range(300)] + [("hot", 300, None), ("hot", 301, [None])], "g string, id long, h array<long>")
+    tried = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: (tried.add(1), x)[1], "int").asNondeterministic()
+    with mock.patch.object(duplicates, "hamming", lambda a, b, f=duplicates.hamming: count(f(a, b))):
+        got = [tuple(r)[1:] for r in duplicates.near_hashes(df, "g", "h", 1, 7).collect()]
+    want = {(i, j) for j in range(300) for i in range(j) if (i % 3 == 2) == (j % 3 == 2)}
+    assert len(got) == len(set(got)) and set(got) == want and tried.value < 300
+
+
+def test_vectors_that_have_no_metrics(spark):
+    """Nulls, two lengths and zeros: no metric, or the value that the SQL has; NaN is more than any number, as in SQL."""
+    v = [0.2, -0.1] * 32
+    nan = [float("nan"), *v[1:]]
+    rows = [(0, v, v), (1, v, [None, *v[1:]]), (2, v, v[:60]), (3, v, None), (4, [0.0] * 64, [0.0] * 64), (5, v[:16], v[:16]), (6, nan, nan), (7, [], [])]
+    df = spark.createDataFrame([(i, (a,), (b,)) for i, a, b in rows], "i int, fa struct<v: array<double>>, fb struct<v: array<double>>")
+    m = build_queries._frame_metrics(F.col("fa"), F.col("fb"))
+    got = {r.i: [r[c] for c in duplicates.METRICS] for r in df.select("i", *[m[c].alias(c) for c in duplicates.METRICS]).collect()}
+    same = [0.0, 0.0, 0.0, 1.0, 0.0, pytest.approx(1.0)]
+    assert got[0] == same * 2 and got[1] == got[2] == got[3] == got[7] == [None] * 12
+    assert got[4] == [0.0, 0.0, 0.0, 1.0, 0.0, None] * 2 and got[5] == same + [None] * 6
+    assert got[6][:2] == [0.0, 0.0] and got[6][4] != got[6][4] and got[6][6:] == same
