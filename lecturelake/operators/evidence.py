@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import discard, stored
 from .intervals import buckets
 from .windows import latest
 
@@ -32,6 +33,8 @@ SLIDES = ("slide_text", "slide_concept")
 ASKS = ("slide_importance", "visual", "current_visual", "emphasis", "core", "example")
 #: Width of the time buckets in which hits and candidates meet, in seconds; longer spans fill several.
 BUCKET = 60.0
+#: Hits of a group that each of its items is given at once; those of groups with more meet items by equi-joins.
+AT_ONCE = 300
 
 
 def intent_prior(kind: Column, intents: Column, priors: dict[str, dict[str, float]] = PRIORS) -> Column:
@@ -48,7 +51,7 @@ def example_directness(text: Column, subjects: Column) -> Column:
     """1 for a text that names one of the subjects and says that it gives an example, .75 for a list that goes on, .6 for
     one in parentheses, else 0."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    tight = F.regexp_replace(low, r"\s+", "")
+    tight = F.translate(low, " \t\n\x0b\f\r", "")
     named = F.exists(subjects, lambda s: F.contains(low, F.lower(s)) | F.contains(tight, F.replace(F.lower(s), F.lit(" "), F.lit(""))))
     return F.when(~F.coalesce(named, F.lit(False)) | (tight == ""), 0.0).when(tight.rlike("예시|사례|예를들|예로|대표적예"), 1.0).when(F.contains(tight, F.lit("등")), 0.75).when(low.rlike(r"\([^)]*,[^)]*\)"), 0.6).otherwise(0.0)
 
@@ -69,14 +72,52 @@ def support_bonus(items: DataFrame, hits: DataFrame, group: str) -> DataFrame:
     by_time = a.join(b, [group, "bucket"]).filter("greatest(start_sec, hit_start) <= least(stop, hit_stop) + 1")
     met = pick(by_id, BY_ID).union(pick(by_slide, BY_SLIDE)).union(pick(by_time, BY_TIME))
     best = met.groupBy(group, "uid", "kind", "hit").agg(F.max(F.col("w") * F.col("score")).alias("gain"))
-    base = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SUPPORT.items() for x in kv]), F.col("kind")), F.lit(OTHER_SUPPORT))
-    return best.groupBy(group, "uid").agg(F.least(F.lit(SUPPORT_CAP), F.sum(base * F.col("gain"))).alias("support"), F.count(F.lit(1)).alias("n_hits"))
+    return best.groupBy(group, "uid").agg(F.least(F.lit(SUPPORT_CAP), F.sum(_support_share(F.col("kind")) * F.col("gain"))).alias("support"), F.count(F.lit(1)).alias("n_hits"))
 
 
-def scored(items: DataFrame, group: str, intents: Column, keyword: Column, asks: frozenset[str], subjects: Column | None = None, support: DataFrame | None = None, current_slide: int | None = None) -> DataFrame:
+def _support_share(kind: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SUPPORT.items() for x in kv]), kind), F.lit(OTHER_SUPPORT))
+
+
+def with_support(items: DataFrame, group: str, hit: Column) -> DataFrame:
+    """items (uid unique in a group) with support and n_hits as support_bonus has them, 0 where nothing supports them; hits are the
+    items that pass the test, with linked, slide, start_sec, end_sec and their similarity as score.
+
+    Items stay where their group is: each is given its group's hits, as long as these are AT_ONCE or fewer, so nothing is
+    shuffled beyond what brings a group together. Groups with more hits are told beforehand, stored, and go by support_bonus.
+    """
+    many = stored(items.filter(hit & F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > AT_ONCE).select(group), "many_hits")
+    hot = not many.isEmpty()
+    if not hot:
+        discard(many)
+    few = items.join(F.broadcast(many), group, "left_anti") if hot else items
+    near = F.struct("linked", "slide", "start_sec", F.coalesce("end_sec", "start_sec").alias("stop"), F.coalesce("similarity", F.lit(0.5)).alias("score"))
+    x = few.withColumn("hits", F.collect_list(F.when(hit & F.col(group).isNotNull(), near)).over(Window.partitionBy(group)))
+
+    def gain(h: Column) -> Column:
+        timed = F.col("start_sec").isNotNull() & h["start_sec"].isNotNull()
+        meets = F.greatest(F.col("start_sec"), h["start_sec"]) <= F.least(F.coalesce("end_sec", "start_sec"), h["stop"]) + 1
+        reasons = ((F.array_contains("ids", h["linked"]), BY_ID), (F.col("slide") == h["slide"], BY_SLIDE), (timed & meets, BY_TIME))
+        return F.greatest(*[F.when(test, h["score"] * w) for test, w in reasons])
+
+    x = x.withColumn("gains", F.when(~F.col("kind").startswith("lance"), F.array_compact(F.transform("hits", gain)))).drop("hits")
+    total = F.aggregate("gains", F.lit(0.0), lambda s, g: s + F.col("share") * g)
+    x = x.withColumn("share", _support_share(F.col("kind"))).withColumn("support", F.least(F.lit(SUPPORT_CAP), F.coalesce(total, F.lit(0.0))))
+    x = x.withColumn("n_hits", F.coalesce(F.size("gains"), F.lit(0)).cast("long")).drop("gains", "share")
+    if not hot:
+        return x
+    # read by each of the joins, which would otherwise bring all groups together once more
+    rest = stored(items.join(F.broadcast(many), group, "left_semi").select(items.columns), "rest")
+    hits = rest.filter(hit).select(group, F.col("uid").alias("hit"), "linked", "slide", "start_sec", "end_sec", F.col("similarity").alias("score"))
+    rest = rest.join(support_bonus(rest, hits, group), [group, "uid"], "left")
+    return x.unionByName(rest.withColumns({"support": F.coalesce("support", F.lit(0.0)), "n_hits": F.coalesce("n_hits", F.lit(0)).cast("long")}))
+
+
+def scored(items: DataFrame, group: str, intents: Column, keyword: Column, asks: frozenset[str], subjects: Column | None = None, support: DataFrame | None = None, current_slide: int | None = None, hit: Column | None = None) -> DataFrame:
     """items with breakdown struct<semantic, intent_prior, keyword, bonus, support> and score, their sum.
 
-    keyword: share of the question's keywords found. Emphasis and weights are relative to the largest of their kind
+    keyword: share of the question's keywords found. support: that of support_bonus, or hit: the items that are hits, for
+    with_support. Emphasis and weights are relative to the largest of their kind
     among the group's items. Null numbers count 0.
     """
     w = Window.partitionBy(group)
@@ -102,7 +143,9 @@ def scored(items: DataFrame, group: str, intents: Column, keyword: Column, asks:
     if "example" in asks:
         direct = example_directness(F.col("text"), F.array().cast("array<string>") if subjects is None else subjects)
         bonus += direct * F.when((kind == "visual_asset") | is_slide, 0.45).when(is_entity | is_edge, 0.35).otherwise(0.18)
-    if support is not None:
+    if hit is not None:
+        x = with_support(x, group, hit)
+    elif support is not None:
         x = x.join(support.select(group, "uid", "support"), [group, "uid"], "left")
     else:
         x = x.withColumn("support", F.lit(0.0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evidence, scores
@@ -19,7 +20,7 @@ i AS (SELECT l_orderkey AS g, CAST(row_number() OVER (PARTITION BY l_orderkey OR
 
 def items(t: Tables):
     lines = t.lineitem.join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-    x = latest(lines, ["l_orderkey"], [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")], 1 << 30)
+    x = lines.withColumn("place", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")).cast("long"))
     text = F.concat("p_name", F.when(F.col("l_returnflag") == "A", " 예시 ").when(F.col("l_returnflag") == "R", " 등").otherwise(" (a, b)"))
     return x.select(
         F.col("l_orderkey").alias("g"), F.col("place").alias("uid"), F.get(F.array(*map(F.lit, KINDS)), (F.col("l_partkey") % 6).cast("int")).alias("kind"), text.alias("text"), F.col("l_linenumber").alias("slide"),
@@ -59,14 +60,13 @@ _SUPPORT_SQL = """s AS (SELECT a.g, a.uid, least(0.12, sum(CASE a.kind WHEN 'vis
    AND (a.own = b.linked OR a.slide = b.slide OR greatest(a.start_sec, b.start_sec) <= least(coalesce(a.end_sec, a.start_sec), coalesce(b.end_sec, b.start_sec)) + 1) GROUP BY 1, 2)"""
 
 
-def _support(t: Tables):
-    x = items(t)
-    return evidence.support_bonus(x, x.filter("flag = 'R'").select("g", F.col("uid").alias("hit"), "linked", "slide", "start_sec", "end_sec", F.col("similarity").alias("score")), "g")
+def _hit():
+    return F.col("flag") == "R"
 
 
 @query("rerank_support_bonus", f"WITH {_ITEMS}, {_SUPPORT_SQL} SELECT g, uid, round(support, 6) AS support, n_hits FROM s")
 def _(t: Tables):
-    return _support(t).select("g", "uid", F.round("support", 6).alias("support"), "n_hits")
+    return evidence.with_support(items(t), "g", _hit()).filter("n_hits > 0").select("g", "uid", F.round("support", 6).alias("support"), "n_hits")
 
 
 _SCORED_SQL = f"""m AS (SELECT *, max(CASE WHEN kind = 'slide_text' THEN emphasis END) OVER w AS me, max(CASE WHEN kind = 'graphrag_entity' THEN price END) OVER w AS mw, max(CASE WHEN kind = 'graphrag_relationship' THEN price END) OVER w AS mr, max(CASE WHEN kind = 'graphrag_entity' THEN price + emphasis * 100 END) OVER w AS mc FROM i WINDOW w AS (PARTITION BY g)),
@@ -77,7 +77,7 @@ c AS (SELECT m.g, m.uid, kind, CAST(0.52 AS DOUBLE) * similarity + CAST(0.33 AS
 
 def scored(t: Tables):
     keyword = scores.keyword_coverage(F.contains("text", F.lit("gear")).cast("int"), 1)
-    return evidence.scored(items(t), "g", _intents(), keyword, frozenset(evidence.ASKS), _subjects(), _support(t), 3)
+    return evidence.scored(items(t), "g", _intents(), keyword, frozenset(evidence.ASKS), _subjects(), current_slide=3, hit=_hit())
 
 
 @query("rerank_evidence", f"WITH {_ITEMS}, {_SUPPORT_SQL}, {_SCORED_SQL} SELECT g, uid, round(score, 6) AS score FROM c")
